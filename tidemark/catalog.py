@@ -1,0 +1,12 @@
+"""All queries with their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
