@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+#: Letters, digits and all non-ASCII bytes: words without ASCII punctuation.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE_LOWER = _BYTE.copy()
@@ -60,12 +63,12 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and each row's offset among them."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = _NOT_SPACE[data]
+    inside = table[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     cuts = offsets[(offsets > 0) & (offsets < n)]
