@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -33,6 +34,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of ``df`` with more columns; the data frame's own schema object stays as it is."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in kinds.items())).fields])
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

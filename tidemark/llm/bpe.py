@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import widened
+
 CACHE_WORDS = 400_000
 SLICE_ROWS = 256
 
@@ -296,8 +298,7 @@ def _decode(path: str, at: int):
 
 
 def _with(df: DataFrame, column: str, added: str, kind: str, fn) -> DataFrame:
-    schema = df.schema.add(added, kind)
-    return df.mapInArrow(fn(df.columns.index(column)), schema)
+    return df.mapInArrow(fn(df.columns.index(column)), widened(df, **{added: kind}))
 
 
 def encode(df: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity scores from FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are 64-bit hashes of words, neighbouring pairs and pairs with one word between, each counted once a
-text. Training takes a bounded sample of labelled rows, dealt to shards of a few thousand; each shard runs
+Features are 64-bit hashes of words, their beginnings (which tie the forms of a word together), neighbouring
+pairs and pairs with one word between, each counted once a text. Training takes a bounded sample of labelled rows, dealt to shards of a few thousand; each shard runs
 FTRL with per-coordinate rates over its rows, and the shards' weights are averaged. L1 leaves a few thousand
 coordinates, which are broadcast and looked up in one vectorised pass over all texts.
 """
@@ -16,32 +16,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import widened
 from ._words import ALNUM, mix, text_slices, word_hashes, words
 
 MAX_ROWS = 32_768
 ROWS_PER_SHARD = 4096
 MAX_WEIGHTS = 262_144
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 MIN_WEIGHT = 1e-3
+#: Bytes of a word's beginning that stand for it besides the word, if it is longer.
+STEMS = (5, 6, 7, 8)
+_NONE = np.zeros(0, np.uint64)
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def features(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the words, the pairs and the pairs with a gap of one; neither distinct nor in order."""
+def features(hashes: np.ndarray, stems: np.ndarray = _NONE) -> np.ndarray:
+    """Hashes of the words, their stems, the pairs and the pairs with a gap of one; neither distinct nor in order."""
     with np.errstate(over="ignore"):
         pairs = mix(hashes[:-1] * _A + hashes[1:] * _B + np.uint64(2))
         skips = mix(hashes[:-2] * _A + hashes[2:] * _B + np.uint64(3))
-    return np.concatenate([hashes, pairs, skips])
+    return np.concatenate([hashes, stems, pairs, skips])
 
 
 def _feature_rows(texts: pa.Array) -> Iterator[np.ndarray]:
     for lo, hi, data, offsets in text_slices(texts):
         starts, ends, at = words(data, offsets, ALNUM)
         hashes = word_hashes(data, starts, ends, lower=True)
+        stems = np.stack([mix(word_hashes(data, starts, np.minimum(starts + n, ends), lower=True)) for n in STEMS], axis=1)
+        longer = np.stack([ends - starts > n for n in STEMS], axis=1)
         for i in range(hi - lo):
-            yield features(hashes[at[i] : at[i + 1]])
+            own = slice(at[i], at[i + 1])
+            yield features(hashes[own], stems[own][longer[own]])
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[float, np.ndarray, np.ndarray]:
@@ -91,11 +98,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[f
     rows = rows.select(F.pmod("at", F.lit(shards)).cast("int").alias("shard"), "at", "toxic", "text")
     trained = rows.groupBy("shard").applyInPandas(_train, "coordinate long, w double")
     mean = trained.groupBy("coordinate").agg((F.sum("w") / shards).alias("w"))
-    found = mean.where(f"coordinate is null or abs(w) >= {MIN_WEIGHT}").orderBy(F.col("coordinate").isNotNull(), F.abs("w").desc(), "coordinate").limit(MAX_WEIGHTS).toPandas()
-    bias = found.loc[found["coordinate"].isna(), "w"]
-    found = found.dropna()
-    order = np.argsort(coordinates := found["coordinate"].to_numpy(np.int64).view(np.uint64))
-    return float(bias.iloc[0]) if len(bias) else -35.0, coordinates[order], found["w"].to_numpy(float)[order]
+    found = mean.where(f"coordinate is null or abs(w) >= {MIN_WEIGHT}").orderBy(F.col("coordinate").isNotNull(), F.abs("w").desc(), "coordinate").limit(MAX_WEIGHTS).toArrow()
+    bias = found.filter(found["coordinate"].is_null())["w"].to_pylist()
+    found = found.filter(found["coordinate"].is_valid())  # in Arrow: 64 bits don't fit a nullable pandas column
+    coordinates, w = found["coordinate"].to_numpy().view(np.uint64), found["w"].to_numpy()
+    order = np.argsort(coordinates)
+    return bias[0] if bias else -35.0, coordinates[order], w[order]
 
 
 def _score(model):
@@ -119,7 +127,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataF
     """``docs`` with a column ``score`` in 0..1 from the whole text alone; null and empty texts get the bias's score."""
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score(shared), docs.schema.add("score", "double"))
+    return docs.mapInArrow(_score(shared), widened(docs, score="double"))
 
 
 def with_predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
