@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, language, near_dedup, quality, secrets, toxicity
+from . import bpe, chat, decontamination, language, near_dedup, quality, secrets, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.with_predictions(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -54,6 +59,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op6_quality, op8_language, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op6_quality, op7_substring_dedup, op8_language, op10_secrets)}
 
 ORACLES: dict[str, str] = {}
