@@ -160,6 +160,17 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id stands for its component; all columns stay.
+
+    Only the ids to drop are joined back, so that the texts aren't shuffled where these are few. Rows that
+    repeat a kept doc_id stay; rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = materialize(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame | None:
     """Members (key, rep, n, comp) of the buckets that hold more than one component; None if there are none."""
     now = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, language, near_dedup, quality, secrets, substring_dedup, toxicity
+from . import bpe, chat, decontamination, html_extract, language, near_dedup, quality, secrets, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.with_predictions(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extract.extract(pages, html_extract.fit(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op6_quality, op7_substring_dedup, op8_language, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op6_quality, op7_substring_dedup, op8_language, op9_html_extract, op10_secrets)}
 
 ORACLES: dict[str, str] = {}
