@@ -1 +1 @@
-"""sources."""
+"""Readers and writers of the files that a benchmark is made of."""
