@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontamination, near_dedup, secrets, toxicity
 from tidemark.llm._store import materialize
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
