@@ -15,12 +15,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return len(fs.globStatus(p) or []) > 0
 
 
+def _parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` from JSON in ``value``; blank and broken texts are no rows. Other columns stay."""
+    options = {"columnNameOfCorruptRecord": "_broken"}
+    out = rows.where("trim(value) <> ''").withColumn("_j", F.from_json("value", f"{schema}, _broken STRING", options))
+    return out.where("_j is not null and _j._broken is null").select(*(c for c in rows.columns if c != "value"), "_j.*").drop("_broken")
+
+
 def _jsonl(spark: SparkSession, path: str, schema: str, mode: str = "PERMISSIVE") -> DataFrame:
     """JSON lines of a schema. Blank lines are no rows; in PERMISSIVE mode broken lines go, in FAILFAST they fail."""
     if mode == "FAILFAST":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(f"{schema}, _broken STRING").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return rows.where("_broken is null").drop("_broken")
+    return _parsed(spark.read.text(path), schema)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +70,7 @@ def read_corpus(spark: SparkSession, root: str, segment: int | None = None, time
     The segment is a partition column, so only the folders asked for are read. Rows without an id get one;
     the text is ``contents``, else ``text``.
     """
-    rows = _jsonl(spark, root, f"{S.CHUNK}, segment_key STRING")
+    rows = _jsonl(spark, root, S.CHUNK).withColumn("segment_key", F.col("segment_key").cast("string"))
     if segment is not None:
         rows = rows.where(F.col("segment_key").isin(str(segment), "timeless") if timeless else F.col("segment_key") == str(segment))
     elif not timeless:
@@ -115,10 +121,9 @@ def read_task_types(spark: SparkSession, path: str) -> DataFrame:
 
 def read_retrieval_results(spark: SparkSession, path: str) -> DataFrame:
     """Retrieval results, with the segment and the model from a name like ``segment_2_model_k3.jsonl`` where it has them."""
-    rows = spark.read.schema(f"{S.RETRIEVAL}, _broken STRING").option("columnNameOfCorruptRecord", "_broken").json(path)
     name = F.col("_metadata.file_name")
-    rows = rows.withColumn("file_segment", F.regexp_extract(name, r"segment_(\d+)", 1).try_cast("int")).withColumn("file_model", F.nullif(F.regexp_extract(name, r"segment_\d+_(.*?)\.jsonl?$", 1), F.lit("")))
-    return rows.where("_broken is null").drop("_broken")
+    rows = spark.read.text(path).withColumn("file_segment", F.regexp_extract(name, r"segment_(\d+)", 1).try_cast("int")).withColumn("file_model", F.nullif(F.regexp_extract(name, r"segment_\d+_(.*?)\.jsonl?$", 1), F.lit("")))
+    return _parsed(rows, S.RETRIEVAL)
 
 
 def read_generation_results(spark: SparkSession, path: str) -> DataFrame:
@@ -127,22 +132,20 @@ def read_generation_results(spark: SparkSession, path: str) -> DataFrame:
 
 def read_submissions(spark: SparkSession, folder: str) -> DataFrame:
     """(file, system_name, description, game, six metrics as text) of every readable ``*.json`` but the example."""
-    rows = spark.read.schema(f"{S.SUBMISSION}, _broken STRING").option("columnNameOfCorruptRecord", "_broken").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    rows = rows.withColumn("file", F.col("_metadata.file_name")).where("_broken is null and file <> 'example_submission.json'")
-    return rows.select("file", "system_name", "description", F.explode("games").alias("game", "m")).select("file", "system_name", "description", "game", "m.*")
+    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).withColumn("file", F.col("_metadata.file_name")).where("file <> 'example_submission.json'")
+    return _parsed(rows, S.SUBMISSION).select("file", "system_name", "description", F.explode("games").alias("game", "m")).select("file", "system_name", "description", "game", "m.*")
 
 
 def read_leaderboard(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A leaderboard's rows; none if it is missing or broken."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, _broken STRING").option("columnNameOfCorruptRecord", "_broken").option("multiLine", True).json(path)
-    return rows.where("_broken is null").drop("_broken")
+    return _jsonl(spark, path, schema)
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     """A segment's progress; none if it hasn't begun."""
-    return spark.read.schema(S.PROGRESS).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], S.PROGRESS)
+    return _jsonl(spark, path, S.PROGRESS) if exists(spark, path) else spark.createDataFrame([], S.PROGRESS)
 
 
 def available_segments(spark: SparkSession, root: str) -> DataFrame:
