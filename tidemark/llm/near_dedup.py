@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
 
     Texts are linked when ``denominator * |A & B| >= numerator * |A | B|`` over lower-cased (A-Z) two-word
     shingles. Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
-    doc_id are one document for linking; each row is returned. Rows with a null doc_id are returned with a
+    doc_id are returned each, with the component of its own text. Rows with a null doc_id are returned with a
     null component and kept. An empty table gives an empty result. A pair at the threshold is missed by all
     bands with a probability of (1 - 0.8 ** rows) ** bands, 4e-7 by default.
     """
@@ -153,7 +153,6 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
         if all_pairs:
             break
     found = components(links)
-    # the component of a document is that of each class it belongs to; a doc_id in two classes joins them
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -163,8 +162,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id stands for its component; all columns stay.
 
-    Only the ids to drop are joined back, so that the texts aren't shuffled where these are few. Rows that
-    repeat a kept doc_id stay; rows with a null doc_id stay.
+    Only the ids to drop are joined back, so that the texts aren't shuffled where these are few. A doc_id
+    goes with all of its rows if any of them isn't kept; rows with a null doc_id stay.
     """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     gone = materialize(gone, "gone")

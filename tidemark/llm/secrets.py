@@ -117,14 +117,16 @@ def redact(docs: DataFrame, ledger: str | None = None, mask: str = "[secret]") -
     """``docs`` with every span, and what spans cover together, replaced by ``mask``; all columns and rows stay."""
     columns = docs.columns
     hint = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    found, rest = scan(docs.where(hint), ledger), docs.where(~hint)
+    own = {c: f"_own_{c}" for c in ("blob", "spans") if c in columns}  # columns of these names are not the scan's
+    found, rest = scan(docs.where(hint).withColumnsRenamed(own), ledger), docs.where(~hint)
     # spans are in order of their starts: join the overlapping ones, then cut the text between them
     joined = """aggregate(spans, cast(array() as array<struct<at:int,end:int>>), (s, v) -> if(size(s) > 0 and element_at(s, -1).end >= v.at,
         concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).at as at, greatest(element_at(s, -1).end, v.end) as end))),
         concat(s, array(struct(v.at as at, v.end as end)))))"""
     found = found.withColumn("spans", F.expr(joined))
     cut = F.expr("transform(sequence(0, size(spans)), k -> substring(text, if(k = 0, 1, spans[k - 1].end + 1), if(k = size(spans), length(text), spans[k].at) - if(k = 0, 0, spans[k - 1].end)))")
-    return found.withColumn("text", F.when(F.size("spans") > 0, F.array_join(cut, mask)).otherwise(F.col("text"))).select(*columns).union(rest)
+    found = found.withColumn("text", F.when(F.size("spans") > 0, F.array_join(cut, mask)).otherwise(F.col("text")))
+    return found.select(*(F.col(own.get(c, c)).alias(c) for c in columns)).union(rest)
 
 
 def digests(found: DataFrame) -> DataFrame:
