@@ -5,9 +5,11 @@ import json
 from pyspark.sql import functions as F
 
 from tidemark.operators import bm25
+from tidemark.plans import config as C
 from tidemark.plans import evaluate as V
 from tidemark.plans import generate as G
-from tidemark.plans.corpus import build_corpus
+from tidemark.plans import index as I
+from tidemark.plans.corpus import build_corpus, extract_entities
 from tidemark.plans.providers import call
 from tidemark.sources import readers as R
 from tidemark.sources import writers as W
@@ -133,3 +135,30 @@ def test_stream_ingest(spark, tmp_path):
 
 def test_report(spark):
     assert [r[0] for r in W.markdown_report(spark.createDataFrame([(2, None), (1, 0.5)], "a int, b double")).collect()] == ["| 1 | 0.5 |", "| 2 | - |"]
+
+
+def test_index_is_reused_and_scores_alike(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc"), (3, "cc dd aa")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "aa cc"), (2, "zz")], "query_id long, text string")
+    root = str(tmp_path / "bm25")
+    built = sorted(map(tuple, I.search(I.load_or_build(docs, root), asked).collect()))
+    assert built == sorted(map(tuple, bm25.retrieve(docs, asked).collect()))
+    before = spark.read.text(f"{root}/manifest").select("_metadata.file_modification_time").first()
+    assert sorted(map(tuple, I.search(I.load_or_build(docs, root), asked).collect())) == built
+    assert spark.read.text(f"{root}/manifest").select("_metadata.file_modification_time").first() == before
+
+
+def test_refine_and_entities(spark):
+    pairs = spark.createDataFrame([("q1", "a1", ["c"]), ("q2" * 200, "a2", ["c"]), ("q3", "a3", ["c"])], "question string, answer string, references array<string>")
+    reply = lambda prompts: ['```json\n{"question": "Q", "answer": "A"}\n```' if "q1" in p else "no" for p in prompts]
+    got = {r["original_question"]: (r["question"], r["answer"], r["optimized"]) for r in G.refine(pairs, reply).collect()}
+    assert got == {"q1": ("Q", "A", True), "q2" * 200: ("q2" * 200, "a2", False), "q3": ("q3", "a3", False)}
+    chunks = spark.createDataFrame([("1", "x", ["old"])], "id string, contents string, entities array<string>")
+    assert extract_entities(chunks, lambda p: ['{"entities": [{"text": "A"}, {"text": " A"}, {"text": "B"}]}'] * len(p)).first()["entities"] == ["A", "B"]
+
+
+def test_config(spark):
+    c = C.load(C.RetrievalConfig, '{"k": 5, "unknown": 1}')
+    assert c.model_key == "bm25_k5" and spark.range(1).select(C.as_column(c).alias("c")).first()["c"]["k"] == 5
+    segments = spark.createDataFrame([(1, "a", "b")], "segment_id int, start_date string, end_date string")
+    assert C.segment_info(spark, segments, 1)["start_date"] == "a" and C.segment_info(spark, segments, 2)["end_date"] == "unknown"

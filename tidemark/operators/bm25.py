@@ -52,15 +52,26 @@ def score(docs: DataFrame, asked: DataFrame, k1: float = K1, b: float = B) -> Da
     where that is small enough. Scores are rounded, so that ties are ties whatever the order of summing.
     """
     vocabulary = asked.select("scope", "token").distinct()
-    small = vocabulary.limit(MAX_BROADCAST_TOKENS + 1).count() <= MAX_BROADCAST_TOKENS
+    small = _is_small(vocabulary)
     stats = corpus_stats(docs)
     hits = docs.select("scope", "doc_id", "dl", F.explode("tokens").alias("token")).join(F.broadcast(vocabulary) if small else vocabulary, ["scope", "token"], "left_semi")
     hits = hits.groupBy("scope", "token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    weight = idf(hits, stats)
-    parts = hits.join(F.broadcast(weight) if small else weight, ["scope", "token"]).join(F.broadcast(stats.select("scope", "avgdl")), "scope")
+    return score_postings(hits, stats, idf(hits, stats), asked, k1, b)
+
+
+def _is_small(vocabulary: DataFrame) -> bool:
+    return vocabulary.limit(MAX_BROADCAST_TOKENS + 1).count() <= MAX_BROADCAST_TOKENS
+
+
+def score_postings(posted: DataFrame, stats: DataFrame, weights: DataFrame, asked: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """The same from an index: postings, statistics and weights, as built or as read again."""
+    vocabulary = asked.select("scope", "token").distinct()
+    small = _is_small(vocabulary)
+    weights = weights.join(F.broadcast(vocabulary) if small else vocabulary, ["scope", "token"], "left_semi")
+    parts = posted.join(F.broadcast(weights) if small else weights, ["scope", "token"]).join(F.broadcast(stats.select("scope", "avgdl")), "scope")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     parts = parts.select("scope", "token", "doc_id", part.alias("part"))
-    found = parts.join(F.broadcast(asked) if small else asked, ["scope", "token"])
+    found = parts.join(F.broadcast(asked) if asked.count() <= MAX_BROADCAST_TOKENS else asked, ["scope", "token"])
     return found.groupBy("scope", "query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("part")), DIGITS).alias("score"))
 
 

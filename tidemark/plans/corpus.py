@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import chunks, clean_html
-from tidemark.operators.entities import extract_capitalized
+from tidemark.functions.parsing import entity_list
+from tidemark.functions.text import cap, chunks, clean_html
+from tidemark.operators.entities import dedup_in_order, extract_capitalized
 from tidemark.operators.qa import drop_blank
 from tidemark.operators.temporal import assign_segments, with_time_metadata
+from tidemark.plans.providers import Provider, call
 
 
 def build_corpus(files: DataFrame, segments: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -28,3 +30,14 @@ def build_corpus(files: DataFrame, segments: DataFrame, size: int = 1000, overla
         extract_capitalized(F.col("c.contents")).alias("entities"),
         "extracted_date",
     )
+
+
+def extract_entities(chunks: DataFrame, provider: Provider) -> DataFrame:
+    """``chunks`` with entities from a model's reply to the capped contents; a reply without any gives an empty list.
+
+    The reply is read by the ladder of ``entity_list``; texts are distinct and in order of mention.
+    """
+    asked = chunks.drop("entities").withColumn("_prompt", cap(F.col("contents")))
+    replies = call(asked, "_prompt", "_reply", "string", provider, fallback="")
+    names = F.transform(entity_list(F.coalesce("_reply", F.lit(""))), lambda e: e["text"])
+    return replies.withColumn("entities", dedup_in_order(names)).select(*chunks.columns)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.parsing import hypothetical, strip_prefixes
+from tidemark.functions.parsing import hypothetical, qa_record, strip_fence, strip_prefixes
 from tidemark.functions.text import numbered_context
 from tidemark.operators import allocation as L
 from tidemark.operators import bm25
 from tidemark.operators.entities import dedup_in_order, discard_overlapping, extract_capitalized
-from tidemark.operators.qa import is_valid, quality_gate, resume, stamp_inherited
+from tidemark.operators.qa import can_refine, is_valid, quality_gate, resume, stamp_inherited
 from tidemark.operators.temporal import latest_date
 from tidemark.plans.providers import Provider, call, offline_answer, offline_judge, offline_question
 
@@ -50,3 +50,19 @@ def generate(templates: DataFrame, quota: DataFrame, corpus: DataFrame, done: Da
         F.col("query_id").alias("template_id"), "template", F.col("topic").alias("question_topic"), L.choose_task(F.col("query_id")).alias("task_type"), "question", "answer",
         F.col("docs.contents").alias("references"), latest_date(F.col("docs.extracted_date")).alias("time"), F.col("docs.doc_id").alias("retrieved_doc_ids"), dedup_in_order(extract_capitalized(F.concat_ws(" ", "question", "answer"))).alias("entities"),
     )
+
+
+def refine(pairs: DataFrame, provider: Provider) -> DataFrame:
+    """``pairs`` (question, answer, references) with the provider's better wording, where it gives one.
+
+    Pairs that are too long aren't sent; a pair without a usable reply keeps its question and answer.
+    ``original_question``, ``original_answer`` and ``optimized`` tell what was done.
+    """
+    sent = F.coalesce(can_refine(F.col("question"), F.col("answer")), F.lit(False))
+    prompt = F.concat_ws("\n", F.lit("Improve this pair."), F.concat(F.lit("question: "), "question"), F.concat(F.lit("answer: "), "answer"), numbered_context(F.col("references")))
+    replies = call(pairs.where(sent).withColumn("_prompt", prompt), "_prompt", "_reply", "string", provider, fallback="").drop("_prompt")
+    both = replies.unionByName(pairs.where(~sent).withColumn("_reply", F.lit(None).cast("string")))
+    both = both.withColumn("_r", qa_record(strip_fence(F.coalesce("_reply", F.lit("")))))
+    ok = F.col("_r.question").isNotNull() & F.col("_r.answer").isNotNull()
+    out = both.withColumns({"original_question": F.col("question"), "original_answer": F.col("answer"), "optimized": ok})
+    return out.withColumns({"question": F.when(ok, F.col("_r.question")).otherwise(F.col("question")), "answer": F.when(ok, F.col("_r.answer")).otherwise(F.col("answer"))}).drop("_r", "_reply")
