@@ -15,8 +15,8 @@ SELECT conv_id, CAST(floor(turn / 256) AS BIGINT) AS part, count(*) AS n_turns,
 
 NEAR_DEDUP = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
-x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), b AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS both, any_value(p.n) AS na, any_value(q.n) AS nb FROM x p JOIN x q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM b WHERE 100 * both >= 80 * (na + nb - both)),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), b AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common, any_value(p.n) AS na, any_value(q.n) AS nb FROM x p JOIN x q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b WHERE 100 * common >= 80 * (na + nb - common)),
 r AS (SELECT doc_id AS node, doc_id AS least FROM documents UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.node WHERE r.least < l.b),
 c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON node = doc_id"""
