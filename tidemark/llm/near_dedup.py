@@ -9,6 +9,7 @@ Rows of one word sequence are one class, stood for by its least doc_id; copies n
 band bucket the representatives are compared with one hub, not with each other, and every comparison is
 verified on the full sets of two-word shingles. Rounds of other hubs follow for the members that are still in
 another component, then all pairs of members in different components of a bucket, so no candidate is left out.
+Those pairs are joined under bounds on their sizes and on the bits in which bitmaps of their sets differ.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ from ._store import materialize
 from ._words import mix, text_slices, word_hashes, words
 
 UNIVERSE_BITS = 20
-BANDS, ROWS = 28, 4
-HUB_ROUNDS = 3
+BANDS, ROWS = 45, 6
+HUB_ROUNDS = 1
+#: Longs of the bitmap that each shingle sets one bit of. Two bitmaps differ in at most as many bits as the sets
+#: have elements that aren't common, which bounds the similarity from above without any error.
+BITMAP = 32
+_BITS = [f"s{k}" for k in range(BITMAP)]
 BROADCAST_IDS = 500_000
 
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -70,7 +75,7 @@ def _sign(bands: int, rows: int):
         for batch in batches:
             texts, n = batch.column(1), len(batch)
             counts, digests = np.zeros(n, np.int64), [None] * n
-            keys = np.zeros((n, bands), np.uint64)
+            keys, bitmaps = np.zeros((n, bands), np.uint64), np.zeros((n, 64 * BITMAP), np.uint8)
             for lo, hi, data, offsets in text_slices(texts):
                 starts, ends, at = words(data, offsets)
                 hashes = word_hashes(data, starts, ends, lower=True)
@@ -81,12 +86,14 @@ def _sign(bands: int, rows: int):
                         continue
                     found = shingle_set(hashes[at[i] : at[i + 1]])
                     counts[lo + i] = len(found)
+                    bitmaps[lo + i, (found % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
                     signs[i] = signature(found, bands * rows)
                     digests[lo + i] = hashlib.md5(b" ".join(raw[offsets[i] : offsets[i + 1]].lower().split())).digest()
                 with np.errstate(over="ignore"):
                     keys[lo:hi] = mix((signs.reshape(-1, bands, rows) * weights).sum(axis=2, dtype=np.uint64) + band_salt)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
+            longs = np.packbits(bitmaps, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(digests, pa.binary()), lists, *(pa.array(longs[:, k]) for k in range(BITMAP))], ["doc_id", "n_shingles", "digest", "bands", *_BITS])
 
     return run
 
@@ -129,16 +136,21 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     shingles. Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
     doc_id are returned each, with the component of its own text. Rows with a null doc_id are returned with a
     null component and kept. An empty table gives an empty result. A pair at the threshold is missed by all
-    bands with a probability of (1 - 0.8 ** rows) ** bands, 4e-7 by default.
+    bands with a probability of (1 - 0.8 ** rows) ** bands, 1e-6 by default.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
-    classes = materialize(signed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    signed = materialize(docs.mapInArrow(_sign(bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{b} long" for b in _BITS)), "signed")
+    classes = materialize(signed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(b).alias(b) for b in _BITS)), "classes")
     buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    shared = materialize(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub"), "shared")
-    # buckets of two or more representatives, with the sizes that a similar pair must have
-    members = materialize(buckets.join(shared, "key").select("key", "hub", "rep", "n"), "members")
-    pairs = members.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("times")).select("a", "b")
+    shared = materialize(buckets.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size"), "shared")
+    # buckets of two or more representatives, with the sizes that a similar pair must have; the hub of a bucket
+    # is the member that meets the most others in all of its buckets, which edited copies have in their source
+    members = materialize(buckets.join(shared, "key"), "met")
+    met = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    members = members.join(met, "rep").select("key", "rep", "n", "met")
+    hubs = members.groupBy("key").agg(F.min(F.struct(-F.col("met"), "rep")).alias("h")).select("key", F.col("h.rep").alias("hub"))
+    members = materialize(members.drop("met").join(hubs, "key"), "members")
+    pairs = members.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = materialize(_verified(materialize(pairs, "pairs"), docs, numerator, denominator), "links")
     for turn in range(HUB_ROUNDS + 1):
         found = materialize(components(links), "components")
@@ -146,7 +158,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
         if mixed is None:
             break
         all_pairs = turn == HUB_ROUNDS or _few(mixed)
-        pairs = _by_pair(mixed) if all_pairs else _by_hub(mixed, turn)
+        pairs = _by_pair(mixed, classes, numerator, denominator) if all_pairs else _by_hub(mixed, turn)
         sized = f"{denominator} * least(na, nb) >= {numerator} * greatest(na, nb)"
         pairs = materialize(pairs.where("a <> b").where(sized).select("a", "b").distinct(), "pairs")
         links = materialize(links.union(_verified(pairs, docs, numerator, denominator)), "links")
@@ -191,8 +203,15 @@ def _by_hub(mixed: DataFrame, turn: int) -> DataFrame:
     return mixed.join(hub, "key").where("comp <> h.comp").select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"))
 
 
-def _by_pair(mixed: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members in different components."""
-    x = mixed.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = mixed.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return x.join(y, "key").where("a < b and ca <> cb").select("a", "b", "na", "nb")
+def _by_pair(mixed: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """All pairs of a bucket's members in different components whose sizes and bitmaps allow a link.
+
+    Both are conditions of the join, so that pairs below the threshold are hardly ever rows.
+    """
+    mixed = mixed.join(classes.select("rep", *_BITS), "rep")
+    x, y = (mixed.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "rep", "n", "comp", *_BITS))) for side in "ab")
+    sized = f"{denominator} * least(n_a, n_b) >= {numerator} * greatest(n_a, n_b)"
+    differ = " + ".join(f"bit_count({b}_a ^ {b}_b)" for b in _BITS)
+    near = f"({denominator} + {numerator}) * ({differ}) <= ({denominator} - {numerator}) * (n_a + n_b)"
+    met = x.join(y, F.expr(f"key_a = key_b and rep_a < rep_b and comp_a <> comp_b and {sized} and {near}"))
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
