@@ -34,6 +34,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_bound(wanted: int, of: int) -> int:
+    """The value that about ``wanted`` of ``of`` 64-bit hashes don't exceed; all of them if there aren't more.
+
+    A filter by it comes before a sort with a limit, so that what every task hands on is the sample and not
+    as many rows as the limit again.
+    """
+    return 2**63 - 1 if of <= wanted else int(-(2**63) + 2**64 * (wanted / of))
+
+
 def widened(df: DataFrame, **kinds: str) -> StructType:
     """The schema of ``df`` with more columns; the data frame's own schema object stays as it is."""
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in kinds.items())).fields])

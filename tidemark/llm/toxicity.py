@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import widened
+from ._store import hash_bound, widened
 from ._words import ALNUM, mix, text_slices, word_hashes, words
 
 MAX_ROWS = 32_768
@@ -91,7 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[f
     model is empty and the bias is -35, which scores all texts 0.
     """
     spark = docs.sparkSession
-    picked = labels.select("doc_id", F.col("toxic").cast("double").alias("toxic")).dropna().withColumn("at", F.xxhash64("doc_id", "toxic")).orderBy("at", "doc_id").limit(max_rows)
+    picked = labels.select("doc_id", F.col("toxic").cast("double").alias("toxic")).dropna().withColumn("at", F.xxhash64("doc_id", "toxic"))
+    picked = picked.where(F.col("at") <= hash_bound(max_rows + max_rows // 8, picked.count())).orderBy("at", "doc_id").limit(max_rows)
     picked = spark.createDataFrame(picked.toPandas(), "doc_id long, toxic double, at long")  # max_rows rows of 24 bytes
     shards = max(1, round(picked.count() / ROWS_PER_SHARD))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
