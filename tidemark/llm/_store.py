@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -43,6 +46,13 @@ def hash_bound(wanted: int, of: int) -> int:
     return 2**63 - 1 if of <= wanted else int(-(2**63) + 2**64 * (wanted / of))
 
 
+def release() -> None:
+    """Give free memory back: a worker stays for the next tasks, of this job or another."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def widened(df: DataFrame, **kinds: str) -> StructType:
     """The schema of ``df`` with more columns; the data frame's own schema object stays as it is."""
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in kinds.items())).fields])

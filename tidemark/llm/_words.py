@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 #: Letters, digits and all non-ASCII bytes: words without ASCII punctuation.

@@ -25,14 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import widened
+from ._store import release, widened
 
-CACHE_WORDS = 400_000
-SLICE_ROWS = 256
+CACHE_WORDS = 150_000
+SLICE_ROWS = 64
 
 _PLAIN, _ENDING = 0, 1  # keys of a trie node besides its characters
 _NEVER = np.int64(1) << np.int64(40)
 _models: dict[str, "Bpe"] = {}
+_texts: dict[str, np.ndarray] = {}
 
 
 def _byte_characters() -> list[str]:
@@ -42,6 +43,18 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def token_texts(path: str) -> np.ndarray:
+    """The text of each token by its id, which is all that decoding takes."""
+    if path not in _texts:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = {**spec["model"]["vocab"], **{x["content"]: x["id"] for x in spec["added_tokens"]}}
+        _texts[path] = np.full(max(known.values()) + 1, "", object)
+        for text, i in known.items():
+            _texts[path][i] = text
+    return _texts[path]
+
+
 class Bpe:
     """A byte-level vocabulary with word ends, and its encoder for single words."""
 
@@ -52,10 +65,7 @@ class Bpe:
         self.end = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.tokens = np.full(size, "", object)
-        for text, i in chain(vocab.items(), self.special.items()):
-            self.tokens[i] = text
+        size = len(token_texts(path))
         self.byte = _byte_characters()
         self.vocab = vocab
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -146,7 +156,7 @@ class Bpe:
         while lo < len(order):
             shortest = lengths[order[lo]]
             hi = int(np.searchsorted(lengths[order], shortest + max(3, shortest // 4), "right"))
-            hi = min(hi, lo + max(1, (1 << 20) // int(lengths[order[hi - 1]])))
+            hi = min(hi, lo + max(1, (1 << 17) // int(lengths[order[hi - 1]])))
             self._merge_block(order[lo:hi], words, out)
             lo = hi
         return out
@@ -281,13 +291,14 @@ def _encode(path: str, at: int):
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 own = batch.slice(lo, SLICE_ROWS)
                 yield pa.RecordBatch.from_arrays([*own.columns, lists], [*own.schema.names, "ids"])
+            release()
 
     return run
 
 
 def _decode(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = model(path).tokens
+        tokens = token_texts(path)
         for batch in batches:
             for lo in range(0, len(batch), SLICE_ROWS):
                 own = batch.slice(lo, SLICE_ROWS)

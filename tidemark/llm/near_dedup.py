@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import materialize
+from ._store import materialize, release
 from ._words import mix, text_slices, word_hashes, words
 
 UNIVERSE_BITS = 20
@@ -94,6 +94,7 @@ def _sign(bands: int, rows: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
             longs = np.packbits(bitmaps, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(digests, pa.binary()), lists, *(pa.array(longs[:, k]) for k in range(BITMAP))], ["doc_id", "n_shingles", "digest", "bands", *_BITS])
+            release()
 
     return run
 

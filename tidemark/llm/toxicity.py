@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import hash_bound, widened
+from ._store import hash_bound, release, widened
 from ._words import ALNUM, mix, text_slices, word_hashes, words
 
 MAX_ROWS = 32_768
@@ -78,9 +78,23 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, alpha
     return float(weights(z[bias], n[bias], 0.0)), coordinates[kept], w[kept]
 
 
+def _frequent_rows(texts: pa.Array) -> list[np.ndarray]:
+    """Distinct features of every text, without those that can't get a weight.
+
+    A feature that isn't in more than L1 / EPOCHS texts gathers gradients of L1 at most, so that its weight is
+    zero throughout. Counts are kept by 22 bits of the hash, which never makes them smaller.
+    """
+    counts = np.zeros(1 << 22, np.uint16)
+    for row in _feature_rows(texts):
+        np.add.at(counts, np.unique(row) >> np.uint64(42), 1)
+    kept = counts > L1 / EPOCHS
+    return [u[kept[u >> np.uint64(42)]] for u in map(np.unique, _feature_rows(texts))]
+
+
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["at", "toxic", "text"])
-    bias, coordinates, w = ftrl(list(_feature_rows(pa.array(pdf["text"], pa.large_string()))), pdf["toxic"].to_numpy(float))
+    bias, coordinates, w = ftrl(_frequent_rows(pa.array(pdf["text"], pa.large_string())), pdf["toxic"].to_numpy(float))
+    release()
     return pd.DataFrame({"coordinate": [None, *coordinates.view(np.int64).tolist()], "w": [bias, *w]}, dtype=object)
 
 
@@ -120,6 +134,7 @@ def _score(model):
                 sums.append(found + bias)
             score = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            release()
 
     return run
 
