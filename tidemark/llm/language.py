@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import widened
+from ._store import hash_bound, widened
 
 #: Rows of a language, bytes of one row, and bytes of a dictionary that are learned from at most.
 MAX_ROWS, ROW_BYTES, DICT_BYTES = 900, 1024, 1 << 17
@@ -39,6 +39,9 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - ROW_BYTES // 2, F.lit(1))).cast("int")
     rows = rows.select("lang", F.xxhash64("text", F.lit(1)).alias("at"), F.lower(F.substring("text", at + 1, F.lit(ROW_BYTES))).alias("piece"))
+    if counts:
+        bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, hash_bound(2 * max_rows, n))))
+        rows = rows.where(F.col("at") <= bounds[F.col("lang")])
     first = Window.partitionBy("lang").orderBy("at", "piece")
     picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_rows).orderBy("lang", "k").select("lang", "piece").toPandas()
     content = {lang: "\n".join(own["piece"]).encode()[-DICT_BYTES:] for lang, own in picked.groupby("lang")}
