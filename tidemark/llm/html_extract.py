@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import widened
+from ._store import hash_bound, widened
 from ._words import text_slices, word_hashes, words
 
 #: Pages to learn from, and the length of html up to which a page is taken for that.
@@ -328,7 +328,8 @@ def train_on(htmls: list[str], variants: int = 4, seed: int = 9) -> Network | No
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Network | None:
     """Train on at most ``max_pages`` pages of at most MAX_PAGE_CHARS, in the order of a hash, in one task."""
-    picked = pages.select("html").where(f"html is not null and length(html) between 1 and {MAX_PAGE_CHARS}").select(F.xxhash64("html").alias("at"), "html").orderBy("at", "html").limit(max_pages)
+    picked = pages.select("html").where(f"html is not null and length(html) between 1 and {MAX_PAGE_CHARS}").select(F.xxhash64("html").alias("at"), "html")
+    picked = picked.where(F.col("at") <= hash_bound(2 * max_pages, picked.count())).orderBy("at", "html").limit(max_pages)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         network = train_on(pdf.sort_values(["at", "html"])["html"].tolist())
