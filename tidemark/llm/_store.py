@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Rows of whole texts that go to Python at a time while a table is written, which bounds the buffers on both sides.
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _written: list[tuple[SparkSession, str]] = []
 
@@ -32,7 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, ARROW_ROWS if int(before) <= 0 else min(int(before), ARROW_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
