@@ -101,3 +101,33 @@ def persona_best_match(spark, sf):
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_PAIRS}) QUALIFY rank <= 5")
 def persona_topk(spark, sf):
     return V.top_k(_pairs(spark, sf), 5)
+
+
+_SQL_ALL_PAIRS = f"SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_SQL_COSINE} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id"
+
+
+def _all_pairs(spark, sf):
+    """Every id that 100 divides is searched for among all vectors but itself, so that queries grow with the table."""
+    e = table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.similarities(asked, e).where("vec_id <> query_id")
+
+
+@query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_ALL_PAIRS}) QUALIFY rank <= 3")
+def vector_topk_all(spark, sf):
+    return V.top_k(_all_pairs(spark, sf), 3)
+
+
+@query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_ALL_PAIRS}) WHERE score >= 0.3 QUALIFY rank <= 10")
+def vector_threshold_all(spark, sf):
+    return V.top_k(_all_pairs(spark, sf), 10, 0.3)
+
+
+@query(f"SELECT query_id, CASE WHEN score >= 0.6 THEN vec_id END AS vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM ({_SQL_ALL_PAIRS})) WHERE r = 1")
+def persona_best_match_all(spark, sf):
+    return V.best_match(_all_pairs(spark, sf))
+
+
+@query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_ALL_PAIRS}) QUALIFY rank <= 5")
+def persona_topk_all(spark, sf):
+    return V.top_k(_all_pairs(spark, sf), 5)
