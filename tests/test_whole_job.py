@@ -3,6 +3,7 @@
 import pytest
 
 from tidemark.catalog import QUERIES
+from tidemark.llm import language
 
 
 @pytest.mark.parametrize("name", ["vector_topk_all", "vector_threshold_all", "persona_best_match_all", "persona_topk_all"])
@@ -15,3 +16,16 @@ def test_vector_queries_grow_with_the_table_and_find_any_row(spark, tmp_path, na
     assert {r["query_id"] for r in got} == set(range(0, 2501, 100))
     assert [r["vec_id"] for r in got if r["query_id"] == 2500 and r.asDict().get("rank", 1) == 1] == [7]
     assert not [r for r in got if r["query_id"] == r["vec_id"]]
+
+
+def test_a_dictionary_has_each_text_once(spark):
+    texts = [f"text {chr(97 + i % 26)}{i} " * 40 for i in range(30)]
+    rows = [(t, "aa") for t in texts] + [("copied over and over", "aa")] * 2000
+    content = dict(language.fit(spark.createDataFrame(rows, "text string, lang string")))["aa"].decode()
+    assert content.count("copied over and over") == 1
+    assert sum(f" {t.split()[1]} " in content for t in texts) == 30
+
+
+def test_a_dictionary_is_filled(spark):
+    rows = [(f"wort{i} " * 200, "aa") for i in range(400)]
+    assert len(dict(language.fit(spark.createDataFrame(rows, "text string, lang string")))["aa"]) == language.DICT_BYTES

@@ -30,11 +30,15 @@ MIN_MARGIN = 4
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
     """(language, dictionary content) from ``docs`` (text, lang); the most frequent language comes first.
 
-    At most ``max_rows`` rows of a language are taken, in the order of a hash of their text, and of each a
-    piece of ROW_BYTES. Rows without a language or a letter are left out. There are MAX_LANGUAGES at most.
+    Different texts of a language are taken in the order of a hash, and of each a piece of ROW_BYTES, until the
+    pieces fill DICT_BYTES or ``max_rows`` are taken; copies of a text count once. Rows without a language or a
+    letter are left out. There are MAX_LANGUAGES at most.
     """
     rows = docs.select("lang", "text").where("lang is not null and text rlike '\\\\p{L}'")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    hashed = rows.select("lang", F.xxhash64("text", F.lit(1)).alias("at"))
+    texts = hashed.groupBy("lang", "at").agg(F.count("*").alias("n"))
+    found = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    counts = {r["lang"]: r["texts"] for r in found}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - ROW_BYTES // 2, F.lit(1))).cast("int")
@@ -42,8 +46,11 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
     if counts:
         bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, hash_bound(2 * max_rows, n))))
         rows = rows.where(F.col("at") <= bounds[F.col("lang")])
-    first = Window.partitionBy("lang").orderBy("at", "piece")
-    picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_rows).orderBy("lang", "k").select("lang", "piece").toPandas()
+    rows = rows.groupBy("lang", "at").agg(F.min("piece").alias("piece"))
+    first = Window.partitionBy("lang").orderBy("at")
+    picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_rows)
+    before = F.coalesce(F.sum(F.octet_length("piece") + 1).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = picked.withColumn("before", before).where(F.col("before") < DICT_BYTES).orderBy("lang", "k").select("lang", "piece").toPandas()
     content = {lang: "\n".join(own["piece"]).encode()[-DICT_BYTES:] for lang, own in picked.groupby("lang")}
     return [(lang, content[lang]) for lang in counts if lang in content]
 
