@@ -29,3 +29,22 @@ def test_a_dictionary_has_each_text_once(spark):
 def test_a_dictionary_is_filled(spark):
     rows = [(f"wort{i} " * 200, "aa") for i in range(400)]
     assert len(dict(language.fit(spark.createDataFrame(rows, "text string, lang string")))["aa"]) == language.DICT_BYTES
+
+
+def test_every_document_is_judged_against_the_next_segment(spark, tmp_path):
+    texts = [(1, "Anna"), (2, "Berta"), (3, "Anna"), (4, "Berta"), (5, "Clara"), (6, "Clara"), (7, "Dora"), (8, None)]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["qa_id"] for r in QUERIES["entity_overlap_discard_all"](spark, str(tmp_path)).collect()}
+    assert got == {1, 2, 3, 4, 6, 7, 8}  # 5 is of segment 1 and 6, of segment 2, has Clara too
+    stamped = QUERIES["inherit_stamp_all"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in stamped} == set(range(1, 9))
+
+
+def test_availability_counts_all_events(spark, tmp_path):
+    events = [(i, "a" if i % 4 else "b", i) for i in range(1, 41)]
+    spark.createDataFrame(events, "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    plan = {r["topic"]: (r["target"], r["available"], r["inherit"], r["generate"]) for r in QUERIES["inherit_plan_all"](spark, str(tmp_path)).collect()}
+    assert plan == {"a": (375, 30, 30, 345), "b": (125, 10, 10, 115)}
+    assert QUERIES["inherit_summary_all"](spark, str(tmp_path)).first().asDict() == {"inherit_count": 40, "discarded": 960, "candidate_count": 40, "generation_needed": 460}
+    assert QUERIES["remaining_target_all"](spark, str(tmp_path)).first()["remaining"] == 460
+    assert {r["topic"] for r in QUERIES["budgeted_resample_all"](spark, str(tmp_path)).collect()} == {"a", "b"}

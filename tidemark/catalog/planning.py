@@ -127,3 +127,39 @@ def topic_lookup(spark, sf):
 def persona_topic_index(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("persona_id"), F.concat("source", F.lit(" | "), "lang", F.lit("|")).alias("source_topic"))
     return V.personas_by_topic(rows)
+
+
+_ALL_AVAILABLE = "SELECT event_type AS topic, CAST(count(DISTINCT user_id) AS BIGINT) AS available FROM events GROUP BY 1"
+_ALL_PLAN = _PLAN.replace(_AVAILABLE, _ALL_AVAILABLE)
+
+
+def _all_plan(spark, sf):
+    """A user who has events of a type is one candidate of it; every event counts for the targets and the candidates."""
+    available = table(spark, sf, "events").groupBy(F.col("event_type").alias("topic")).agg(F.count_distinct("user_id").alias("available"))
+    return L.inherit_plan(L.inherit_targets(_counts(spark, sf), N), available)
+
+
+@query(_ALL_PLAN)
+def inherit_plan_all(spark, sf):
+    return _all_plan(spark, sf)
+
+
+@query(f"SELECT CAST(sum(inherit) AS BIGINT) AS inherit_count, CAST(1000 - sum(inherit) AS BIGINT) AS discarded, CAST(sum(available) AS BIGINT) AS candidate_count, CAST(sum(generate) AS BIGINT) AS generation_needed FROM ({_ALL_PLAN})")
+def inherit_summary_all(spark, sf):
+    return L.plan_summary(_all_plan(spark, sf), F.lit(1000))
+
+
+@query(f"SELECT CASE WHEN sum(generate) > 0 THEN CAST(sum(generate) AS BIGINT) ELSE greatest(0, {N} - CAST(sum(inherit) AS BIGINT)) END AS remaining FROM ({_ALL_PLAN})")
+def remaining_target_all(spark, sf):
+    plan = _all_plan(spark, sf).agg(F.sum("generate").alias("g"), F.sum("inherit").alias("i"))
+    return plan.select(L.remaining_target(F.when(F.col("g") > 0, F.col("g")), N, F.col("i")).alias("remaining"))
+
+
+@query(f"SELECT topic, least(target, available) AS base, 0 AS extra FROM ({_ALL_PLAN})")
+def budgeted_resample_all(spark, sf):
+    return L.budgeted_resample(_all_plan(spark, sf).select("topic", "target", "available"), N)
+
+
+@query("SELECT doc_id, 3 AS segment_id, 2 AS inherited_from, 'inherited' AS inheritance_status FROM documents")
+def inherit_stamp_all(spark, sf):
+    return Q.stamp_inherited(table(spark, sf, "documents").select("doc_id"), 3)

@@ -134,6 +134,18 @@ def entity_overlap_discard(spark, sf):
     return E.discard_overlapping(c.where("segment_id = 2").select(F.col("doc_id").alias("qa_id"), "entities"), current).select("qa_id")
 
 
+@query(f"""WITH c AS {_SQL_CHUNKED}, p AS (SELECT doc_id, segment_id, unnest(entities) AS e FROM c),
+n AS (SELECT DISTINCT CASE segment_id WHEN 1 THEN -1 WHEN -1 THEN 3 ELSE segment_id - 1 END AS segment_id, e FROM p)
+SELECT doc_id AS qa_id FROM c WHERE doc_id NOT IN (SELECT doc_id FROM p JOIN n USING (segment_id, e))""")
+def entity_overlap_discard_all(spark, sf):
+    """The documents of each segment against the entities of the next; 1 follows the timeless, which follow 3."""
+    c = _chunked(spark, sf)
+    of = lambda segment: F.transform("entities", lambda e: F.concat(segment.cast("string"), F.lit("|"), e))
+    after = F.when(F.col("segment_id") == -1, 1).when(F.col("segment_id") == 3, -1).otherwise(F.col("segment_id") + 1)
+    current = c.select(F.explode(of(F.col("segment_id"))).alias("entity"))
+    return E.discard_overlapping(c.select(F.col("doc_id").alias("qa_id"), of(after).alias("entities")), current).select("qa_id")
+
+
 @query(f"""WITH e AS (SELECT DISTINCT unnest({_SQL_ENTITIES}) AS entity FROM benchmark)
 SELECT item_id, count(*) AS n, min(entity) AS first_entity FROM benchmark JOIN e ON contains(lower(text), lower(entity)) GROUP BY item_id""")
 def entity_mentions(spark, sf):
