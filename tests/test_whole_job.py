@@ -3,7 +3,7 @@
 import pytest
 
 from tidemark.catalog import QUERIES
-from tidemark.llm import language
+from tidemark.llm import html_extract, language
 
 
 @pytest.mark.parametrize("name", ["vector_topk_all", "vector_threshold_all", "persona_best_match_all", "persona_topk_all"])
@@ -48,3 +48,9 @@ def test_availability_counts_all_events(spark, tmp_path):
     assert QUERIES["inherit_summary_all"](spark, str(tmp_path)).first().asDict() == {"inherit_count": 40, "discarded": 960, "candidate_count": 40, "generation_needed": 460}
     assert QUERIES["remaining_target_all"](spark, str(tmp_path)).first()["remaining"] == 460
     assert {r["topic"] for r in QUERIES["budgeted_resample_all"](spark, str(tmp_path)).collect()} == {"a", "b"}
+
+
+def test_a_page_is_learned_from_once(spark):
+    rows = [("<article><p>copied</p></article>",)] * 500 + [(f"<article><p>page {i}</p></article>",) for i in range(150)]
+    got = [r["html"] for r in html_extract.sample(spark.createDataFrame(rows, "html string")).collect()]
+    assert sorted(got) == sorted({h for (h,) in rows})

@@ -326,10 +326,16 @@ def train_on(htmls: list[str], variants: int = 4, seed: int = 9) -> Network | No
     return network
 
 
-def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Network | None:
-    """Train on at most ``max_pages`` pages of at most MAX_PAGE_CHARS, in the order of a hash, in one task."""
+def sample(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """(at, html): the first ``max_pages`` different pages of at most MAX_PAGE_CHARS, in the order of a hash."""
     picked = pages.select("html").where(f"html is not null and length(html) between 1 and {MAX_PAGE_CHARS}").select(F.xxhash64("html").alias("at"), "html")
-    picked = picked.where(F.col("at") <= hash_bound(2 * max_pages, picked.count())).orderBy("at", "html").limit(max_pages)
+    different = picked.select("at").distinct().count()
+    return picked.where(F.col("at") <= hash_bound(2 * max_pages, different)).groupBy("at").agg(F.min("html").alias("html")).orderBy("at").limit(max_pages)
+
+
+def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Network | None:
+    """Train on the sample of the pages, in one task."""
+    picked = sample(pages, max_pages)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         network = train_on(pdf.sort_values(["at", "html"])["html"].tolist())
