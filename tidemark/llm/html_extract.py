@@ -40,7 +40,12 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 FRAME = set("nav menu header footer aside sidebar ad advert advertisement banner promo sponsor cookie consent notice alert form comment respons reply share social related newsletter subscribe breadcrumb pagination copyright widget popup modal login search toolbar".split())
 ARTICLE = set("article main content post entry story body-text articlebody".split())
 
-_RAW = "|".join(t for t in HIDDEN_TAGS if t != "head")
+# Hidden elements that may lack an end tag, by what ends the search for it, and elements of a head.
+_LOOSE = {t: re.compile(rf"</{t}\s*>{more}", re.I) for t, more in {"svg": "", "object": "", "button": r"|<button\b", "option": r"|<(?:option|optgroup)\b|</(?:select|datalist|optgroup)\b"}.items()}
+_LABEL = re.compile(r"[^<]*(?=<(?:/?option|/?optgroup|/select|/datalist)\b)", re.I)
+_IN_HEAD = set("html head base basefont bgsound link meta title script style template noscript".split())
+
+_RAW = "|".join(t for t in HIDDEN_TAGS if t != "head" and t not in _LOOSE)
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>(?:.*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.I | re.S)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -56,11 +61,30 @@ def _tokens(tag: str, rest: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _hidden_end(html: str, tag: str, rest: str, at: int, gone: set[str]) -> int:
+    """Where a hidden element that may lack an end tag ends, if its start tag ends at ``at``.
+
+    That is at its end tag, or else at ``at``; an option without one ends with its label. ``gone`` has the
+    tags whose search has reached the end of the page.
+    """
+    if tag in gone or (tag == "svg" and rest.endswith("/")):
+        return at
+    m = _LOOSE[tag].search(html, at)
+    if m is None:
+        gone.add(tag)
+        return at
+    if m[0].lower().startswith(f"</{tag}") and m[0].endswith(">"):
+        return m.end()
+    label = _LABEL.match(html, at) if tag == "option" else None
+    return label.end() if label else at
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path tokens, text, characters in links) of the leaf blocks of a page, in order.
 
     Character references are decoded, white space becomes one blank; blocks without text are left out. Tags
-    that are never closed, or closed without being open, are taken as browsers mostly take them.
+    that are never closed, or closed without being open, are taken as browsers mostly take them; a head ends
+    at the first text or element that can't be in one.
     """
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -76,7 +100,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(html):
+    gone: set[str] = set()
+    while m := _TOKEN.search(html, at):
+        if in_head and html[at : m.start()].strip():
+            in_head = False
         if m.start() > at and not in_head:
             piece = html[at : m.start()]
             parts.append(piece)
@@ -85,13 +112,19 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
+            if m["raw"] and m["raw"].lower() not in _IN_HEAD:
+                in_head = False
             continue
         tag = tag.lower()
         if tag == "head":
             in_head = not m["end"]
             continue
-        if tag == "body":
+        if not m["end"] and tag not in _IN_HEAD:
             in_head = False
+        if tag in _LOOSE:
+            if not m["end"]:
+                at = _hidden_end(html, tag, m["rest"], at, gone)
+            continue
         if tag == "br":
             parts.append(" ")
         if tag in VOID:
@@ -113,7 +146,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not m["rest"].endswith("/"):
             stack.append((tag, _tokens(tag, m["rest"])))
             link_depth += tag == "a"
-    if at < len(html) and not in_head:
+    if at < len(html):
         parts.append(html[at:])
     close()
     return out
