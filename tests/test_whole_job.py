@@ -4,6 +4,7 @@ import pytest
 
 from tidemark.catalog import QUERIES
 from tidemark.llm import html_extract, language
+from tidemark.operators import leaderboard, qa
 
 
 @pytest.mark.parametrize("name", ["vector_topk_all", "vector_threshold_all", "persona_best_match_all", "persona_topk_all"])
@@ -72,3 +73,19 @@ def test_a_page_is_learned_from_once(spark):
 )
 def test_only_hidden_elements_are_dropped(html, texts):
     assert [t for _, t, _ in html_extract.blocks(html)] == texts
+
+
+def test_next_answer_over_blocks_and_without_one_window_a_conversation(spark):
+    turns = [(1, t, "user" if t % 2 == 1 else "assistant", f"t{t}") for t in range(1000) if not 300 <= t < 900] + [(2, 5, "user", "q"), (2, 5000, "assistant", "a")]
+    got = qa.next_answer(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    wanted = [(1, t, f"t{t}", f"t{900 if t == 299 else t + 1}") for t in range(1, 999, 2) if not 300 <= t < 900]
+    assert sorted(map(tuple, got.collect())) == sorted([*wanted, (2, 5, "q", "a")])
+    assert "_block" in got._jdf.queryExecution().toString()
+
+
+def test_a_long_board_is_ranked_in_parts(spark):
+    rows = [(i, f"s{i}", None if i % 97 == 0 else float("nan") if i % 89 == 0 else float(i * 7 % 50)) for i in range(1, 2001)]
+    got = leaderboard.ranked(spark.createDataFrame(rows, "seq long, system_name string, total_score double"))
+    order = sorted(rows, key=lambda r: (r[2] is None, r[2] == r[2], -r[2] if r[2] is not None and r[2] == r[2] else 0, r[0]))
+    assert {r["seq"]: r["rank"] for r in got.collect()} == {r[0]: k + 1 for k, r in enumerate(order)}
+    assert "_part" in got._jdf.queryExecution().toString()

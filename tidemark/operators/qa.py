@@ -99,8 +99,23 @@ def topic_description(named: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return named.join(F.broadcast(first), "topic", "left").withColumn("description", F.coalesce("found", "topic")).drop("found")
 
 
+#: Turns by number that one window of ``next_answer`` takes at a time.
+TURN_BLOCK = 256
+
+
 def next_answer(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, question, answer): each user turn with the assistant turn right after it."""
-    after = Window.partitionBy("conv_id").orderBy("turn")
-    both = turns.select("conv_id", "turn", "role", F.col("text").alias("question"), F.lead("role").over(after).alias("next_role"), F.lead("text").over(after).alias("answer"))
+    """(conv_id, turn, question, answer): each user turn with the assistant turn right after it.
+
+    The next turn is looked for within blocks of TURN_BLOCK turns. The last turn of a block meets the first turn
+    of the next block there is, so that a long conversation isn't one task.
+    """
+    rows = turns.select("conv_id", "turn", "role", F.col("text").alias("question"), F.floor(F.col("turn") / TURN_BLOCK).alias("_block"))
+    after = Window.partitionBy("conv_id", "_block").orderBy("turn")
+    rows = rows.select("*", F.lead("role").over(after).alias("_role"), F.lead("question").over(after).alias("_text"), F.row_number().over(after).alias("_k"), F.lead(F.lit(1)).over(after).isNull().alias("_last"))
+    blocks = rows.where("_k = 1").select("conv_id", "_block", F.col("role").alias("_first_role"), F.col("question").alias("_first_text"))
+    over = Window.partitionBy("conv_id").orderBy("_block")
+    ahead = blocks.select(F.col("conv_id").alias("_conv"), F.col("_block").alias("_at"), F.lead("_first_role").over(over).alias("_first_role"), F.lead("_first_text").over(over).alias("_first_text"))
+    met = rows.where("_last").join(ahead, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_block").eqNullSafe(F.col("_at")), "left")
+    own = rows.where("not _last").select("conv_id", "turn", "role", "question", F.col("_role").alias("next_role"), F.col("_text").alias("answer"))
+    both = own.union(met.select("conv_id", "turn", "role", "question", "_first_role", "_first_text"))
     return both.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", "question", "answer")
