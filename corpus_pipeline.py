@@ -20,8 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic; labels of held-out rows are never learned from."""
-    scored = toxicity.with_predictions(docs, _table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return materialize(toxicity.remove_toxic(docs, model), "toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every document."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    out = bpe.round_trip(docs.select("doc_id", "text"), path, ["doc_id"])
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

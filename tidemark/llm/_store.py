@@ -6,22 +6,26 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows of whole texts that go to Python at a time while a table is written, which bounds the buffers on both sides.
-ARROW_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that go to Python at a time while a table is written, which bounds the buffers on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _written: list[tuple[SparkSession, str]] = []
+_held: dict[Hashable, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local session gets a folder of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,21 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
-    Later plans read files that survive the loss of any executor, and an iterative plan stays short.
+    Later plans read files that survive the loss of any executor, and an iterative plan stays short. While
+    the table is written the session's Arrow batches are small ones, which changes no result of any query.
     The tables are removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
+    before = {key: spark.conf.get(key, None) for key in BATCHES}
     try:
-        spark.conf.set(_BATCH, ARROW_ROWS if int(before) <= 0 else min(int(before), ARROW_ROWS))
+        for key, value in BATCHES.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(key: Hashable, make: Callable[[], Any] = lambda: None) -> Any:
+    """What the tasks of one operator share in a Python worker, made by the first of them.
+
+    A worker serves one operator after another, and idle ones stay for a while: the first task of another
+    operator drops what this one holds.
+    """
+    if key not in _held:
+        _held.clear()
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
 def hash_bound(wanted: int, of: int) -> int:
     """The value that about ``wanted`` of ``of`` 64-bit hashes don't exceed; all of them if there aren't more.
 

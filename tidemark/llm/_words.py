@@ -28,13 +28,17 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers; those of an ordinary slice are kept."""
     key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        out = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[key] = np.multiply.accumulate(out)
-    return _powers[key][:n]
+    if key in _powers and n <= len(_powers[key]):
+        return _powers[key][:n]
+    out = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        out = np.multiply.accumulate(out)
+    if n <= SLICE_BYTES + 1:
+        _powers[key] = out
+    return out[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,11 +87,24 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _NOT_SPACE)
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hashes of the words; with ``lower``, A-Z count as a-z."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power(_BASE, len(data)), out=sums[1:])
-        x = (sums[ends] - sums[starts]) * _power(_BASE_INV, len(data))[starts]
-    return mix(x + (ends - starts).astype(np.uint64))
+    return run_hashes(data, starts, [ends], lower)[0]
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], lower: bool = False) -> list[np.ndarray]:
+    """Hashes of the bytes from ``starts`` to each of ``ends``, of which the first goes furthest; long texts go in parts of some SLICE_BYTES."""
+    out, k = [np.empty(len(starts), np.uint64) for _ in ends], 0
+    while k < len(starts):
+        first = int(starts[k])
+        last = max(k + 1, int(np.searchsorted(ends[0], first + SLICE_BYTES, "right")))
+        part = data[first : int(ends[0][last - 1])]
+        at = starts[k:last] - first
+        with np.errstate(over="ignore"):
+            sums = np.empty(len(part) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum((_BYTE_LOWER if lower else _BYTE)[part] * _power(_BASE, len(part)), out=sums[1:])
+            begun, scale = sums[at], _power(_BASE_INV, len(part))[at]
+            for own, e in zip(out, ends):
+                to = e[k:last] - first
+                own[k:last] = mix((sums[to] - begun) * scale + (to - at).astype(np.uint64))
+        k = last
+    return out

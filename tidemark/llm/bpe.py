@@ -25,15 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import release, widened
+from ._store import held, release, widened
 
 CACHE_WORDS = 150_000
 SLICE_ROWS = 64
 
 _PLAIN, _ENDING = 0, 1  # keys of a trie node besides its characters
 _NEVER = np.int64(1) << np.int64(40)
-_models: dict[str, "Bpe"] = {}
-_texts: dict[str, np.ndarray] = {}
 
 
 def _byte_characters() -> list[str]:
@@ -43,29 +41,31 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def token_texts(path: str) -> np.ndarray:
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def token_texts(spec: dict) -> np.ndarray:
     """The text of each token by its id, which is all that decoding takes."""
-    if path not in _texts:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        known = {**spec["model"]["vocab"], **{x["content"]: x["id"] for x in spec["added_tokens"]}}
-        _texts[path] = np.full(max(known.values()) + 1, "", object)
-        for text, i in known.items():
-            _texts[path][i] = text
-    return _texts[path]
+    known = {**spec["model"]["vocab"], **{x["content"]: x["id"] for x in spec["added_tokens"]}}
+    out = np.full(max(known.values()) + 1, "", object)
+    for text, i in known.items():
+        out[i] = text
+    return out
 
 
 class Bpe:
     """A byte-level vocabulary with word ends, and its encoder for single words."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _read(path)
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        size = len(token_texts(path))
+        self.texts = token_texts(spec)
+        size = len(self.texts)
         self.byte = _byte_characters()
         self.vocab = vocab
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -80,7 +80,7 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.ascii_pattern = re.compile(re.sub(r"\[?\\p\{L\}\]?(?=\+)", "[a-z]", pattern).replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def _symbols(self, word: str) -> list[int]:
         chars = [self.byte[b] for b in word.encode()]
@@ -235,11 +235,10 @@ class Bpe:
         pairs, where = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         ok = self._stable(pairs // self.size, pairs % self.size)[where] if len(pairs) else np.zeros(0, bool)
         failing = np.unique(owner[inner[~ok]]).tolist()
-        for k, word in enumerate(missing):
-            self.cache[word] = guesses[k]
-        exact = self._merge_all([self._symbols(missing[k]) for k in failing])
-        for k, ids in zip(failing, exact):
-            self.cache[missing[k]] = ids
+        for k, ids in zip(failing, self._merge_all([self._symbols(missing[k]) for k in failing])):
+            guesses[k] = ids
+        for word, ids in zip(missing, guesses):
+            self.cache[word] = np.array(ids, np.int32).tobytes()
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text: normal form, white space as one blank, lower case, then the pattern's matches."""
@@ -248,7 +247,7 @@ class Bpe:
             return self.pattern.findall("".join(map(str.lower, text)) if "Σ" in text else text.lower())
         return self.ascii_pattern.findall(text.lower())
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = []
         for text in texts:
             parts = self.special_pattern.split(text) if "<|" in text else [text]
@@ -261,17 +260,16 @@ class Bpe:
         get = self.cache.__getitem__
         out = []
         for parts in split:
-            ids: list[int] = []
-            for special, ws in parts:
-                ids.extend(chain.from_iterable(map(get, ws))) if special is None else ids.append(self.special[special])
-            out.append(ids)
+            ids = [b"".join(map(get, ws)) if special is None else np.int32(self.special[special]).tobytes() for special, ws in parts]
+            out.append(np.frombuffer(b"".join(ids), np.int32))
         return out
 
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(self.texts[ids].tolist())
+
 
 def model(path: str) -> Bpe:
-    if path not in _models:
-        _models[path] = Bpe(path)
-    return _models[path]
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def _rows(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -279,18 +277,21 @@ def _rows(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield lo, pc.fill_null(column.slice(lo, SLICE_ROWS), "").to_pylist()
 
 
-def _encode(path: str, at: int):
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([0 if x is None else len(x) for x in rows], out=offsets[1:])
+    flat = np.concatenate([np.zeros(0, np.int32), *(x for x in rows if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in rows], pa.bool_()))
+
+
+def _coded(path: str, at: int, kept: list[int], decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
             for lo, texts in _rows(batch.column(at)):
-                ids = bpe.encode(texts)
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                own = batch.slice(lo, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays([*own.columns, lists], [*own.schema.names, "ids"])
+                own, ids = batch.slice(lo, SLICE_ROWS), bpe.encode(texts)
+                added = {"ids": _lists(ids)} | ({"decoded": pa.array(map(bpe.decode, ids), pa.string())} if decoded else {})
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in kept), *added.values()], [*(own.schema.names[k] for k in kept), *added])
             release()
 
     return run
@@ -298,31 +299,40 @@ def _encode(path: str, at: int):
 
 def _decode(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_texts(path)
+        bpe = model(path)
         for batch in batches:
             for lo in range(0, len(batch), SLICE_ROWS):
                 own = batch.slice(lo, SLICE_ROWS)
-                texts = [None if x is None else " ".join(tokens[np.asarray(x, np.int64)].tolist()) for x in (v.values.to_numpy() if v.is_valid else None for v in own.column(at))]
+                texts = [bpe.decode(v.values.to_numpy()) if v.is_valid else None for v in own.column(at)]
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], [*own.schema.names, "decoded"])
 
     return run
 
 
-def _with(df: DataFrame, column: str, added: str, kind: str, fn) -> DataFrame:
-    return df.mapInArrow(fn(df.columns.index(column)), widened(df, **{added: kind}))
+def _encoded(df: DataFrame, vocab_path: str, text: str, columns: list[str] | None, **added: str) -> DataFrame:
+    df = df.drop(*(c for c in added if c != text))
+    columns = [c for c in (df.columns if columns is None else columns) if c not in added]
+    fn = _coded(vocab_path, df.columns.index(text), [df.columns.index(c) for c in columns], "decoded" in added)
+    return df.mapInArrow(fn, widened(df.select(columns), **added))
 
 
-def encode(df: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
-    """``df`` with a column ``ids``: the token ids of the whole text; null and empty texts have none.
+def encode(df: DataFrame, vocab_path: str, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``df`` (all by default) with ``ids``: the token ids of the whole text; null and empty texts have none.
 
-    An existing column ``ids`` is replaced; others are kept. Special tokens in a text get their own ids.
+    An existing column ``ids`` is replaced. Special tokens in a text get their own ids; every row is coded on its own.
     """
-    return _with(df.drop("ids"), text, "ids", "array<int>", lambda at: _encode(vocab_path, at))
+    return _encoded(df, vocab_path, text, columns, ids="array<int>")
+
+
+def round_trip(df: DataFrame, vocab_path: str, columns: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``columns`` of ``df`` with ``ids`` and what they decode to, ``decoded``, in one pass; columns of these names are replaced."""
+    return _encoded(df, vocab_path, text, columns, ids="array<int>", decoded="string")
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
     """``df`` with a column ``decoded``: the token texts joined by one blank; null for null ids."""
-    return _with(df.drop("decoded"), ids, "decoded", "string", lambda at: _decode(vocab_path, at))
+    df = df.drop("decoded")
+    return df.mapInArrow(_decode(vocab_path, df.columns.index(ids)), widened(df, decoded="string"))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import hash_bound, widened
+from ._store import hash_bound, held, widened
 from ._words import text_slices, word_hashes, words
 
 #: Pages to learn from, and the length of html up to which a page is taken for that.
@@ -381,6 +381,7 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Network | None:
 
 def _extract(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("html_extract")
         network = shared.value
         for whole in batches:
             for lo in range(0, len(whole), 256):

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import hash_bound, widened
+from ._store import hash_bound, held, widened
 
 #: Rows of a language, bytes of one row, and bytes of a dictionary that are learned from at most.
 MAX_ROWS, ROW_BYTES, DICT_BYTES = 900, 1024, 1 << 17
@@ -75,17 +75,9 @@ class Compressors:
         return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.by_level[level]])
 
 
-_made: dict[int, Compressors] = {}
-
-
 def _classify(shared, at: int, min_margin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        key = hash(tuple(model))
-        if key not in _made:
-            _made.clear()
-            _made[key] = Compressors(model)
-        compressors = _made[key]
+        compressors = held(("language", hash(tuple(shared.value))), lambda: Compressors(shared.value))
         for batch in batches:
             langs, scores, accepted = [], [], []
             for text in batch.column(at):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import materialize, release
+from ._store import held, materialize, release
 from ._words import mix, text_slices, word_hashes, words
 
 UNIVERSE_BITS = 20
@@ -35,18 +35,17 @@ BITMAP = 32
 _BITS = [f"s{k}" for k in range(BITMAP)]
 BROADCAST_IDS = 500_000
 
-_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
 
 def _permutations(width: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """The first permutation, and K-wide slices of the second one, wrapped around."""
-    if (width, seed) not in _tables:
+
+    def make():
         rng = np.random.default_rng(seed)
         n = 1 << UNIVERSE_BITS
         first, second = rng.permutation(n).astype(np.int32), rng.permutation(n).astype(np.int32)
-        wrapped = np.concatenate([second, second[: width - 1]])
-        _tables[width, seed] = first, np.lib.stride_tricks.sliding_window_view(wrapped, width)
-    return _tables[width, seed]
+        return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: width - 1]]), width)
+
+    return held(("near_dedup", width, seed), make)
 
 
 def signature(shingles: np.ndarray, width: int) -> np.ndarray:

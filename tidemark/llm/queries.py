@@ -24,12 +24,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary()
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path))
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, ["doc_id"]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = toxicity.with_predictions(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", "held_out", "score", "predicted")
+    return toxicity.with_predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
