@@ -14,7 +14,7 @@ _COUNTS = "SELECT event_type AS topic, count(*) AS n FROM events GROUP BY 1"
 _TARGETS = f"""WITH c AS ({_COUNTS}), p AS (SELECT topic, n, n / sum(n) OVER () AS proportion FROM c),
 b AS (SELECT *, CAST(floor({N} * CAST(proportion AS DOUBLE)) AS BIGINT) AS base, row_number() OVER (ORDER BY proportion DESC, topic) AS r FROM p)
 SELECT topic, n, base + CASE WHEN r = 1 THEN {N} - CAST(sum(base) OVER () AS BIGINT) ELSE 0 END AS target FROM b"""
-_AVAILABLE = "SELECT event_type AS topic, CAST(count(*) AS BIGINT) AS available FROM events WHERE event_id % 23 = 0 GROUP BY 1"
+_AVAILABLE = "SELECT event_type AS topic, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS available FROM events GROUP BY 1"
 _PLAN = f"SELECT topic, target, coalesce(available, 0) AS available, least(target, coalesce(available, 0)) AS inherit, target - least(target, coalesce(available, 0)) AS generate FROM ({_TARGETS}) LEFT JOIN ({_AVAILABLE}) USING (topic)"
 
 
@@ -23,7 +23,8 @@ def _counts(spark, sf):
 
 
 def _available(spark, sf):
-    return table(spark, sf, "events").where("event_id % 23 = 0").groupBy(F.col("event_type").alias("topic")).agg(F.count("*").alias("available"))
+    """A day with events of a type is one candidate of it."""
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("topic")).agg(F.count_distinct(F.col("ts").cast("date")).alias("available"))
 
 
 def _plan(spark, sf):
@@ -50,9 +51,9 @@ def inherit_summary(spark, sf):
     return L.plan_summary(_plan(spark, sf), F.lit(1000))
 
 
-@query("SELECT doc_id, 3 AS segment_id, 2 AS inherited_from, 'inherited' AS inheritance_status FROM documents WHERE source = 'src1'")
+@query("SELECT doc_id, 3 AS segment_id, 2 AS inherited_from, 'inherited' AS inheritance_status FROM labels")
 def inherit_stamp(spark, sf):
-    return Q.stamp_inherited(table(spark, sf, "documents").where("source = 'src1'").select("doc_id"), 3)
+    return Q.stamp_inherited(table(spark, sf, "labels").select("doc_id"), 3)
 
 
 _TOPICS = "SELECT source AS topic, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS proportion, CAST(count(*) FILTER (lang = 'fr') AS BIGINT) AS inherited, CAST(count(*) FILTER (lang = 'en' AND source <> 'src3') AS BIGINT) AS n_templates FROM documents GROUP BY source"
@@ -73,9 +74,9 @@ def sampler_allocation(spark, sf):
     return _allocation(spark, sf)
 
 
-@query(f"SELECT doc_id, topic FROM (SELECT doc_id, source AS topic, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents WHERE lang = 'en') JOIN ({_ALLOCATION}) USING (topic) WHERE r <= allocated")
+@query(f"SELECT doc_id, topic FROM (SELECT doc_id, source AS topic, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents) JOIN ({_ALLOCATION}) USING (topic) WHERE r <= allocated")
 def stratified_sample(spark, sf):
-    rows = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("source").alias("topic"))
+    rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic"))
     return L.stratified_sample(rows, _allocation(spark, sf), "doc_id").select("doc_id", "topic")
 
 

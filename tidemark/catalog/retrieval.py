@@ -75,12 +75,13 @@ def bm25_topk_padded(spark, sf):
 
 
 _SQL_COSINE = "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6)"
-_SQL_PAIRS = f"SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_SQL_COSINE} AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.vec_id >= 20"
+_SQL_PAIRS = f"SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_SQL_COSINE} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0"
 
 
 def _pairs(spark, sf):
+    """Every id that 100 divides is searched for among all vectors, itself included."""
     e = table(spark, sf, "embeddings")
-    return V.similarities(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id >= 20"))
+    return V.similarities(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e)
 
 
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_PAIRS}) QUALIFY rank <= 3")
@@ -107,10 +108,8 @@ _SQL_ALL_PAIRS = f"SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_SQL_COSINE
 
 
 def _all_pairs(spark, sf):
-    """Every id that 100 divides is searched for among all vectors but itself, so that queries grow with the table."""
-    e = table(spark, sf, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.similarities(asked, e).where("vec_id <> query_id")
+    """The same searches among all vectors but the one searched for."""
+    return _pairs(spark, sf).where("vec_id <> query_id")
 
 
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_ALL_PAIRS}) QUALIFY rank <= 3")

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query, table
 from tidemark.functions import text as X
 from tidemark.operators import entities as E
 
-_CLEAN_STEPS = [
-    (r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"<li[^>]*>", "\n- "),
-    (r"</(p|div|tr|h[1-6]|ul|article|nav|footer)>|<br>", "\n"),
-    (r"</?(td|th)[^>]*>", " "),
-    (r"<[^>]*>", ""),
-]
-
-
 def _sql_html(column: str) -> str:
     out = column
-    for pattern, to in _CLEAN_STEPS:
+    for pattern, to in X.MARKUP:
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     for name, char in X._ENTITIES:
         out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
@@ -52,10 +43,10 @@ def citation_strip(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(X.strip_citations(cited)).alias("md5"))
 
 
-@query(f"SELECT doc_id, md5({_sql_space('text')}) AS md5, length({_sql_space('text')}) AS n_chars FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, md5({_sql_space('text')}) AS md5, length({_sql_space('text')}) AS n_chars FROM documents")
 def whitespace_normalize(spark, sf):
     out = X.normalize_whitespace(F.col("text"))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(out).alias("md5"), F.length(out).cast("long").alias("n_chars"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(out).alias("md5"), F.length(out).cast("long").alias("n_chars"))
 
 
 @query(f"SELECT page_id, md5({_sql_space(_sql_html('html'))}) AS md5 FROM pages")
@@ -125,13 +116,13 @@ def segment_entities(spark, sf):
     return E.segment_entities(_chunked(spark, sf))
 
 
-@query(f"""WITH c AS {_SQL_CHUNKED}, cur AS (SELECT DISTINCT unnest(entities) AS e FROM c WHERE doc_id % 20 = 1),
-qa AS (SELECT doc_id AS qa_id, unnest(entities) AS e FROM c WHERE segment_id = 2)
-SELECT doc_id AS qa_id FROM c WHERE segment_id = 2 AND doc_id NOT IN (SELECT qa_id FROM qa WHERE e IN (SELECT e FROM cur))""")
+@query(f"""WITH c AS {_SQL_CHUNKED}, cur AS (SELECT DISTINCT unnest({_SQL_ENTITIES}) AS e FROM benchmark),
+qa AS (SELECT doc_id AS qa_id, unnest(entities) AS e FROM c)
+SELECT doc_id AS qa_id FROM c WHERE doc_id NOT IN (SELECT qa_id FROM qa WHERE e IN (SELECT e FROM cur))""")
 def entity_overlap_discard(spark, sf):
-    c = _chunked(spark, sf)
-    current = c.where("doc_id % 20 = 1").select(F.explode("entities").alias("entity"))
-    return E.discard_overlapping(c.where("segment_id = 2").select(F.col("doc_id").alias("qa_id"), "entities"), current).select("qa_id")
+    """All documents against the entities of the benchmark."""
+    current = table(spark, sf, "benchmark").select(F.explode(E.extract_capitalized(F.col("text"))).alias("entity"))
+    return E.discard_overlapping(_chunked(spark, sf).select(F.col("doc_id").alias("qa_id"), "entities"), current).select("qa_id")
 
 
 @query(f"""WITH c AS {_SQL_CHUNKED}, p AS (SELECT doc_id, segment_id, unnest(entities) AS e FROM c),
@@ -169,5 +160,6 @@ def qa_fingerprint(spark, sf):
 
 @query("SELECT conv_id, md5(string_agg('Document ' || k || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY k)) AS md5 FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3 GROUP BY conv_id")
 def context_concat(spark, sf):
-    turns = table(spark, sf, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return turns.select("conv_id", F.md5(X.numbered_context(F.slice("t.text", 1, 3))).alias("md5"))
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))  # a top-k of each conversation
+    turns = table(spark, sf, "conversations").withColumn("k", first).where("k <= 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("t"))
+    return turns.select("conv_id", F.md5(X.numbered_context(F.col("t.text"))).alias("md5"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import html as entities
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions import text as X
 
@@ -42,16 +42,22 @@ def to_text(markup: str | None) -> str:
     return entities.unescape("".join(parser.parts))
 
 
-def parsed_text(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``text``: links, markup, citations and white space cleaned in that order."""
-    from pyspark.sql import functions as F
+@F.pandas_udf(StringType())
+def _texts(markup: pd.Series) -> pd.Series:
+    return markup.map(to_text, na_action="ignore")
+
+
+def text_of(markup: Column) -> Column:
+    """The text of any markup, all references decoded. What has no tag and no reference doesn't go to Python; null is ''."""
+    some = markup.rlike("[<&]")
+    return F.coalesce(F.when(some, _texts(F.when(some, markup))).otherwise(markup), F.lit(""))
 
-    df = df.withColumn("_markup", X.strip_md_links(F.col(column)))
-    schema = StructType([*(f for f in df.drop("text").schema.fields if f.name != "_markup"), StructField("text", StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["text"] = [to_text(m) for m in frame.pop("_markup")]
-            yield frame[[f.name for f in schema.fields]]
+def clean(markup: Column) -> Column:
+    """Links, markup, citations and white space, in that order, with the parser for markup; null gives an empty text."""
+    return X.normalize_whitespace(X.strip_citations(text_of(X.strip_md_links(markup))))
 
-    return df.drop("text").mapInPandas(run, schema).withColumn("text", X.normalize_whitespace(X.strip_citations(F.col("text"))))
+
+def parsed_text(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``text``: the column as ``clean`` makes it."""
+    return df.withColumn("text", clean(F.col(column)))

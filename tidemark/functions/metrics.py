@@ -63,9 +63,13 @@ def total_score(retrieval: Column, generation: Column) -> Column:
     return 0.25 * retrieval + 0.75 * generation
 
 
+def dot(a: Column, b: Column) -> Column:
+    """The sum of the products of two arrays of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of one length, 0 where either is a zero vector, in one pass over the arrays each."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     length = norm(a) * norm(b)
-    return F.when(length > 0, dot / length).otherwise(F.lit(0.0))
+    return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))

@@ -25,13 +25,13 @@ def _count(text: Column, what: str) -> Column:
 
 
 def repair_truncated(text: Column) -> Column:
-    """Close what an answer that ends with ``...`` has left open: a quote, then braces, then brackets. Others stay."""
-    base = F.regexp_replace(text, r"\.\.\.$", "")
+    """Close what an answer that ends with ``...``, white space aside, has left open: a quote, then braces, then brackets. Others stay."""
+    base = F.regexp_replace(text, r"\.\.\.\s*$", "")
     quoted = F.concat(base, F.when(_count(base, '"') % 2 == 1, F.lit('"')).otherwise(F.lit("")))
     braces = F.greatest(F.lit(0), _count(quoted, "{") - _count(quoted, "}"))
     brackets = F.greatest(F.lit(0), _count(quoted, "[") - _count(quoted, "]"))
     closed = F.concat(quoted, F.repeat(F.lit("}"), braces), F.repeat(F.lit("]"), brackets))
-    return F.when(text.endswith("..."), closed).otherwise(text)
+    return F.when(text.rlike(r"\.\.\.\s*$"), closed).otherwise(text)
 
 
 def hypothetical(response: Column, template: Column) -> Column:
@@ -102,3 +102,24 @@ def template_record(text: Column) -> Column:
     line = _found(text, r"(?im)^\s*template\s*[:：]\s*(.+)$")
     method = F.when(js["template"].isNotNull(), "json").when(line.isNotNull(), "lines").otherwise("fallback")
     return F.struct(F.coalesce(js["template"], line, F.trim(text)).alias("template"), js["description"].alias("description"), method.alias("method"))
+
+
+def template_list(text: Column) -> Column:
+    """Structs (template, placeholders, description, method) of an answer that isn't what was asked for.
+
+    Tried in this order: ``templates`` of the JSON between the outermost braces, with a cut end repaired
+    (method ``templates``; it decides even if the list is empty or missing, as long as the JSON can be read);
+    the whole answer without its fence as one question and answer (``pair``); the first ``"question": "..."``
+    anywhere (``pattern``); else none.
+    """
+    kind = "struct<template:string,placeholders:array<string>,description:string>"
+    body = repair_truncated(F.coalesce(_found(text, r"(?s)(\{.*\})"), F.lit("")))
+    listed = F.from_json(body, f"struct<templates:array<{kind}>>")
+    readable = F.try_parse_json(body).isNotNull()
+    none = F.array().cast("array<string>")
+    made = lambda t, p, d, m: F.struct(F.coalesce(t, F.lit("")).alias("template"), F.coalesce(p, none).alias("placeholders"), F.coalesce(d, F.lit("")).alias("description"), F.lit(m).alias("method"))
+    first = F.transform(F.coalesce(listed["templates"], F.array().cast(f"array<{kind}>")), lambda x: made(x["template"], x["placeholders"], x["description"], "templates"))
+    pair = F.from_json(repair_truncated(strip_fence(text)), "struct<question:string,answer:string,placeholders:array<string>,description:string>")
+    second = F.array(made(pair["question"], pair["placeholders"], pair["description"], "pair"))
+    third = _found(text, r'"question":\s*"([^"]+)"')
+    return F.when(readable, first).when(pair["question"].isNotNull() & pair["answer"].isNotNull(), second).when(third.isNotNull(), F.array(made(third, none, F.lit(""), "pattern"))).otherwise(F.slice(F.array(made(F.lit(""), none, F.lit(""), "none")), 1, 0))

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"([\p{L}\p{N}_]+)"
+#: What parts tokens.
+APART = r"[^\p{L}\p{N}_]+"
+#: Takes and returns a text column; puts blanks between the words of a script that has none.
+Segmenter = Callable[[Column], Column]
+
+
+def tokens(text: Column, segment: Segmenter | None = None) -> Column:
+    """Lower-cased runs of letters, digits and underscores of at least two characters. Null gives null.
+
+    ``segment`` sees the lower-cased text first; ``han_pairs`` is one, a Pandas UDF over a dictionary another.
+    """
+    lower = F.lower(text)
+    return F.filter(F.split(segment(lower) if segment else lower, APART), lambda t: F.length(t) > 1)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and underscores of at least two characters. Null gives null."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1)), lambda t: F.length(t) > 1)
+def han_pairs(text: Column) -> Column:
+    """A segmenter without a dictionary: neighbouring Han characters stand together in overlapping pairs."""
+    apart = F.regexp_replace(text, r"(?<=\p{IsHan})(?=[^\p{IsHan}])|(?<=[^\p{IsHan}])(?=\p{IsHan})", " ")
+    return F.regexp_replace(apart, r"(\p{IsHan})(?=(\p{IsHan}))", "$1$2 ")
 
 
 def strip_md_links(text: Column) -> Column:
@@ -33,14 +48,25 @@ def normalize_whitespace(text: Column) -> Column:
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
+#: Patterns that go from markup, in this order, and what stands in their place.
+MARKUP = (
+    (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?i)<li[^>]*>", "\n- "),
+    (r"(?i)</(p|div|tr|h[1-6]|ul|article|nav|footer)>|<br\s*/?>", "\n"),
+    (r"(?i)</?(td|th)[^>]*>", " "),
+    (r"<[^>]*>", ""),
+)
+
+
 def html_text(html: Column) -> Column:
-    """Text of simple markup without a parser: no scripts, styles or tags; rows and blocks end lines; common entities decoded."""
-    out = F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"<li[^>]*>", "\n- ")
-    out = F.regexp_replace(out, r"</(p|div|tr|h[1-6]|ul|article|nav|footer)>|<br>", "\n")
-    out = F.regexp_replace(out, r"</?(td|th)[^>]*>", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
+    """Text of simple markup without a parser: no scripts, styles or tags in either case; rows and blocks end lines.
+
+    The common references are decoded; ``tidemark.functions.html`` decodes all of them and follows any markup.
+    """
+    out = html
+    for pattern, to in MARKUP:
+        out = F.regexp_replace(out, pattern, to)
     for name, char in _ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     return out
@@ -67,12 +93,16 @@ def chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    step = size - overlap
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int")
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(words, i * step + 1, size), " ").alias("contents")))
-    return F.when(n > 0, made).otherwise(F.array().cast("array<struct<i:int,contents:string>>"))
+    step, none = size - overlap, F.array().cast("array<struct<i:int,contents:string>>")
+
+    def made(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - size) / F.lit(step))).cast("int")
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(words, i * step + 1, size), " ").alias("contents")))
+        return F.when(F.size(words) > 0, each).otherwise(none)
+
+    # the words are one variable of a lambda, so that the text is split once and not for each chunk
+    split = F.array(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.coalesce(F.element_at(F.transform(split, made), 1), none)
 
 
 def cap(text: Column, size: int = 3000) -> Column:
@@ -94,3 +124,22 @@ def progress(done: Column, total: Column) -> Column:
     """``done/total (x.x%)``; a total of zero is 0.0%."""
     share = F.when(total > 0, 100.0 * done / total).otherwise(F.lit(0.0))
     return F.format_string("%d/%d (%.1f%%)", done, total, share)
+
+
+def summary_line(name: Column, value: Column, counted: Column | None = None, total: Column | None = None) -> Column:
+    """``  name: 0.1234``, and ``(counted/total)`` after it where these are given."""
+    line = F.concat(F.lit("  "), name, F.lit(": "), F.format_string("%.4f", value.cast("double")))
+    return line if counted is None else F.concat(line, F.format_string(" (%d/%d)", counted, total))
+
+
+def role_context(description: Column) -> Column:
+    """The part of a prompt that asks for a persona's voice; empty without one."""
+    return F.when(F.trim(description) != "", F.concat(F.lit("Speak as this person, in their words and with their interests, and name concrete details:\n"), F.trim(description))).otherwise(F.lit(""))
+
+
+def template_context(template: Column, description: Column, placeholders: Column) -> Column:
+    """The part of a prompt that shows a template: example, description if any, placeholders if any; empty without a template."""
+    part = lambda label, c: F.when(F.trim(c) != "", F.concat(F.lit(f"{label}: "), c))
+    names = F.array_join(F.coalesce(placeholders, F.array().cast("array<string>")), ", ")
+    shown = F.concat_ws("\n", F.lit("Follow the shape of this template, in other words."), part("Template", template), part("Meaning", description), part("Fill in", names))
+    return F.when(F.trim(template) != "", shown).otherwise(F.lit(""))

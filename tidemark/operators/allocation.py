@@ -109,3 +109,8 @@ def budgeted_resample(targets: DataFrame, n: int) -> DataFrame:
 def remaining_target(planned: Column, n: int, inherited: Column) -> Column:
     """The planned number, else what is left of ``n``."""
     return F.coalesce(planned, F.greatest(F.lit(0), F.lit(n) - inherited))
+
+
+def test_sample(sampled: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """At most ``size`` of the rows, in the order of a seeded hash of the key: the test mode's cap."""
+    return sampled.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(size)

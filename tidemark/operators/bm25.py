@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import tokens
+from tidemark.functions.text import Segmenter, tokens
 
 K1, B = 1.2, 0.75
 #: Distinct query tokens up to which postings are pruned by a broadcast.
@@ -17,9 +17,9 @@ def _scope(df: DataFrame, scope: str | None):
     return df[scope].cast("string") if scope else F.lit("all")
 
 
-def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str | None = None, segment: Segmenter | None = None) -> DataFrame:
     """(scope, doc_id, tokens, dl); null texts have no tokens."""
-    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+    words = F.coalesce(tokens(F.col(text), segment), F.array().cast("array<string>"))
     return docs.select(_scope(docs, scope).alias("scope"), F.col(doc_id).alias("doc_id"), words.alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
@@ -39,40 +39,48 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def query_tokens(queries: DataFrame, query_id: str = "query_id", text: str = "text", scope: str | None = None) -> DataFrame:
+def query_tokens(queries: DataFrame, query_id: str = "query_id", text: str = "text", scope: str | None = None, segment: Segmenter | None = None) -> DataFrame:
     """(scope, query_id, token, qtf): repeats in a query count."""
-    out = queries.select(_scope(queries, scope).alias("scope"), F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("token"))
+    out = queries.select(_scope(queries, scope).alias("scope"), F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text), segment)).alias("token"))
     return out.groupBy("scope", "query_id", "token").agg(F.count("*").alias("qtf"))
 
 
 def score(docs: DataFrame, asked: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(scope, query_id, doc_id, score) of the documents that share a token with a query of their scope.
 
-    Tokens that no query has are dropped before the first shuffle, by a broadcast of the queries' vocabulary
-    where that is small enough. Scores are rounded, so that ties are ties whatever the order of summing.
+    One pass over the documents and one shuffle of their hits: tokens that no query has are dropped before it,
+    by a broadcast of the queries' vocabulary where that is small enough. The statistics and the weights are
+    aggregates of the same shuffled hits, in which every document also has one row with an empty token. Scores
+    are rounded, so that ties are ties whatever the order of summing.
     """
-    vocabulary = asked.select("scope", "token").distinct()
-    small = _is_small(vocabulary)
-    stats = corpus_stats(docs)
-    hits = docs.select("scope", "doc_id", "dl", F.explode("tokens").alias("token")).join(F.broadcast(vocabulary) if small else vocabulary, ["scope", "token"], "left_semi")
-    hits = hits.groupBy("scope", "token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    return score_postings(hits, stats, idf(hits, stats), asked, k1, b)
+    small = _is_small(asked)
+    vocabulary = asked.select("scope", "token").distinct().withColumn("known", F.lit(True))
+    rows = docs.where("scope is not null").select("scope", "doc_id", "dl", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")).where("token is not null")
+    rows = rows.join(F.broadcast(vocabulary) if small else vocabulary, ["scope", "token"], "left").where("known or token = ''")
+    hits = rows.groupBy("scope", "token", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    # every branch reads tf and filters nothing below the aggregation, so that its shuffle is one and the same
+    some = F.col("tf") > 0
+    stats = hits.groupBy("scope").agg(F.count_if(some & (F.col("token") == "")).alias("n_docs"), F.avg(F.when(some & (F.col("token") == ""), F.col("dl"))).alias("avgdl"))
+    df = hits.groupBy("scope", "token").agg(F.count_if(some).alias("df"))
+    weights = df.join(F.broadcast(stats), "scope").select("scope", "token", "avgdl", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
+    return _summed(hits, asked.join(weights, ["scope", "token"]), small, k1, b)
+
+
+def _summed(hits: DataFrame, weighted: DataFrame, small: bool, k1: float, b: float) -> DataFrame:
+    """Scores of hits (scope, token, doc_id, dl, tf) under the queries' tokens with idf and avgdl."""
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    found = hits.join(F.broadcast(weighted) if small else weighted, ["scope", "token"])
+    return found.groupBy("scope", "query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * part), DIGITS).alias("score"))
 
 
-def _is_small(vocabulary: DataFrame) -> bool:
-    return vocabulary.limit(MAX_BROADCAST_TOKENS + 1).count() <= MAX_BROADCAST_TOKENS
+def _is_small(asked: DataFrame) -> bool:
+    return asked.limit(MAX_BROADCAST_TOKENS + 1).count() <= MAX_BROADCAST_TOKENS
 
 
 def score_postings(posted: DataFrame, stats: DataFrame, weights: DataFrame, asked: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """The same from an index: postings, statistics and weights, as built or as read again."""
-    vocabulary = asked.select("scope", "token").distinct()
-    small = _is_small(vocabulary)
-    weights = weights.join(F.broadcast(vocabulary) if small else vocabulary, ["scope", "token"], "left_semi")
-    parts = posted.join(F.broadcast(weights) if small else weights, ["scope", "token"]).join(F.broadcast(stats.select("scope", "avgdl")), "scope")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    parts = parts.select("scope", "token", "doc_id", part.alias("part"))
-    found = parts.join(F.broadcast(asked) if asked.count() <= MAX_BROADCAST_TOKENS else asked, ["scope", "token"])
-    return found.groupBy("scope", "query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("part")), DIGITS).alias("score"))
+    weighted = asked.join(weights, ["scope", "token"]).join(F.broadcast(stats.select("scope", "avgdl")), "scope")
+    return _summed(posted, weighted, _is_small(asked), k1, b)
 
 
 def top_k(scored: DataFrame, k: int = 3) -> DataFrame:
@@ -92,8 +100,8 @@ def pad(top: DataFrame, docs: DataFrame, asked: DataFrame, k: int = 3) -> DataFr
     return top_k(top.drop("rank").unionByName(fill), k)
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, k: int = 3, scope: str | None = None, padded: bool = False) -> DataFrame:
+def retrieve(docs: DataFrame, queries: DataFrame, k: int = 3, scope: str | None = None, padded: bool = False, segment: Segmenter | None = None) -> DataFrame:
     """(scope, query_id, doc_id, score, rank) for ``docs`` (doc_id, text) and ``queries`` (query_id, text)."""
-    index, asked = tokenized(docs, scope=scope), query_tokens(queries, scope=scope)
+    index, asked = tokenized(docs, scope=scope, segment=segment), query_tokens(queries, scope=scope, segment=segment)
     top = top_k(score(index, asked), k)
     return pad(top, index, asked, k) if padded else top

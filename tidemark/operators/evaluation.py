@@ -88,3 +88,9 @@ def run_report(results: DataFrame) -> DataFrame:
 def success_rate(generated: Column, attempts: Column) -> Column:
     """generated / attempts, 0 without any attempt."""
     return F.coalesce(F.try_divide(generated, attempts), F.lit(0.0))
+
+
+def with_mean_time(results: DataFrame, seconds: float) -> DataFrame:
+    """``results`` with ``retrieval_time``: the seconds of the whole batch over its rows."""
+    n = results.count()
+    return results.withColumn("retrieval_time", F.lit(seconds / n if n else 0.0))

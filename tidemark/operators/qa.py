@@ -31,6 +31,37 @@ def is_valid(question: Column, answer: Column) -> Column:
     return F.coalesce((F.length(F.trim(question)) >= 5) & (F.length(F.trim(answer)) >= 10), F.lit(False))
 
 
+#: Words of an item that are looked up in texts before the item is.
+KEY_WORDS = 4
+#: Items without that many whole words, up to which every text is searched for them.
+MAX_SHORT_ITEMS = 1000
+
+
+def _runs(text: Column) -> Column:
+    """Hashes of all runs of KEY_WORDS words."""
+    split = F.array(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    each = lambda w: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - (KEY_WORDS - 1), F.lit(1))), lambda i: i <= F.size(w) - (KEY_WORDS - 1)), lambda i: F.xxhash64(F.slice(w, i, KEY_WORDS)))
+    return F.element_at(F.transform(split, each), 1)
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, doc_id, ...): the documents (doc_id, text) that contain an item's text (query_id, item) as it is written.
+
+    The words of an item but its first and last are whole words of every text that contains it: texts and items
+    meet by the hash of the first KEY_WORDS of them, and the few pairs are checked letter by letter. Items with
+    fewer words are looked for in every text, MAX_SHORT_ITEMS of them at most.
+    """
+    # the slice that leaves the first and the last word off
+    inner = F.transform(F.array(F.filter(F.split("item", r"\s+"), lambda w: w != "")), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
+    keyed = items.withColumn("_inner", F.element_at(inner, 1)).withColumn("_key", F.when(F.size("_inner") >= KEY_WORDS, F.xxhash64(F.slice("_inner", 1, KEY_WORDS)))).drop("_inner")
+    short = keyed.where("_key is null and item is not null").drop("_key")
+    met = docs.withColumn("_key", F.explode(F.array_distinct(_runs(F.col("text"))))).join(keyed.where("_key is not null"), "_key").where(F.col("text").contains(F.col("item"))).drop("_key")
+    n = short.limit(MAX_SHORT_ITEMS + 1).count()
+    if n > MAX_SHORT_ITEMS:
+        raise ValueError(f"more than {MAX_SHORT_ITEMS} items have fewer than {KEY_WORDS + 2} words")
+    return met.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("item")))) if n else met
+
+
 def doc_ids(docs: Column, fallback: bool = True) -> Column:
     """Ids of retrieved docs (structs id, metadata): metadata's id, else with ``fallback`` the doc's own; others go."""
     own = F.transform(docs, lambda d: F.coalesce(F.nullif(d["metadata"]["id"], F.lit("")), d["id"]) if fallback else d["metadata"]["id"])
@@ -47,6 +78,43 @@ def game_name(original: Column, own: Column, first_doc: Column) -> Column:
     return F.coalesce(original, own, first_doc, F.lit("unknown"))
 
 
+def game_of(result: Column) -> Column:
+    """The game of a result as JSON text, by which field is there, not by what it holds.
+
+    ``original_qa_data`` decides even if it has no game, then ``game_name``; without both it is the first
+    document whose metadata has a game.
+    """
+    at = lambda path: F.get_json_object(result, path)
+    there = F.coalesce(F.json_object_keys(result), F.array().cast("array<string>"))
+    docs = F.from_json(F.coalesce(at("$.retrieved_docs"), F.lit("[]")), "array<struct<metadata:map<string,string>>>")
+    games = F.filter(F.transform(docs, lambda d: d["metadata"]["game"]), lambda g: g.isNotNull() & (g != ""))
+    found = F.when(F.array_contains(there, "original_qa_data"), at("$.original_qa_data.game_name")).when(F.array_contains(there, "game_name"), at("$.game_name")).otherwise(F.get(games, F.lit(0)))
+    return F.coalesce(found, F.lit("unknown"))
+
+
+def as_pairs(rows: DataFrame) -> DataFrame:
+    """(question, ground_truth_answer, ground_truth_docs, ground_truth_doc_ids, original_data) of QA rows; a document without an id has ''."""
+    ids = F.transform("retrieved_docs", lambda d: F.coalesce(d["id"], F.lit("")))
+    none = F.array().cast("array<string>")
+    return rows.select("question", F.col("answer").alias("ground_truth_answer"), F.col("retrieved_docs").alias("ground_truth_docs"), F.coalesce(ids, none).alias("ground_truth_doc_ids"), F.struct(*rows.columns).alias("original_data"))
+
+
+def validate_pairs(results: DataFrame, truth: DataFrame, fields: tuple[str, ...] = ("question", "answer")) -> list[str]:
+    """What stands against an evaluation: an empty side, or a side without one of the fields. Rows share one schema, so that a field is there for all or none."""
+    out = []
+    for side, df in (("results", results), ("ground truth", truth)):
+        missing = [f for f in fields if f not in df.columns]
+        out += [f"{side}: no field {f}" for f in missing]
+        if not missing and df.isEmpty():
+            out.append(f"{side}: no rows")
+    return out
+
+
+def zip_by_order(left: DataFrame, right: DataFrame, ordinal: str) -> DataFrame:
+    """The rows of both sides that have one ordinal (a column of both, unique on each), side by side."""
+    return left.join(right, ordinal)
+
+
 def answer_text(answer: Column, rag_answer: Column) -> Column:
     return F.coalesce(answer, rag_answer, F.lit(""))
 

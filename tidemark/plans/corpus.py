@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import entity_list
-from tidemark.functions.text import cap, chunks, clean_html
+from tidemark.functions.html import clean
+from tidemark.functions.text import cap, chunks
 from tidemark.operators.entities import dedup_in_order, extract_capitalized
 from tidemark.operators.qa import drop_blank
 from tidemark.operators.temporal import assign_segments, with_time_metadata
@@ -19,11 +20,12 @@ def build_corpus(files: DataFrame, segments: DataFrame, size: int = 1000, overla
     Cleaning, dates, segments, chunks and entities are expressions over one row at a time: the plan has no
     shuffle, and each file meets its segment without the files being grouped.
     """
-    rows = drop_blank(files.withColumn("text", clean_html(F.col("text"))))
+    rows = drop_blank(files.withColumn("text", clean(F.col("text"))))
     rows = assign_segments(with_time_metadata(rows), F.col("extracted_date").try_cast("date"), segments)
-    rows = rows.select("title", "segment_id", "extracted_date", F.explode(chunks(F.col("text"), size, overlap)).alias("c"))
+    path = F.substring(F.md5(F.coalesce("file_path", "title")), 1, 8)  # files of one name in two folders are two
+    rows = rows.select("title", path.alias("path"), "segment_id", "extracted_date", F.explode(chunks(F.col("text"), size, overlap)).alias("c"))
     return rows.select(
-        F.concat_ws("#", "title", F.col("c.i").cast("string")).alias("id"),
+        F.concat_ws("#", "title", "path", F.col("c.i").cast("string")).alias("id"),
         "title",
         F.col("c.contents").alias("contents"),
         "segment_id",
@@ -32,12 +34,36 @@ def build_corpus(files: DataFrame, segments: DataFrame, size: int = 1000, overla
     )
 
 
+def _names(reply: Column) -> Column:
+    return dedup_in_order(F.transform(entity_list(F.coalesce(reply, F.lit(""))), lambda e: e["text"]))
+
+
 def extract_entities(chunks: DataFrame, provider: Provider) -> DataFrame:
-    """``chunks`` with entities from a model's reply to the capped contents; a reply without any gives an empty list.
+    """``chunks`` with entities from a model's replies about the capped contents.
 
-    The reply is read by the ladder of ``entity_list``; texts are distinct and in order of mention.
+    Three steps: the model first writes examples for a text like this one, then entities for the examples, and
+    these stand before the text in the third prompt. Where the first two give nothing, or the third no
+    entities, the text is sent by itself; a reply without any gives an empty list. Replies are read by the
+    ladder of ``entity_list``; texts are distinct and in order of mention.
     """
-    asked = chunks.drop("entities").withColumn("_prompt", cap(F.col("contents")))
-    replies = call(asked, "_prompt", "_reply", "string", provider, fallback="")
-    names = F.transform(entity_list(F.coalesce("_reply", F.lit(""))), lambda e: e["text"])
-    return replies.withColumn("entities", dedup_in_order(names)).select(*chunks.columns)
+    text = cap(F.col("contents"))
+    rows = call(chunks.drop("entities").withColumn("_p", F.concat(F.lit("Write three sentences with named entities, in the manner of this text:\n"), text)), "_p", "_examples", "string", provider, fallback="")
+    rows = call(rows.withColumn("_p", F.concat(F.lit("List the named entities of these sentences as JSON:\n"), "_examples")), "_p", "_shown", "string", provider, fallback="")
+    some = (F.trim("_examples") != "") & (F.trim("_shown") != "")
+    direct = F.concat(F.lit("List the named entities of this text as JSON:\n"), text)
+    shown = F.concat(F.lit("Examples:\n"), "_examples", F.lit("\n"), "_shown", F.lit("\n\n"), direct)
+    rows = call(rows.withColumn("_p", F.when(some, shown).otherwise(direct)), "_p", "_reply", "string", provider, fallback="").withColumn("entities", _names(F.col("_reply")))
+    none = F.size("entities") == 0
+    again = call(rows.withColumn("_p", F.when(none & some, direct).otherwise(F.lit(""))), "_p", "_reply_again", "string", _only_asked(provider), fallback="")
+    return again.withColumn("entities", F.when(none, _names(F.col("_reply_again"))).otherwise(F.col("entities"))).select(*chunks.columns)
+
+
+def _only_asked(provider: Provider) -> Provider:
+    """The provider for the prompts that aren't empty."""
+
+    def ask(prompts: list[str]) -> list:
+        asked = [p for p in prompts if p]
+        replies = iter(provider(asked) if asked else [])
+        return [next(replies) if p else "" for p in prompts]
+
+    return ask

@@ -2,42 +2,72 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import numbered_context
+from tidemark.functions.text import Segmenter, numbered_context
 from tidemark.operators import bm25, evaluation, vector
-from tidemark.plans.providers import Provider, call, offline_answer, offline_embedding, offline_judge
+from tidemark.plans.config import RetrievalConfig, as_column
+from tidemark.plans.providers import FAILED, WAIT, Provider, call, embed, offline_answer, offline_embedding, offline_judge
+from tidemark.sources.writers import run_name, write_results
 
 
-def retrieve_for(qa: DataFrame, corpus: DataFrame, kind: str = "bm25", k: int = 3, embed: Provider | None = None) -> DataFrame:
+def retrieve_for(qa: DataFrame, corpus: DataFrame, kind: str = "bm25", k: int = 3, vectors: Provider | None = None, segment: Segmenter | None = None) -> DataFrame:
     """``qa`` (question_index, game_name, question, ground_truth_doc_ids) with retrieved_doc_ids, contexts and ``error``.
 
-    ``corpus`` has (game_name, doc_id, text). A question whose game has no documents gets an error and an empty
-    list; questions without any hit an empty list. ``kind`` is bm25 or vector.
+    ``corpus`` has (game_name, doc_id, text); ids are unique in their game. A question whose game has no
+    documents gets an error and an empty list; questions without any hit an empty list. ``kind`` is bm25, or
+    vector, where blocks of questions are broadcast to the documents and meet those of their game.
     """
     if kind == "bm25":
         asked = qa.select(F.col("question_index").alias("query_id"), F.col("question").alias("text"), "game_name")
-        found = bm25.retrieve(corpus, asked, k, scope="game_name", padded=True).select(F.col("query_id").alias("question_index"), "doc_id", "score", "rank")
+        found = bm25.retrieve(corpus, asked, k, scope="game_name", padded=True, segment=segment).select(F.col("query_id").alias("question_index"), F.col("scope").alias("game_name"), "doc_id", "score", "rank")
+    elif kind == "vector":
+        vectors = vectors or offline_embedding()
+        q = embed(qa.select(F.col("question_index").alias("query_id"), "game_name", "question"), "question", "embedding", vectors)
+        d = embed(corpus.select(F.col("doc_id").alias("vec_id"), "game_name", "text"), "text", "embedding", vectors)
+        found = vector.top_k(vector.similarities(q, d, "game_name"), k).select(F.col("query_id").alias("question_index"), "game_name", F.col("vec_id").alias("doc_id"), "score", "rank")
     else:
-        embed = embed or offline_embedding()
-        q = call(qa.select(F.col("question_index").alias("query_id"), "game_name", "question"), "question", "embedding", "array<double>", embed)
-        d = call(corpus.select(F.col("doc_id").alias("vec_id"), F.col("game_name").alias("doc_game"), "text"), "text", "embedding", "array<double>", embed)
-        near = q.select("query_id", "game_name", F.col("embedding").alias("q")).join(d, F.col("game_name") == F.col("doc_game"))
-        near = near.select("query_id", "vec_id", F.round(F.aggregate(F.zip_with("q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
-        found = vector.top_k(near, k).select(F.col("query_id").alias("question_index"), F.col("vec_id").alias("doc_id"), "score", "rank")
-    texts = found.join(corpus.select("doc_id", "text"), "doc_id")
+        raise ValueError(f"no retriever {kind}")
+    texts = found.join(corpus.select("game_name", "doc_id", "text"), ["game_name", "doc_id"])
     gathered = texts.groupBy("question_index").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"), "text", "score"))).alias("d"))  # k a question
     games = corpus.select("game_name").distinct().withColumn("known", F.lit(True))
-    out = qa.join(gathered, "question_index", "left").join(F.broadcast(games), "game_name", "left")
+    out = qa.join(gathered, "question_index", "left").join(games, "game_name", "left")
     empty = F.array().cast("array<string>")
     return out.select(*qa.columns, F.coalesce("d.id", empty).alias("retrieved_doc_ids"), F.coalesce("d.text", empty).alias("contexts"), F.when(F.col("known").isNull(), F.lit("no documents for this game")).alias("error"))
 
 
-def answer(results: DataFrame, provider: Provider = offline_answer, contexts: int = 3) -> DataFrame:
-    """``results`` with ``answer`` from the question and the first contexts."""
+def retrieve_with(config: RetrievalConfig, qa: DataFrame, corpus: DataFrame, vectors: Provider | None = None) -> DataFrame:
+    """``retrieve_for`` as a configuration says, with the configuration beside every row."""
+    return retrieve_for(qa, corpus, config.retriever, config.k, vectors).withColumn("config", as_column(config))
+
+
+def retrieve_to(path: str, qa: DataFrame, corpus: DataFrame, kind: str = "bm25", k: int = 3, vectors: Provider | None = None) -> DataFrame:
+    """The results written to ``path`` and read again, with ``retrieval_time``: the batch's seconds over its rows."""
+    began = time.monotonic()
+    retrieve_for(qa, corpus, kind, k, vectors).write.mode("overwrite").parquet(path)
+    seconds = time.monotonic() - began
+    return evaluation.with_mean_time(qa.sparkSession.read.parquet(path), seconds).orderBy("question_index")
+
+
+def answer(results: DataFrame, provider: Provider = offline_answer, contexts: int = 3, wait: float = WAIT) -> DataFrame:
+    """``results`` with ``answer`` from the question and the first contexts.
+
+    A prompt that fails at every try gives the failure text as its answer, and an ``error`` where there was none.
+    """
     prompt = F.concat_ws("\n", "question", numbered_context(F.slice("contexts", 1, contexts)))
-    return call(results.withColumn("prompt", prompt), "prompt", "answer", "string", provider, fallback="").drop("prompt")
+    out = call(results.withColumn("prompt", prompt), "prompt", "answer", "string", provider, fallback=FAILED, wait=wait).drop("prompt")
+    before = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
+    return out.withColumn("error", F.coalesce(before, F.when(F.col("answer") == FAILED, F.lit("generation failed"))))
+
+
+def answer_to(folder: str, results: DataFrame, model: str, provider: Provider = offline_answer, name: str | None = None) -> str:
+    """Answers written as JSON lines under the run's name, or the one made of the model's; the path."""
+    path = f"{folder}/{name or run_name('generation', model)}"
+    write_results(answer(results, provider), path)
+    return path
 
 
 def judge(results: DataFrame, provider: Provider = offline_judge, normalize: bool = True) -> DataFrame:

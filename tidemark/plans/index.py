@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import bm25
 from tidemark.sources import writers as W
@@ -20,7 +21,8 @@ def load_or_build(docs: DataFrame, root: str, scope: str | None = None, force: b
         tokenized = bm25.tokenized(docs, scope=scope)
         posted, stats = bm25.postings(tokenized), bm25.corpus_stats(tokenized)
         W.write_index(posted, stats, bm25.idf(posted, stats), root, mark)
-    return spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/stats"), spark.read.parquet(f"{root}/weights")
+    postings, stats, weights = (spark.read.parquet(f"{root}/{mark}/{name}") for name in ("postings", "stats", "weights"))
+    return postings.withColumn("scope", F.col("scope").cast("string")), stats, weights
 
 
 def search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 3, scope: str | None = None) -> DataFrame:

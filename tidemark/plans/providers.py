@@ -17,13 +17,20 @@ from pyspark.sql.types import StructType
 
 #: Takes a list of prompts and gives as many answers.
 Provider = Callable[[list[str]], list]
+#: Seconds before the second try.
+WAIT = 1.0
+#: The answer of a model that couldn't be asked.
+FAILED = "The model could not be asked."
+#: Dimensions of embeddings; a text whose embedding fails gets the zero vector.
+DIMS = 64
 
 
-def call(df: DataFrame, prompt: str, out: str, kind: str, provider: Provider, fallback=None, batch: int = 100, tries: int = 3, wait: float = 0.0) -> DataFrame:
+def call(df: DataFrame, prompt: str, out: str, kind: str, provider: Provider, fallback=None, batch: int = 100, tries: int = 3, wait: float = WAIT) -> DataFrame:
     """``df`` with ``out``: the provider's answers to ``prompt``.
 
-    A batch that fails is tried again, later each time, then prompt by prompt; a prompt that fails gets
-    ``fallback``. Calls run at once as many as there are tasks; ``coalesce`` before to hold a rate.
+    A batch that fails is tried again after ``wait`` seconds, then twice as many and so on, then prompt by
+    prompt; a prompt that fails gets ``fallback``. Calls run at once as many as there are tasks; ``coalesce``
+    before to hold a rate.
     """
     schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {kind}").fields])
 
@@ -32,7 +39,8 @@ def call(df: DataFrame, prompt: str, out: str, kind: str, provider: Provider, fa
             try:
                 return provider(prompts)
             except Exception:
-                time.sleep(wait * (k + 1))
+                if k + 1 < tries:
+                    time.sleep(wait * (k + 1))
         return [fallback] if len(prompts) == 1 else [ask([p])[0] for p in prompts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,10 +53,15 @@ def call(df: DataFrame, prompt: str, out: str, kind: str, provider: Provider, fa
     return df.mapInPandas(run, schema)
 
 
-def offline_embedding(dims: int = 64) -> Provider:
+def embed(df: DataFrame, text: str, out: str, provider: Provider, dims: int = DIMS, wait: float = WAIT) -> DataFrame:
+    """``df`` with the text's vector; the zero vector, which is near nothing, where the provider fails."""
+    return call(df, text, out, "array<double>", provider, fallback=[0.0] * dims, wait=wait)
+
+
+def offline_embedding(dims: int = DIMS) -> Provider:
     """Unit vectors from hashed words."""
 
-    def embed(texts: list[str]) -> list:
+    def vectors(texts: list[str]) -> list:
         out = []
         for text in texts:
             v = np.zeros(dims)
@@ -58,7 +71,7 @@ def offline_embedding(dims: int = 64) -> Provider:
             out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
         return out
 
-    return embed
+    return vectors
 
 
 def offline_answer(prompts: list[str]) -> list[str]:

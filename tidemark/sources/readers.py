@@ -59,23 +59,23 @@ def read_source_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file_path"), F.regexp_replace(name, r"\.(txt|md)", "").alias("title"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("file_type"), F.col("_metadata.file_size").alias("file_size"), F.col("value").alias("text"))
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    line = F.monotonically_increasing_id().cast("string")
-    return rows.withColumn("id", F.coalesce("id", F.concat_ws("_", F.col("segment_key"), F.lit("doc"), line))).withColumn("text", F.coalesce("contents", "text", F.lit(""))).drop("contents")
-
-
-def read_corpus(spark: SparkSession, root: str, segment: int | None = None, timeless: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, segment: int | None = None, timeless: bool = True, game: str | None = None) -> DataFrame:
     """Chunks of a corpus written by segment: one segment or all, with or without the timeless ones.
 
-    The segment is a partition column, so only the folders asked for are read. Rows without an id get one;
-    the text is ``contents``, else ``text``.
+    The segment, and the game of a corpus of several, are partition columns, so only the folders asked for are
+    read. A row without an id gets one of its file and a hash of its line, which stays the same however the
+    files are dealt out; the text is ``contents``, else ``text``.
     """
-    rows = _jsonl(spark, root, S.CHUNK).withColumn("segment_key", F.col("segment_key").cast("string"))
+    rows = spark.read.text(root).withColumn("segment_key", F.col("segment_key").cast("string"))
+    if game is not None:
+        rows = rows.where(F.col("game_name").cast("string") == game)
     if segment is not None:
         rows = rows.where(F.col("segment_key").isin(str(segment), "timeless") if timeless else F.col("segment_key") == str(segment))
     elif not timeless:
         rows = rows.where("segment_key <> 'timeless'")
-    return _chunks(rows)
+    source = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    rows = _parsed(rows.withColumn("_own", F.concat_ws("_", source, F.lit("doc"), F.hex(F.xxhash64("value")))), S.CHUNK)
+    return rows.withColumn("id", F.coalesce("id", "_own")).withColumn("text", F.coalesce("contents", "text", F.lit(""))).drop("contents", "_own")
 
 
 def read_qa(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
@@ -149,8 +149,12 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
 
 
 def available_segments(spark: SparkSession, root: str) -> DataFrame:
-    """(segment_key) that have rows in a corpus, from the partition column."""
-    return spark.read.schema("id STRING, segment_key STRING").json(root).select("segment_key").distinct()
+    """(segment_key) of a corpus, from the names of its folders, whether ``segment_key=1`` or ``segment_1``; no file is read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [str(x.getPath().getName()) for x in (fs.listStatus(p) if fs.exists(p) else []) if x.isDirectory()]
+    keys = sorted(n.split("=", 1)[1] if n.startswith("segment_key=") else n.removeprefix("segment_") for n in names if n.startswith("segment_"))
+    return spark.createDataFrame([(k,) for k in keys], "segment_key string")
 
 
 def available_games(qa: DataFrame) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 def write_corpus(chunks: DataFrame, root: str, kind: str = "json") -> None:
     """Chunks by segment, the timeless ones under ``timeless``; only the segments in ``chunks`` are replaced.
 
-    Rows of a segment are spread over tasks as they come: a hot segment isn't shuffled into one file.
+    Chunks with a ``game_name`` go by game, then by segment. Rows of a segment are spread over tasks as they
+    come: a hot segment isn't shuffled into one file.
     """
+    by = (["game_name"] if "game_name" in chunks.columns else []) + ["segment_key"]
     key = F.when(F.col("segment_id") == -1, "timeless").otherwise(F.col("segment_id").cast("string"))
-    chunks.withColumn("segment_key", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment_key").format(kind).save(root)
+    chunks.withColumn("segment_key", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(kind).save(root)
 
 
 def write_qa(qa: DataFrame, root: str) -> None:
@@ -32,10 +34,14 @@ def write_metrics(metrics: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write_index(postings: DataFrame, stats: DataFrame, weights: DataFrame, root: str, fingerprint: str) -> None:
-    """An inverted index as Parquet: postings by scope, statistics, weights, and a manifest of what it was built from."""
-    postings.write.mode("overwrite").partitionBy("scope").parquet(f"{root}/postings")
-    stats.write.mode("overwrite").parquet(f"{root}/stats")
-    weights.write.mode("overwrite").parquet(f"{root}/weights")
+    """An inverted index as Parquet, in a folder of what it was built from: postings by scope, statistics, weights.
+
+    The manifest is written last: until then an earlier index stands whole.
+    """
+    folder = f"{root}/{fingerprint}"
+    postings.write.mode("overwrite").partitionBy("scope").parquet(f"{folder}/postings")
+    stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    weights.write.mode("overwrite").parquet(f"{folder}/weights")
     postings.sparkSession.createDataFrame([(fingerprint,)], "fingerprint string").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
 
 
@@ -75,3 +81,18 @@ def markdown_report(report: DataFrame) -> DataFrame:
     """One text row for each line of a Markdown table of an aggregate, in the order of its first column."""
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in report.columns)), F.lit(" |"))
     return report.orderBy(report.columns[0]).select(cells.alias("line"))
+
+
+def run_name(kind: str, model: str) -> str:
+    """The name of a run from what it does and its model: ``generation_org_model_7b``."""
+    return f"{kind}_{model.replace('/', '_').replace('-', '_')}"
+
+
+def summary_report(retrieval: DataFrame, generation: DataFrame) -> DataFrame:
+    """Text rows (part, position, line) of a summary: retrieval (metric, value), then generation (metric, value, counted, total)."""
+    from tidemark.functions.text import summary_line
+
+    head = retrieval.sparkSession.createDataFrame([(0, "", "Retrieval"), (1, "", "Generation")], "part int, position string, line string")
+    first = retrieval.select(F.lit(0).alias("part"), F.col("metric").alias("position"), summary_line(F.col("metric"), F.col("value")).alias("line"))
+    second = generation.select(F.lit(1).alias("part"), F.col("metric").alias("position"), summary_line(F.col("metric"), F.col("value"), F.col("counted"), F.col("total")).alias("line"))
+    return head.union(first).union(second).orderBy("part", "position")
