@@ -1,8 +1,8 @@
-"""Benchmark decontamination with a broadcast set of test n-grams, in DataFrame functions only.
+"""Benchmark decontamination with a broadcast hash set of test n-grams, in DataFrame functions only.
 
-Every text is split into words once and every window of words is looked up in the hash set of the benchmark's
-windows, in one projection without a shuffle. Only the windows that hit go on: their words are compared with
-the benchmark's, and the spans of the confirmed ones are merged row by row.
+Texts are split into words once, and the hash of every window of words is looked up in a broadcast table of the
+benchmark's windows; the few that meet are compared word by word in the same join. Documents aren't shuffled:
+what leaves a task is a row for each document and its confirmed spans.
 """
 
 from __future__ import annotations
@@ -15,91 +15,96 @@ from ._store import materialize
 WINDOW = 13
 #: Share of a document's words, as 1 / MIN_SHARE, from which it counts as contaminated.
 MIN_SHARE = 20
-#: Windows of the benchmark up to which their hash set goes with the plan; beyond, hits are found by a join.
-SET_BOUND = 100_000
+#: Windows and bytes of the benchmark that are broadcast at a time; a larger one is met block by block.
+BLOCK_WINDOWS, BLOCK_BYTES = 100_000, 32 << 20
+#: Documents to remove up to which their keys are broadcast; more are met in a shuffled join.
+BROADCAST_IDS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _words(text: str) -> Column:
-    """Letters, digits and non-ASCII characters. Case is folded for all letters; hits are confirmed on A-Z alone.
-
-    Lower-casing the whole text is the same as doing so word by word, but for a sigma, whose form depends on what follows.
-    """
-    whole = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _BETWEEN), "")
-    return F.when(F.col(text).contains("\u03a3"), F.transform(_exact_words(text), F.lower)).otherwise(whole)
+    """The words, A-Z in lower case. A text without other upper-case letters goes the faster way of lower-casing all."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lowered = F.when(whole.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"), F.translate(whole, _UPPER, _LOWER)).otherwise(F.lower(whole))
+    return F.array_remove(F.split(lowered, _BETWEEN), "")
 
 
-def _exact_words(text: str) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), _BETWEEN), "")
+def _key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5))
 
 
 def _items(benchmark: DataFrame, window: int) -> DataFrame:
-    """(h, size, words, item_id) of the windows of every item; an item of fewer words is one window."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _exact_words("text").alias("w")).where("item_id is not null and size(w) > 0")
+    """(h, size, gram, item_ids) of the benchmark's windows; an item of fewer words is one window."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _words("text").alias("w")).where("item_id is not null and size(w) > 0")
     rows = rows.select("item_id", "w", F.explode(F.expr(f"sequence(1, greatest(1, size(w) - {window - 1}))")).alias("at"))
-    rows = rows.select("item_id", F.expr(f"slice(w, at, {window})").alias("words")).distinct()
-    return rows.select(F.expr("xxhash64(transform(words, x -> lower(x)))").alias("h"), F.size("words").alias("size"), "words", "item_id")
-
-
-def _hits(size: int, known: list[int]) -> Column:
-    """The (at, size) of the windows of ``size`` words of ``w`` whose hash is among ``known``."""
-    at = F.expr(f"if(size(w) < {size}, array(), sequence(1, size(w) - {size - 1}))")
-    found = F.filter(at, lambda i: F.xxhash64(F.slice("w", i, size)).isin(known))
-    return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size")))
+    rows = rows.select("item_id", F.expr(f"slice(w, at, {window})").alias("words"))
+    known = rows.groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))  # items that share a window
+    return known.select(F.expr("xxhash64(transform(words, x -> xxhash64(x)))").alias("h"), F.size("words").alias("size"), F.array_join("words", " ").alias("gram"), "item_ids")
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row_id, doc_id, n_words, at, size, item_ids): rows of ``docs`` with the benchmark's windows in them.
+    """(doc_id, key, n_words, at, size, item_ids) of ``docs`` (doc_id, text), ``key`` being a hash of the text.
 
-    One row for each confirmed occurrence, ``at`` counting words from 1; a document without any has one row
-    whose ``at`` is null. The table of looked-up windows is written once, so row_id is stable.
+    One row for each occurrence of a window of ``benchmark`` (item_id, text), ``at`` counting words from 1, and
+    one whose ``at`` is null for each document. Each block of the benchmark is one scan of the documents.
     """
     items = materialize(_items(benchmark, window), "windows")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().toLocalIterator())  # at most ``window`` values
-    n = items.count()
-    rows = docs.select("doc_id", "text", _words("text").alias("w"))
-    if not sizes:
-        return rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("item_ids"))
-    if n <= SET_BOUND:
-        hits = []
-        for k in sizes:
-            own = [r["h"] for r in items.where(F.col("size") == k).select("h").distinct().toLocalIterator()]  # SET_BOUND longs at most
-            hits.append(_hits(k, own))
-        rows = rows.select("doc_id", "text", F.size("w").cast("long").alias("n_words"), F.concat(*hits).alias("hits"))
-        rows = materialize(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "n_words", "hits", F.when(F.size("hits") > 0, F.col("text")).alias("text")), "hits")
-    else:
-        rows = materialize(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", F.size("w").cast("long").alias("n_words"), "w"), "words")
-        found = None
-        for k in sizes:
-            each = rows.where(f"n_words >= {k}").select("row_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> struct(i as at, {k} as size, xxhash64(slice(w, i, {k})) as h))")).alias("v")).select("row_id", "v.*")
-            found = each if found is None else found.union(each)
-        found = found.join(items.select("h", "size").distinct(), ["h", "size"], "left_semi").groupBy("row_id").agg(F.collect_list(F.struct("at", "size")).alias("hits"))
-        rows = materialize(rows.select("row_id", "doc_id", "n_words", "text").join(found, "row_id", "left").withColumn("hits", F.coalesce("hits", F.expr("array()"))), "hits")
-    exact = rows.where("size(hits) > 0").select("row_id", F.explode("hits").alias("v"), _exact_words("text").alias("w"))
-    exact = exact.select("row_id", "v.at", "v.size", F.expr("slice(w, v.at, v.size)").alias("words"))
-    known = items.groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
-    exact = exact.join(known, "words").select("row_id", "at", "size", "item_ids")
-    return rows.select("row_id", "doc_id", "n_words").join(exact, "row_id", "left")
+    stated = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("bytes"), F.sort_array(F.collect_set("size")).alias("sizes")).first()  # ``window`` sizes at most
+    sizes, blocks = stated["sizes"], max(1, -(-stated["n"] // BLOCK_WINDOWS), -(-(stated["bytes"] or 0) // BLOCK_BYTES))
+    rows = docs.select("doc_id", _key().alias("key"), _words("text").alias("w"))
+    rows = rows.select("doc_id", "key", "w", F.size("w").alias("n_words"), F.expr("transform(w, x -> xxhash64(x))").alias("hw"))
+    # a null for the document itself, then the hashes of its windows of each size, one size after the other
+    grams = [F.expr(f"if(size(hw) < {k}, cast(array() as array<bigint>), transform(sequence(1, size(hw) - {k - 1}), i -> xxhash64(slice(hw, i, {k}))))") for k in sizes]
+    rows = rows.select("doc_id", "key", "n_words", "w", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), *grams)).alias("pos", "h"))
+    before = F.lit(0)
+    at = F.lit(None).cast("int")
+    for k in sizes:
+        at = F.when(F.col("size") == k, F.col("pos") - before).otherwise(at)
+        before = before + F.greatest(F.lit(0), F.col("n_words") - (k - 1))
+    out = None
+    for i in range(blocks):
+        own = F.broadcast(items if blocks == 1 else items.where(F.pmod("h", F.lit(blocks)) == i))
+        met = rows.join(own.withColumnRenamed("h", "known"), (F.col("h") == F.col("known")) & (F.array_join(F.slice("w", at, F.col("size")), " ") == F.col("gram")), "left")
+        met = met.where("size is not null" if i else "size is not null or pos = 0").select("doc_id", "key", "n_words", at.alias("at"), "size", "item_ids")
+        out = met if out is None else out.union(met)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated) of every row of ``docs``.
+    """(doc_id, key, n_words, n_hit, n_items, items, contaminated) of every row of ``docs``.
 
     A word is hit if it lies in an occurrence of a window of any item; ``items`` lists the ids as text, in
-    order. A null text has no words; a benchmark that is empty hits nothing; repeated rows are judged each on
-    its own; items with a null id are left out; other columns are ignored.
+    order. A null text has no words; a benchmark that is empty hits nothing; repeated rows are each returned,
+    rows that share a doc_id are judged by their own texts; items with a null id are left out; other columns
+    are ignored.
     """
-    found = find_windows(docs, benchmark, window).groupBy("row_id", "doc_id", "n_words")
-    found = found.agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
+    span = F.when(F.col("at").isNotNull(), F.struct("at", "size"))
+    found = find_windows(docs, benchmark, window).groupBy("doc_id", "key", "n_words")
+    found = found.agg(F.count_if(F.col("at").isNull()).alias("copies"), F.sort_array(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
     # spans are in order of their starts: each one adds the words behind the furthest end so far
     merged = "aggregate(spans, struct(0 as hit, 0 as top), (s, v) -> struct(s.hit + greatest(0, v.at + v.size - greatest(v.at, s.top)) as hit, greatest(s.top, v.at + v.size) as top), s -> cast(s.hit as bigint))"
-    found = found.withColumn("spans", F.filter("spans", lambda v: v["at"].isNotNull()))
-    found = found.select("doc_id", "n_words", F.expr(merged).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
-    return found.withColumn("contaminated", F.expr(f"n_hit > 0 and {min_share} * n_hit >= n_words"))
+    found = found.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), F.expr(merged).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "copies")
+    found = found.withColumn("contaminated", F.expr(f"n_hit > 0 and {min_share} * n_hit >= n_words"))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "_copy")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
-    """``docs`` without the documents that are contaminated; all columns stay. Rows with a null doc_id stay."""
-    bad = contamination(docs, benchmark, window, min_share).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that are contaminated; every row is judged by its own text, and all columns stay."""
+    bad = contamination(docs, benchmark, window, min_share).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    bad = materialize(bad, "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (_key() == F.col("_bad_key")), "left_anti").select(*docs.columns)
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_hit, text) of the rows of ``docs`` that hold a window: the words that aren't hit, joined by blanks.
+
+    Words are those that windows are made of, A-Z in lower case; rows without any hit aren't returned.
+    """
+    hits = find_windows(docs, benchmark, window).where("at is not null").select("doc_id", "key", "at", "size").distinct()
+    spans = hits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("spans"))
+    own = docs.select(F.col("doc_id").alias("_id"), _key().alias("_key"), _words("text").alias("w"))
+    own = own.join(spans, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")))
+    kept = F.expr("transform(array_except(sequence(1, size(w)), flatten(transform(spans, v -> sequence(v.at, v.at + v.size - 1)))), p -> element_at(w, p))")
+    return own.select("doc_id", F.size("w").cast("long").alias("n_words"), (F.size("w") - F.size(kept)).cast("long").alias("n_hit"), F.array_join(kept, " ").alias("text"))
