@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ._store import materialize
 
 BLOCK_TURNS = 256
+#: Conversations that stay, up to which their ids are broadcast; more are met in a shuffled join.
+BROADCAST_IDS = 500_000
 _MARKS = ("a", "b")
 
 
@@ -35,9 +37,14 @@ def _hash(mark: str) -> Column:
     return F.xxhash64(F.lit(mark), "turn", F.lit("r"), "role", F.lit("t"), "text")
 
 
+def log(conversations: DataFrame) -> DataFrame:
+    """The turns (conv_id, turn, role, text) with their two 64-bit hashes, written once: texts are shuffled for this and for what is rendered."""
+    return materialize(_turns(conversations).select("*", *(_hash(m).alias(m) for m in _MARKS)), "turns")
+
+
 def _prefixes(turns: DataFrame, block_turns: int) -> DataFrame:
-    """(conv_id, n, a, b): for every turn, the number of turns up to it and their two 64-bit hashes."""
-    keyed = turns.select("conv_id", "turn", F.floor(F.col("turn") / block_turns).alias("block"), *(_hash(m).alias(m) for m in _MARKS))
+    """(conv_id, n, a, b): for every turn, the number of turns up to it and the hashes of all of them."""
+    keyed = turns.select("conv_id", "turn", F.floor(F.col("turn") / block_turns).alias("block"), *_MARKS)
     blocks = keyed.groupBy("conv_id", "block").agg(F.count("*").alias("size"), *(F.bit_xor(m).alias(m) for m in _MARKS))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("n0"), *(F.coalesce(F.bit_xor(m).over(before), F.lit(0)).alias(f"{m}0") for m in _MARKS))
@@ -53,7 +60,11 @@ def maximal(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFra
     conversation. Of equal conversations the least conv_id stays. Null roles and texts count as empty; rows
     with a null conv_id or turn are left out; turns may have gaps. An empty table gives an empty result.
     """
-    prefixes = materialize(_prefixes(_turns(conversations), block_turns), "prefixes")
+    return _maximal(log(conversations), block_turns)
+
+
+def _maximal(turns: DataFrame, block_turns: int) -> DataFrame:
+    prefixes = materialize(_prefixes(turns, block_turns), "prefixes")
     ends = prefixes.groupBy("conv_id").agg(F.max(F.struct("n", *_MARKS)).alias("e")).select("conv_id", "e.*")
     firsts = ends.groupBy("n", *_MARKS).agg(F.min("conv_id").alias("conv_id"))
     inner = prefixes.join(ends.select("conv_id", F.col("n").alias("last")), "conv_id").where("n < last").select("n", *_MARKS).distinct()
@@ -65,7 +76,12 @@ def render(conversations: DataFrame, kept: DataFrame, block_turns: int = BLOCK_T
 
     A turn is ``<|role|>\\ntext<|end|>\\n``; the parts of a conversation in their order are its whole text.
     """
-    turns = _turns(conversations).join(kept.select("conv_id"), "conv_id", "left_semi")
+    return _rendered(_turns(conversations), kept, block_turns)
+
+
+def _rendered(turns: DataFrame, kept: DataFrame, block_turns: int) -> DataFrame:
+    kept = materialize(kept.select("conv_id"), "kept")
+    turns = turns.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, "conv_id", "left_semi")
     line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n"))
     parts = turns.groupBy("conv_id", F.floor(F.col("turn") / block_turns).alias("part")).agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
     return parts.select("conv_id", "part", "n_turns", F.array_join("lines.line", "").alias("text"))
@@ -73,4 +89,5 @@ def render(conversations: DataFrame, kept: DataFrame, block_turns: int = BLOCK_T
 
 def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """Maximal conversations, rendered; columns besides conv_id, turn, role and text are ignored."""
-    return render(conversations, maximal(conversations, block_turns), block_turns)
+    turns = log(conversations)
+    return _rendered(turns, _maximal(turns, block_turns), block_turns)
