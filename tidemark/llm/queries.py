@@ -61,7 +61,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"]))
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op6_quality, op7_substring_dedup, op8_language, op9_html_extract, op10_secrets)}

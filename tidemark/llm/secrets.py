@@ -7,12 +7,13 @@ ledger doesn't have, scans one copy of each, appends the findings, and joins the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import held, materialize, shared_dir
@@ -29,9 +30,10 @@ RULES = (
     ("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@[^\s/@]+", 0, 10, False),
 )
 BASE = ("assign", "access", "hex")
-#: What a text must hold for any rule to match; it spares most blobs the way through Python.
-HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|PRIVATE KEY|eyJ|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|://[^\s:/@]{1,64}:"
-RULE_VERSION = hashlib.sha256(repr((RULES, HINT)).encode()).hexdigest()[:16]
+# What a text holds, in lower case, if any rule but the one for hex digits is to match; it spares most blobs the way through Python.
+HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key", "akia", "private key", "eyj", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "sk_live_", "://")
+HEX_HINT = "[0-9a-f]{24}"
+RULE_VERSION = hashlib.sha256(repr((RULES, HINTS, HEX_HINT)).encode()).hexdigest()[:16]
 _SPAN = "struct<kind:string,at:int,end:int>"
 _LEDGER = f"blob string, rules string, spans array<{_SPAN}>"
 
@@ -65,8 +67,14 @@ def blobs(versions: DataFrame) -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
+def hinted(text: str = "text") -> Column:
+    """Whether any rule can match the text, which is lower-cased once for all hints; false for null."""
+    within = lambda low: functools.reduce(lambda x, y: x | y, (low.contains(h) for h in HINTS))
+    return F.coalesce(F.element_at(F.transform(F.array(F.lower(text)), within), 1) | F.col(text).rlike(HEX_HINT), F.lit(False))
+
+
 def scan_unseen(versions: DataFrame, ledger: str) -> DataFrame:
-    """Scan the blobs of ``versions`` (blob, text) that the ledger at path ``ledger`` lacks; the whole ledger of these rules.
+    """Scan the blobs of ``versions`` (blob, hint, text) that the ledger at path ``ledger`` lacks; the whole ledger of these rules.
 
     One copy of each unseen blob is scanned, where a partial aggregation has left one before the shuffle;
     texts without any rule's hint are recorded as clean and not sent to Python. The new rows are appended in
@@ -74,12 +82,11 @@ def scan_unseen(versions: DataFrame, ledger: str) -> DataFrame:
     """
     spark = versions.sparkSession
     known = _read(spark, ledger)
-    unseen = versions.select("blob", F.coalesce("text", F.lit("")).alias("text"))
+    unseen = versions.select("blob", "hint", "text")
     if known is not None:
         unseen = unseen.join(known.where(F.col("rules") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    hinted = unseen.where(F.col("text").rlike(HINT)).groupBy("blob").agg(F.first("text").alias("text"))
-    found = hinted.mapInArrow(_scan, f"blob string, spans array<{_SPAN}>")
-    clean = unseen.where(~F.col("text").rlike(HINT)).select("blob").distinct().select("blob", F.expr(f"cast(array() as array<{_SPAN}>)").alias("spans"))
+    found = unseen.where("hint").groupBy("blob").agg(F.first("text").alias("text")).mapInArrow(_scan, f"blob string, spans array<{_SPAN}>")
+    clean = unseen.where("not hint").select("blob").distinct().select("blob", F.expr(f"cast(array() as array<{_SPAN}>)").alias("spans"))
     new = found.union(clean).select("blob", F.lit(RULE_VERSION).alias("rules"), "spans")
     new.write.mode("append").parquet(ledger)
     return spark.read.schema(_LEDGER).parquet(ledger).where(F.col("rules") == RULE_VERSION)
@@ -98,26 +105,32 @@ def new_ledger(spark) -> str:
     return f"{shared_dir(spark)}/tidemark-ledger-{uuid.uuid4().hex}"
 
 
-def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
-    """``docs`` with ``blob`` and ``spans`` (kind, at, end): what the rules find in every text.
+def scan(docs: DataFrame, ledger: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with ``blob`` and ``spans`` (kind, at, end): what the rules find in every text.
 
     ``ledger`` is the path of a table that outlives the run; without one, a new ledger is kept in the shared
-    folder. Null texts count as empty and have no spans. Repeated rows and equal texts share one scan. Columns
-    of ``docs`` named blob or spans are replaced. An empty table gives an empty result.
+    folder. ``docs`` is read once: what is returned and the texts with a hint are written for the steps after.
+    Null texts count as empty and have no spans. Repeated rows and equal texts share one scan. Columns of
+    ``docs`` named blob or spans are replaced. An empty table gives an empty result.
     """
-    versions = blobs(docs.drop("blob", "spans"))
+    columns = [c for c in columns or docs.columns if c not in ("blob", "spans")]
+    kept = [F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]  # the names of docs may be any
+    hint = hinted()
+    text = F.when(hint, F.col("text")).alias("text")
+    versions = materialize(blobs(docs.drop("blob")).select(*kept, "blob", hint.alias("hint"), text), "versions")
     ledger = scan_unseen(versions, ledger or new_ledger(docs.sparkSession))
     # only blobs with findings are joined back; a ledger can hold a blob twice if two runs met
     found = ledger.where("size(spans) > 0").groupBy("blob").agg(F.first("spans").alias("spans"))
     found = materialize(found, "findings")
-    out = versions.join(found, "blob", "left")
-    return out.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as array<{_SPAN}>)"))).select(*versions.columns, "spans")
+    out = versions.drop("hint", "text").join(found, "blob", "left")
+    spans = F.coalesce("spans", F.expr(f"cast(array() as array<{_SPAN}>)")).alias("spans")
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)), "blob", spans)
 
 
 def redact(docs: DataFrame, ledger: str | None = None, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span, and what spans cover together, replaced by ``mask``; all columns and rows stay."""
     columns = docs.columns
-    hint = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    hint = hinted()
     own = {c: f"_own_{c}" for c in ("blob", "spans") if c in columns}  # columns of these names are not the scan's
     found, rest = scan(docs.where(hint).withColumnsRenamed(own), ledger), docs.where(~hint)
     # spans are in order of their starts: join the overlapping ones, then cut the text between them
