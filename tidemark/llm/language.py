@@ -18,21 +18,20 @@ from pyspark.sql import functions as F
 
 from ._store import hash_bound, held, widened
 
-#: Rows of a language, bytes of one row, and bytes of a dictionary that are learned from at most.
-MAX_ROWS, ROW_BYTES, DICT_BYTES = 900, 1024, 1 << 17
+#: Texts of a language, characters of one text, and bytes of a dictionary that are learned from at most.
+MAX_ROWS, ROW_CHARS, DICT_BYTES = 900, 1024, 1 << 17
 MAX_LANGUAGES = 256
-PIECE = 4096
-#: Texts of up to SHORT bytes are compressed at the level that looks for the shortest matches.
-SHORT, SHORT_LEVEL, LEVEL = 2048, 19, 3
+#: Bytes that are compressed at a time, and the level, for texts of every size.
+PIECE, LEVEL = 4096, 6
 MIN_MARGIN = 4
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
     """(language, dictionary content) from ``docs`` (text, lang); the most frequent language comes first.
 
-    Different texts of a language are taken in the order of a hash, and of each a piece of ROW_BYTES, until the
-    pieces fill DICT_BYTES or ``max_rows`` are taken; copies of a text count once. Rows without a language or a
-    letter are left out. There are MAX_LANGUAGES at most.
+    Different texts of a language are taken in the order of a hash, and of each a piece of ROW_CHARS, as long as
+    the pieces fit into DICT_BYTES (some 128 long ones) and up to ``max_rows``; copies of a text count once.
+    Rows without a language or a letter are left out. There are MAX_LANGUAGES at most.
     """
     rows = docs.select("lang", "text").where("lang is not null and text rlike '\\\\p{L}'")
     hashed = rows.select("lang", F.xxhash64("text", F.lit(1)).alias("at"))
@@ -41,17 +40,17 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
     counts = {r["lang"]: r["texts"] for r in found}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - ROW_BYTES // 2, F.lit(1))).cast("int")
-    rows = rows.select("lang", F.xxhash64("text", F.lit(1)).alias("at"), F.lower(F.substring("text", at + 1, F.lit(ROW_BYTES))).alias("piece"))
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - ROW_CHARS // 2, F.lit(1))).cast("int")
+    rows = rows.select("lang", F.xxhash64("text", F.lit(1)).alias("at"), F.lower(F.substring("text", at + 1, F.lit(ROW_CHARS))).alias("piece"))
     if counts:
         bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, hash_bound(2 * max_rows, n))))
         rows = rows.where(F.col("at") <= bounds[F.col("lang")])
     rows = rows.groupBy("lang", "at").agg(F.min("piece").alias("piece"))
     first = Window.partitionBy("lang").orderBy("at")
     picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_rows)
-    before = F.coalesce(F.sum(F.octet_length("piece") + 1).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    picked = picked.withColumn("before", before).where(F.col("before") < DICT_BYTES).orderBy("lang", "k").select("lang", "piece").toPandas()
-    content = {lang: "\n".join(own["piece"]).encode()[-DICT_BYTES:] for lang, own in picked.groupby("lang")}
+    upto = F.sum(F.octet_length("piece") + 1).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    picked = picked.withColumn("upto", upto).where(F.col("upto") <= DICT_BYTES).orderBy("lang", "k").select("lang", "piece").toPandas()
+    content = {lang: "\n".join(own["piece"]).encode() for lang, own in picked.groupby("lang")}
     return [(lang, content[lang]) for lang in counts if lang in content]
 
 
@@ -60,22 +59,21 @@ class Compressors:
 
     def __init__(self, model: list[tuple[str, bytes]]):
         self.languages = [lang for lang, _ in model]
-        self.by_level = {level: [self._compressor(content, level) for _, content in model] for level in (SHORT_LEVEL, LEVEL)}
+        self.compressors = [self._compressor(content) for _, content in model]
 
     @staticmethod
-    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         content = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False)
+        content.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, text: str) -> np.ndarray:
         data = text.lower().encode("utf-8", "surrogatepass")
-        level = SHORT_LEVEL if len(data) <= SHORT else LEVEL
         pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.by_level[level]])
+        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.compressors])
 
 
-def _classify(shared, at: int, min_margin: int):
+def _classify(shared, at: int, kept: list[int], min_margin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = held(("language", hash(tuple(shared.value))), lambda: Compressors(shared.value))
         for batch in batches:
@@ -91,13 +89,13 @@ def _classify(shared, at: int, min_margin: int):
                 langs.append(compressors.languages[best])
                 scores.append(1 - 0.5 ** ((margin + 1) / 4))
                 accepted.append(margin >= min_margin)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(langs), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], [*(batch.schema.names[k] for k in kept), "lang_pred", "score", "accepted"])
 
     return run
 
 
-def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: int = MIN_MARGIN) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (0 to 1, from the margin in bytes) and ``accepted``.
+def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: int = MIN_MARGIN, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with ``lang_pred``, ``score`` (0 to 1, from the margin in bytes) and ``accepted``.
 
     Whole texts are read. Texts that are null, empty or without a letter are ``und`` with a score of 0; so are
     all texts under an empty model. Of equal sizes the more frequent language wins, with a margin of 0, which
@@ -105,7 +103,9 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: int =
     """
     docs = docs.drop("lang_pred", "score", "accepted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES times DICT_BYTES at most
-    return docs.mapInArrow(_classify(shared, docs.columns.index("text"), min_margin), widened(docs, lang_pred="string", score="double", accepted="boolean"))
+    columns = [c for c in columns or docs.columns if c in docs.columns]
+    fn = _classify(shared, docs.columns.index("text"), [docs.columns.index(c) for c in columns], min_margin)
+    return docs.mapInArrow(fn, widened(docs.select(columns), lang_pred="string", score="double", accepted="boolean"))
 
 
 def with_predictions(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def with_predictions(docs: DataFrame) -> DataFrame:
     """
     outside = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = fit(docs.where(~outside).select("lang", "text"))
-    found = identify(docs.select("doc_id", "text"), model)
+    found = identify(docs.select("doc_id", "text"), model, columns=["doc_id"])
     return found.select("doc_id", outside.alias("held_out"), "lang_pred", "score", "accepted")
 
 
