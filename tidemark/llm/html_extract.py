@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from ._store import hash_bound, held, widened
 from ._words import text_slices, word_hashes, words
 
-#: Pages to learn from, and the length of html up to which a page is taken for that.
+#: Different pages to learn from, and the characters of html up to which a page is one of them; every page is labelled.
 MAX_PAGES, MAX_PAGE_CHARS = 192, 65_536
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 256, 64, 8, 16
 EPOCHS, BATCH, RATE = 6, 16, 0.01
+MAX_VARIANTS, LEAST_SHOWN, LEAST_STEPS = 32, 320, 200
 #: Blocks of the pages that are labelled together.
 BATCH_BLOCKS = 4096
 
@@ -46,7 +47,7 @@ _LABEL = re.compile(r"[^<]*(?=<(?:/?option|/?optgroup|/select|/datalist)\b)", re
 _IN_HEAD = set("html head base basefont bgsound link meta title script style template noscript".split())
 
 _RAW = "|".join(t for t in HIDDEN_TAGS if t != "head" and t not in _LOOSE)
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>(?:.*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.I | re.S)
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>"']|"[^"]*"|'[^']*'|["'])*?(?:>|\Z)(?:.*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.I | re.S)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -156,27 +157,29 @@ def _place(token: str) -> int:
     return zlib.crc32(token.encode()) % PATH_DIMS
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """The input of the network for the blocks of one page."""
-    n = len(page)
+def vectors(page: list[tuple[tuple[str, ...], str, int]], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """The input of the network for the blocks of one page, or those from ``lo`` to ``hi`` of them."""
+    own, total = page[lo:hi], len(page)
+    n = len(own)
     out = np.zeros((n, PATH_DIMS + WORD_DIMS + MEASURES), np.float32)
-    for k, (path, _, _) in enumerate(page):
+    if not n:
+        return out
+    for k, (path, _, _) in enumerate(own):
         for token in path:
             out[k, _place(token)] = 1.0
         if path:
             out[k, _place("leaf " + path[-1])] = 1.0
-    texts = pa.array([t for _, t, _ in page], pa.large_string())
-    n_words = np.zeros(n)
-    for lo, hi, data, offsets in text_slices(texts):
+    for first, last, data, offsets in text_slices(pa.array([t for _, t, _ in own], pa.large_string())):
         starts, ends, at = words(data, offsets)
-        rows = np.repeat(np.arange(lo, hi), np.diff(at))
+        rows = np.repeat(np.arange(last - first), np.diff(at))
         places = (word_hashes(data, starts, ends, lower=True) >> np.uint64(58)).astype(np.int64)
-        counts = np.bincount((rows - lo) * WORD_DIMS + places, minlength=(hi - lo) * WORD_DIMS).reshape(hi - lo, WORD_DIMS)
-        out[lo:hi, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.maximum(np.sqrt((counts**2).sum(1, keepdims=True)), 1)
-        n_words[lo:hi] = np.diff(at)
-    size = np.array([len(t) for _, t, _ in page], float)
-    stops = np.array([sum(t.count(c) for c in ".,;!?") for _, t, _ in page], float)
-    out[:, -MEASURES:] = np.column_stack([np.log1p(size) / 8, np.log1p(n_words) / 6, np.array([x for _, _, x in page]) / size, stops / np.maximum(n_words, 1), np.array([t[-1:] in ".!?\"'" for _, t, _ in page]), (np.arange(n) + 0.5) / n, n_words / n_words.max(), np.array([len(p) for p, _, _ in page]) / 10]) if n else 0
+        counts = np.bincount(rows * WORD_DIMS + places, minlength=(last - first) * WORD_DIMS).reshape(last - first, WORD_DIMS)
+        out[first:last, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.maximum(np.sqrt((counts**2).sum(1, keepdims=True)), 1)
+    n_words = np.array([t.count(" ") + 1 for _, t, _ in own])  # a block's white space is single blanks
+    size = np.array([len(t) for _, t, _ in own], float)
+    stops = np.array([sum(t.count(c) for c in ".,;!?") for _, t, _ in own], float)
+    most = max(t.count(" ") + 1 for _, t, _ in page)
+    out[:, -MEASURES:] = np.column_stack([np.log1p(size) / 8, np.log1p(n_words) / 6, np.array([x for _, _, x in own]) / size, stops / n_words, np.array([t[-1:] in ".!?\"'" for _, t, _ in own]), (np.arange(lo, lo + n) + 0.5) / total, n_words / most, np.array([len(p) for p, _, _ in own]) / 10])
     return out
 
 
@@ -193,13 +196,13 @@ class Network:
             "bias": np.zeros(1),
         }
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None) -> np.ndarray:
-        """Hidden states (T, B, H); ``keep`` gets what the backward pass needs."""
+    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Hidden states (T, B, H) from ``state`` on, and the last state; ``keep`` gets what the backward pass needs."""
         w, h = self.w, HIDDEN
         t, b, d = x.shape
         into = (x.reshape(t * b, d) @ w[f"x{side}"]).reshape(t, b, 4 * h) + w[f"b{side}"]
         out = np.zeros((t, b, h))
-        hid, cell = np.zeros((b, h)), np.zeros((b, h))
+        hid, cell = state or (np.zeros((b, h)), np.zeros((b, h)))
         for k in range(t) if side == "f" else range(t - 1, -1, -1):
             gates = into[k] + hid @ w[f"h{side}"]
             sig = 1 / (1 + np.exp(-np.clip(gates[:, : 3 * h], -30, 30)))
@@ -212,17 +215,34 @@ class Network:
             out[k] = hid
             if keep is not None:
                 keep.append((k, i, f, o, g, th, *before, m))
-        return out
+        return out, (hid, cell)
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._pass(x, mask, s, None) for s in "fb"], axis=2)
+    def _chances(self, both: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(both @ self.w["out"] + self.w["bias"], -30, 30)))
 
+    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return self._chances(np.concatenate([self._pass(x, mask, s)[0] for s in "fb"], axis=2))
+
+    def long_page(self, page: list, step: int = BATCH_BLOCKS) -> np.ndarray:
+        """The probabilities of one page of any length: both directions go through it part by part, handing on their state.
+
+        Beside the blocks themselves only the hidden states are held, 128 bytes a block.
+        """
+        n, states = len(page), {}
+        for side in "fb":
+            states[side], state = np.zeros((n, HIDDEN), np.float32), None
+            parts = range(0, n, step)
+            for lo in parts if side == "f" else reversed(parts):
+                x = vectors(page, lo, lo + step)[:, None, :]
+                out, state = self._pass(x, np.ones((len(x), 1)), side, None, state)
+                states[side][lo : lo + step] = out[:, 0]
+        return self._chances(np.concatenate([states["f"], states["b"]], axis=1))
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w, h = self.w, HIDDEN
         kept: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._pass(x, mask, s, kept[s]) for s in "fb"], axis=2)
-        p = 1 / (1 + np.exp(-np.clip(both @ w["out"] + w["bias"], -30, 30)))
+        both = np.concatenate([self._pass(x, mask, s, kept[s])[0] for s in "fb"], axis=2)
+        p = self._chances(both)
         d_out = (p - y) * mask / mask.sum()
         grad = {"out": np.einsum("tb,tbh->h", d_out, both), "bias": d_out.sum(keepdims=True).reshape(1)}
         d_both = d_out[:, :, None] * w["out"]
@@ -242,14 +262,14 @@ class Network:
         return grad
 
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = 5) -> None:
-        """Adam over batches of pages of about one length."""
+        """Adam over batches of pages of about one length, for ``epochs`` and LEAST_STEPS at least."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         step = 0
         order = sorted(range(len(pages)), key=lambda k: len(pages[k][1]))
         batches = [order[k : k + BATCH] for k in range(0, len(order), BATCH)]
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS // len(batches)))):
             for b in rng.permutation(len(batches)):
                 x, mask = padded([pages[k][0] for k in batches[b]])
                 y = np.zeros(mask.shape)
@@ -266,7 +286,7 @@ class Network:
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         lo = 0
-        while lo < len(order):
+        while lo < len(order) and len(pages[order[lo]]) <= BATCH_BLOCKS:
             hi = lo + 1
             while hi < len(order) and (hi + 1 - lo) * len(pages[order[hi]]) <= BATCH_BLOCKS:
                 hi += 1
@@ -276,6 +296,8 @@ class Network:
             for j, k in enumerate(own):
                 out[k] = p[: len(pages[k]), j]
             lo = hi
+        for k in order[lo:]:
+            out[k] = self.long_page(pages[k])
         return out
 
 
@@ -340,7 +362,10 @@ def _shown_otherwise(page: list, labels: list[int], others: list[str], rng: np.r
 
 
 def train_on(htmls: list[str], variants: int = 4, seed: int = 9) -> Network | None:
-    """A network from the pages whose blocks the teacher can label; None if there are none."""
+    """A network from the pages whose blocks the teacher can label; None if there are none.
+
+    Few pages are shown in more variants (up to MAX_VARIANTS) and more often, so that any number is learned from.
+    """
     rng = np.random.default_rng(seed)
     known = []
     for html in htmls:
@@ -352,6 +377,7 @@ def train_on(htmls: list[str], variants: int = 4, seed: int = 9) -> Network | No
         return None
     others = [text for page, _ in known for _, text, _ in page]
     shown = list(known)
+    variants = max(variants, min(MAX_VARIANTS, LEAST_SHOWN // len(known)))
     for page, labels in known:
         shown += [_shown_otherwise(page, labels, others, rng) for _ in range(variants)]
     network = Network()
@@ -398,7 +424,8 @@ def extract(pages: DataFrame, network: Network | None) -> DataFrame:
     """``pages`` with a column ``text``: the blocks labelled as main text, joined by newlines.
 
     A null, empty or textless html gives an empty text, and so does every page without a network. An existing
-    column ``text`` is replaced; other columns are kept; repeated rows get the same text.
+    column ``text`` is replaced; other columns are kept; repeated rows get the same text. A page of more than
+    BATCH_BLOCKS blocks is labelled by itself, part by part, with the whole of it in view.
     """
     pages = pages.drop("text")
     shared = pages.sparkSession.sparkContext.broadcast(network)  # some 50,000 weights, whatever the pages
