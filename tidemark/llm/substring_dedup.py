@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import held, materialize
 from ._words import mix, text_slices, word_hashes, words
 
 WINDOW, PHRASE = 50, 16
@@ -30,6 +30,8 @@ WINDOW, PHRASE = 50, 16
 SHARD_PHRASES, SHARD_BYTES = 20_000, 1 << 23
 #: Ids up to which the candidates are picked by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 500_000
+#: Rows of one window in one task, and windows with more, at most.
+HOT_ROWS, HOT_KEYS = 2000, 100_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -78,6 +80,7 @@ def phrases(hashes: np.ndarray, window: int = WINDOW, size: int = PHRASE) -> tup
 
 def _prepare(window: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substring_dedup")
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 starts, ends, at = words(data, offsets)
@@ -114,6 +117,7 @@ def _compile(patterns: list[str]) -> list[ahocorasick.Automaton]:
 
 def _locate(window: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substring_dedup")
         names = ["rid", "doc_id", "a", "b", "at"]
         for batch in batches:
             rids, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -159,6 +163,22 @@ def _cut(window: int):
     return run
 
 
+def _later(found: DataFrame) -> DataFrame:
+    """(rid, at) of the windows (rid, doc_id, a, b, at) that a smaller doc_id has too.
+
+    A window that very many texts have is dealt out: its rows are spread over as many parts as it has times
+    HOT_ROWS, and its least doc_id goes to each of them. Which windows are so is broadcast, HOT_KEYS at most.
+    """
+    firsts = found.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("a", "b", "least", "n")
+    firsts = materialize(firsts, "firsts")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") / F.lit(max(HOT_ROWS, total // HOT_KEYS))).cast("int")
+    hot = F.broadcast(firsts.select("a", "b", parts.alias("parts")).where("parts > 1"))
+    dealt = found.join(hot, ["a", "b"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    firsts = firsts.select("a", "b", "least", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(firsts, ["a", "b", "part"]).where("doc_id > least").select("rid", "at")
+
+
 def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of every row of ``docs`` (doc_id, text).
 
@@ -185,8 +205,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     texts = texts.withColumn("digest", F.sha2(F.array_join(F.array_remove(F.split("text", r"[ \t-\r]+"), ""), " "), 256))
     texts = materialize(texts.join(places, ["doc_id", "digest"]).select("rid", "doc_id", "digest", "text", "places").dropDuplicates(["rid"]), "candidates")
     found = materialize(texts.select("rid", "doc_id", "text", "places").mapInArrow(_locate(window, phrase), "rid long, doc_id long, a long, b long, at int"), "windows")
-    firsts = found.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("a", "b", "least")
-    hits = found.join(firsts, ["a", "b"]).where("doc_id > least").groupBy("rid").agg(F.collect_list("at").alias("at"))
+    hits = _later(found).groupBy("rid").agg(F.collect_list("at").alias("at"))
     cut = texts.select("rid", "digest", "text").join(hits, "rid").select("digest", "text", "at").mapInArrow(_cut(window), "digest string, n_removed long, kept string")
     cut = materialize(cut, "cut")
     of_class = classes.select("digest", "first").join(cut, "digest", "left")
