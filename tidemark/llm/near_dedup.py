@@ -7,9 +7,9 @@ in the second permutation, so a signature is a columnwise minimum of K-wide slic
 
 Rows of one word sequence are one class, stood for by its least doc_id; copies never meet in pairs. In every
 band bucket the representatives are compared with one hub, not with each other, and every comparison is
-verified on the full sets of two-word shingles. Rounds of other hubs follow for the members that are still in
-another component, then all pairs of members in different components of a bucket, so no candidate is left out.
-Those pairs are joined under bounds on their sizes and on the bits in which bitmaps of their sets differ.
+verified on the full sets of two-word shingles. Rounds of other hubs follow as long as many members are still in
+other components, then the pairs of members in different components of a bucket, so no candidate is left out.
+Those meet by classes of size, under bounds on their sizes and on the bits in which bitmaps of their sets differ.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from ._words import mix, text_slices, word_hashes, words
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 45, 6
-HUB_ROUNDS = 1
+#: Rounds of other hubs, at most, before the members of different components are compared with each other.
+HUB_ROUNDS = 4
 #: Longs of the bitmap that each shingle sets one bit of. Two bitmaps differ in at most as many bits as the sets
 #: have elements that aren't common, which bounds the similarity from above without any error.
 BITMAP = 32
@@ -192,9 +193,10 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame | None:
 
 
 def _few(mixed: DataFrame) -> bool:
-    """Whether all pairs of the mixed buckets are not many more than their members."""
-    row = mixed.groupBy("key").count().agg(F.sum("count").alias("n"), F.sum(F.expr("cast(count as double) * count")).alias("n2")).first()
-    return row["n2"] <= max(100_000, 8 * row["n"])
+    """Whether the pairs of members in different components are not many more than the members."""
+    own = mixed.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n"))
+    row = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+    return row["pairs"] <= max(100_000, 4 * row["n"])
 
 
 def _by_hub(mixed: DataFrame, turn: int) -> DataFrame:
@@ -204,14 +206,17 @@ def _by_hub(mixed: DataFrame, turn: int) -> DataFrame:
 
 
 def _by_pair(mixed: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """All pairs of a bucket's members in different components whose sizes and bitmaps allow a link.
+    """The pairs of a bucket's members in different components whose sizes and bitmaps allow a link.
 
-    Both are conditions of the join, so that pairs below the threshold are hardly ever rows.
+    Members meet by bucket and class of size, a class being as wide as the sizes of a link may differ, so that
+    one side stands in its own class and the other in three. Sizes and bitmaps are conditions of the join:
+    pairs below the threshold are hardly ever rows.
     """
-    mixed = mixed.join(classes.select("rep", *_BITS), "rep")
-    x, y = (mixed.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "rep", "n", "comp", *_BITS))) for side in "ab")
+    mixed = mixed.join(classes.select("rep", *_BITS), "rep").withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(denominator / numerator)) + 1e-9))
+    x, y = (mixed.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "rep", "n", "comp", "class", *_BITS))) for side in "ab")
+    y = y.withColumn("near", F.explode(F.array(*(F.col("class_b") + d for d in (-1, 0, 1)))))
     sized = f"{denominator} * least(n_a, n_b) >= {numerator} * greatest(n_a, n_b)"
     differ = " + ".join(f"bit_count({b}_a ^ {b}_b)" for b in _BITS)
     near = f"({denominator} + {numerator}) * ({differ}) <= ({denominator} - {numerator}) * (n_a + n_b)"
-    met = x.join(y, F.expr(f"key_a = key_b and rep_a < rep_b and comp_a <> comp_b and {sized} and {near}"))
+    met = x.join(y, F.expr(f"key_a = key_b and class_a = near and rep_a < rep_b and comp_a <> comp_b and {sized} and {near}"))
     return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
