@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+import zstandard
+
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -110,3 +113,40 @@ def base_secrets(text):
     spans = [(m.start(), k, kind, m.end()) for k, (kind, (pattern, ok)) in enumerate(_SECRETS.items()) for m in pattern.finditer(text or "") if ok(m)]
     n = Counter(s[2] for s in spans)
     return (n["assign"], n["access"], n["hex"], sha(",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))))
+
+
+def ftrl(rows, labels, epochs, alpha, beta, l1, l2):
+    """(bias, {coordinate: weight}) of FTRL-proximal, one coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k, first):
+        if abs(z[k]) <= first:
+            return 0.0
+        return -(z[k] - (first if z[k] > 0 else -first)) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(epochs):
+        for row, y in zip(rows, labels):
+            keys = [*sorted(set(row)), "bias"]
+            own = {k: weight(k, 0.0 if k == "bias" else l1) for k in keys}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(own.values())))))
+            for k in keys:
+                sigma = (math.sqrt(n[k] + (p - y) ** 2) - math.sqrt(n[k])) / alpha
+                z[k] += (p - y) - sigma * own[k]
+                n[k] += (p - y) ** 2
+    return weight("bias", 0.0), {k: w for k in list(z) if k != "bias" and (w := weight(k, l1))}
+
+
+def language(text, model, piece, level):
+    """The language whose dictionary leaves the fewest bytes, the first of equals; und without a letter."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und"
+    data, best = text.lower().encode(), None
+    for lang, content in model:
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = 0
+        for k in range(0, len(data), piece):
+            one = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
+            size += len(one.compress(data[k : k + piece]))
+        if best is None or size < best[0]:
+            best = (size, lang)
+    return best[1]

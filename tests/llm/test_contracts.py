@@ -92,9 +92,9 @@ def test_signature_is_circulant():
 BENCHMARK = [(1, "The quick brown fox jumps over the lazy dog and runs far away from there"), (2, "short ITEM"), (10, "quick brown fox jumps over the lazy dog and runs far away"), (3, None), (4, "!!"), (5, "ΑΣ' Ünï İx É")]
 
 
-@pytest.mark.parametrize("bound", [100_000, 0])
+@pytest.mark.parametrize("bound", [100_000, 3])
 def test_contamination(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontamination, "SET_BOUND", bound)
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", bound)
     docs = [
         (1, "x " * 30 + "THE quick, brown fox jumps over the lazy dog and RUNS far away from there."),
         (2, "the quick brown fox jumps over the lazy dog and"),
