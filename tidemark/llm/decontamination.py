@@ -53,15 +53,16 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     stated = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("bytes"), F.sort_array(F.collect_set("size")).alias("sizes")).first()  # ``window`` sizes at most
     sizes, blocks = stated["sizes"], max(1, -(-stated["n"] // BLOCK_WINDOWS), -(-(stated["bytes"] or 0) // BLOCK_BYTES))
     rows = docs.select("doc_id", _key().alias("key"), _words("text").alias("w"))
-    rows = rows.select("doc_id", "key", "w", F.size("w").alias("n_words"), F.expr("transform(w, x -> xxhash64(x))").alias("hw"))
-    # a null for the document itself, then the hashes of its windows of each size, one size after the other
-    grams = [F.expr(f"if(size(hw) < {k}, cast(array() as array<bigint>), transform(sequence(1, size(hw) - {k - 1}), i -> xxhash64(slice(hw, i, {k}))))") for k in sizes]
-    rows = rows.select("doc_id", "key", "n_words", "w", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), *grams)).alias("pos", "h"))
-    before = F.lit(0)
-    at = F.lit(None).cast("int")
-    for k in sizes:
-        at = F.when(F.col("size") == k, F.col("pos") - before).otherwise(at)
-        before = before + F.greatest(F.lit(0), F.col("n_words") - (k - 1))
+    # a null for the document itself, then, word by word, the hashes of the windows of each size that start there
+    m, listed = len(sizes), ", ".join(map(str, sizes))
+    window_at = f"xxhash64(slice(hw, cast(p div {m} as int) + 1, element_at(array({listed}), cast(p % {m} as int) + 1)))" if m else ""
+    each = f"if(size(hw) = 0, cast(array() as array<bigint>), transform(sequence(0, size(hw) * {m} - 1), p -> {window_at}))" if m else "cast(array() as array<bigint>)"
+    # the words' hashes are a variable, since a slice of a row's column copies the whole of it
+    grams = F.expr(f"element_at(transform(array(transform(w, x -> xxhash64(x))), hw -> {each}), 1)")
+    # the windows are a column before they are rows: lambdas are no part of generated code, and the words aren't copied for each window
+    rows = rows.select("doc_id", "key", F.size("w").alias("n_words"), "w", F.concat(F.array(F.lit(None).cast("long")), grams).alias("grams"))
+    rows = rows.select("doc_id", "key", "n_words", "w", F.posexplode_outer("grams").alias("pos", "h"))
+    at = F.when(F.col("size").isNotNull(), F.floor((F.col("pos") - 1) / F.lit(max(m, 1))).cast("int") + 1)
     out = None
     for i in range(blocks):
         own = F.broadcast(items if blocks == 1 else items.where(F.pmod("h", F.lit(blocks)) == i))
