@@ -57,7 +57,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     docs = docs.withColumn("_w", F.array_remove(F.split("_t", SPACES), "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
-    docs = docs.withColumn("_h", F.expr("if(size(_w) < 3, array(), transform(sequence(1, size(_w) - 2), i -> xxhash64(slice(_w, i, 3))))"))
+    # the words' hashes are a variable: a slice of a row's own column copies the whole of it for each window
+    windows = "if(size(v) < 3, cast(array() as array<bigint>), transform(sequence(1, size(v) - 2), i -> xxhash64(slice(v, i, 3))))"
+    docs = docs.withColumn("_h", F.expr(f"element_at(transform(array(transform(_w, x -> xxhash64(x))), v -> {windows}), 1)"))
     docs = docs.withColumn("_s", F.expr("if(size(_h) = size(array_distinct(_h)), array(), sort_array(zip_with(_h, sequence(1, size(_h)), (h, i) -> struct(h, i))))"))
     again = "transform(filter(sequence(1, size(_s)), k -> (k > 1 and _s[k - 2].h = _s[k - 1].h) or (k < size(_s) and _s[k].h = _s[k - 1].h)), k -> _s[k - 1].i)"
     docs = docs.withColumn("_p", F.expr(f"if(size(_s) = 0, array(), sort_array({again}))"))
