@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         if total == seen or not total["n"]:
             break
         seen = total
-        now = materialize(_small_star(_large_star(now).where("a <> b")).where("a <> b").distinct(), "edges")
+        before, now = now, materialize(_small_star(_large_star(now).where("a <> b")).where("a <> b").distinct(), "edges")
+        discard(before)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Later plans read files that survive the loss of any executor, and an iterative plan stays short. While
     the table is written the session's Arrow batches are small ones, which changes no result of any query.
-    The tables are removed when the driver ends.
+    The tables are removed when the driver ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
@@ -49,7 +49,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_to)
+        _written.remove((df.sparkSession, df._written_to))
+
+
+def until_the_end(spark: SparkSession, path: str) -> str:
+    """``path``, to be removed when the driver ends."""
+    _written.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def held(key: Hashable, make: Callable[[], Any] = lambda: None) -> Any:
@@ -90,8 +110,6 @@ def widened(df: DataFrame, **kinds: str) -> StructType:
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already; the cluster clears its checkpoint folder
             return

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import held, materialize, release
+from ._store import discard, held, materialize, release
 from ._words import mix, text_slices, word_hashes, words
 
 UNIVERSE_BITS = 20
@@ -146,23 +146,27 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     shared = materialize(buckets.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size"), "shared")
     # buckets of two or more representatives, with the sizes that a similar pair must have; the hub of a bucket
     # is the member that meets the most others in all of its buckets, which edited copies have in their source
-    members = materialize(buckets.join(shared, "key"), "met")
+    met_members = members = materialize(buckets.join(shared, "key"), "met")
     met = members.groupBy("rep").agg(F.sum("size").alias("met"))
     members = members.join(met, "rep").select("key", "rep", "n", "met")
     hubs = members.groupBy("key").agg(F.min(F.struct(-F.col("met"), "rep")).alias("h")).select("key", F.col("h.rep").alias("hub"))
     members = materialize(members.drop("met").join(hubs, "key"), "members")
     pairs = members.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-    links = materialize(_verified(materialize(pairs, "pairs"), docs, numerator, denominator), "links")
+    pairs = materialize(pairs, "pairs")
+    links = materialize(_verified(pairs, docs, numerator, denominator), "links")
+    discard(pairs, met_members, shared)
     for turn in range(HUB_ROUNDS + 1):
         found = materialize(components(links), "components")
         mixed = _mixed(members, found)
+        discard(found)
         if mixed is None:
             break
         all_pairs = turn == HUB_ROUNDS or _few(mixed)
         pairs = _by_pair(mixed, classes, numerator, denominator) if all_pairs else _by_hub(mixed, turn)
         sized = f"{denominator} * least(na, nb) >= {numerator} * greatest(na, nb)"
         pairs = materialize(pairs.where("a <> b").where(sized).select("a", "b").distinct(), "pairs")
-        links = materialize(links.union(_verified(pairs, docs, numerator, denominator)), "links")
+        before, links = links, materialize(links.union(_verified(pairs, docs, numerator, denominator)), "links")
+        discard(before, pairs, mixed)
         if all_pairs:
             break
     found = components(links)
@@ -189,6 +193,7 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame | None:
     now = materialize(now, "members")
     several = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     mixed = materialize(now.join(several, "key"), "mixed")
+    discard(now)
     return None if mixed.isEmpty() else mixed
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import held, materialize, shared_dir
+from ._store import held, materialize, shared_dir, until_the_end
 
 # The rules, in the order in which spans of one start are listed. The first three are the base;
 # (kind, pattern, group whose length counts, least length).
@@ -99,10 +99,10 @@ def _read(spark, ledger: str) -> DataFrame | None:
 
 
 def new_ledger(spark) -> str:
-    """A path for a ledger of one run, in the shared folder."""
+    """A path for a ledger of one run, in the shared folder; it goes when the driver ends."""
     import uuid
 
-    return f"{shared_dir(spark)}/tidemark-ledger-{uuid.uuid4().hex}"
+    return until_the_end(spark, f"{shared_dir(spark)}/tidemark-ledger-{uuid.uuid4().hex}")
 
 
 def scan(docs: DataFrame, ledger: str | None = None, columns: list[str] | None = None) -> DataFrame:
