@@ -68,6 +68,14 @@ def test_failures_have_their_text(spark):
     assert call(rows.coalesce(1), "question", "o", "string", twice, fallback="f", wait=0.0).first()["o"] == "ok"
 
 
+def test_instructions_come_first(spark):
+    from tidemark.plans import prompts as T
+
+    asked = T.instructed(lambda prompts: [p.split("\n")[0] for p in prompts], T.ANSWER)
+    rows = spark.createDataFrame([(0, "q", ["c"])], "question_index long, question string, contexts array<string>")
+    assert V.answer(rows, asked).first()["answer"] == T.ANSWER
+
+
 def test_runs_are_written_and_timed(spark, tmp_path):
     docs = spark.createDataFrame([("g", 1, "alpha beta gamma"), ("h", 1, "delta epsilon"), ("h", 2, "zeta")], "game_name string, doc_id long, text string")
     qa = spark.createDataFrame([(1, "h", "delta"), (0, "g", "alpha")], "question_index long, game_name string, question string")

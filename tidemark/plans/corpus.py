@@ -11,6 +11,7 @@ from tidemark.functions.text import cap, chunks
 from tidemark.operators.entities import dedup_in_order, extract_capitalized
 from tidemark.operators.qa import drop_blank
 from tidemark.operators.temporal import assign_segments, with_time_metadata
+from tidemark.plans import prompts as T
 from tidemark.plans.providers import Provider, call
 
 
@@ -47,10 +48,10 @@ def extract_entities(chunks: DataFrame, provider: Provider) -> DataFrame:
     ladder of ``entity_list``; texts are distinct and in order of mention.
     """
     text = cap(F.col("contents"))
-    rows = call(chunks.drop("entities").withColumn("_p", F.concat(F.lit("Write three sentences with named entities, in the manner of this text:\n"), text)), "_p", "_examples", "string", provider, fallback="")
-    rows = call(rows.withColumn("_p", F.concat(F.lit("List the named entities of these sentences as JSON:\n"), "_examples")), "_p", "_shown", "string", provider, fallback="")
+    rows = call(chunks.drop("entities").withColumn("_p", F.concat(F.lit(T.EXAMPLES + "\n"), text)), "_p", "_examples", "string", provider, fallback="")
+    rows = call(rows.withColumn("_p", F.concat(F.lit(T.ENTITIES_OF_EXAMPLES + "\n"), "_examples")), "_p", "_shown", "string", provider, fallback="")
     some = (F.trim("_examples") != "") & (F.trim("_shown") != "")
-    direct = F.concat(F.lit("List the named entities of this text as JSON:\n"), text)
+    direct = F.concat(F.lit(T.ENTITIES + "\n"), text)
     shown = F.concat(F.lit("Examples:\n"), "_examples", F.lit("\n"), "_shown", F.lit("\n\n"), direct)
     rows = call(rows.withColumn("_p", F.when(some, shown).otherwise(direct)), "_p", "_reply", "string", provider, fallback="").withColumn("entities", _names(F.col("_reply")))
     none = F.size("entities") == 0

@@ -13,6 +13,7 @@ from tidemark.operators.entities import dedup_in_order, discard_overlapping, ext
 from tidemark.operators.qa import can_refine, is_valid, quality_gate, resume, stamp_inherited
 from tidemark.operators.temporal import latest_date
 from tidemark.plans.config import GenerationConfig
+from tidemark.plans.prompts import REFINE
 from tidemark.plans.providers import Provider, call, embed, offline_answer, offline_embedding, offline_judge, offline_question
 
 
@@ -110,7 +111,7 @@ def refine(pairs: DataFrame, provider: Provider) -> DataFrame:
     ``original_question``, ``original_answer`` and ``optimized`` tell what was done.
     """
     sent = F.coalesce(can_refine(F.col("question"), F.col("answer")), F.lit(False))
-    prompt = F.concat_ws("\n", F.lit("Improve this pair."), F.concat(F.lit("question: "), "question"), F.concat(F.lit("answer: "), "answer"), numbered_context(F.col("references")))
+    prompt = F.concat_ws("\n", F.lit(REFINE), F.concat(F.lit("question: "), "question"), F.concat(F.lit("answer: "), "answer"), numbered_context(F.col("references")))
     replies = call(pairs.where(sent).withColumn("_prompt", prompt), "_prompt", "_reply", "string", provider, fallback="").drop("_prompt")
     both = replies.unionByName(pairs.where(~sent).withColumn("_reply", F.lit(None).cast("string")))
     both = both.withColumn("_r", qa_record(strip_fence(F.coalesce("_reply", F.lit("")))))
