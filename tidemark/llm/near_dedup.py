@@ -28,7 +28,7 @@ from ._words import mix, text_slices, word_hashes, words
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 45, 6
-#: Rounds of other hubs, at most, before the members of different components are compared with each other.
+#: Rounds of other hubs, as long as they find links, before the members of different components are compared with each other.
 HUB_ROUNDS = 4
 #: Longs of the bitmap that each shingle sets one bit of. Two bitmaps differ in at most as many bits as the sets
 #: have elements that aren't common, which bounds the similarity from above without any error.
@@ -155,13 +155,14 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     pairs = materialize(pairs, "pairs")
     links = materialize(_verified(pairs, docs, numerator, denominator), "links")
     discard(pairs, met_members, shared)
+    n_links, gained = links.count(), True
     for turn in range(HUB_ROUNDS + 1):
         found = materialize(components(links), "components")
         mixed = _mixed(members, found)
         discard(found)
         if mixed is None:
             break
-        all_pairs = turn == HUB_ROUNDS or _few(mixed)
+        all_pairs = turn == HUB_ROUNDS or not gained or _few(mixed)
         pairs = _by_pair(mixed, classes, numerator, denominator) if all_pairs else _by_hub(mixed, turn)
         sized = f"{denominator} * least(na, nb) >= {numerator} * greatest(na, nb)"
         pairs = materialize(pairs.where("a <> b").where(sized).select("a", "b").distinct(), "pairs")
@@ -169,6 +170,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
         discard(before, pairs, mixed)
         if all_pairs:
             break
+        gained, n_links = links.count() > n_links, links.count()
     found = components(links)
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
