@@ -134,7 +134,7 @@ def test_ids_that_stay(spark, tmp_path):
         (tmp_path / "in" / folder).mkdir(parents=True)
         (tmp_path / "in" / folder / "same.txt").write_text("Alpha here")
     files = R.read_source_files(spark, str(tmp_path / "in"))
-    segments = spark.createDataFrame([(1, "2024-01-01", "2024-02-01")], "segment_id int, start_date string, end_date string")
+    segments = spark.createDataFrame([(0, 1, "2024-01-01", "2024-02-01")], "position int, segment_id int, start_date string, end_date string")
     ids = [r["id"] for r in build_corpus(files, segments).collect()]
     assert len(set(ids)) == 2 and sorted(ids) == sorted(r["id"] for r in build_corpus(files.repartition(5), segments).collect())
     corpus = tmp_path / "corpus" / "segment_key=1"

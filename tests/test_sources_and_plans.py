@@ -103,9 +103,10 @@ def test_generate_and_inherit(spark, tmp_path):
     templates = spark.createDataFrame([(f"t{i}", f"Alpha question {i} about Gamma", "a" if i < 6 else "b") for i in range(8)], "id string, template string, topic string")
     quota = spark.createDataFrame([("a", 3), ("b", 2)], "topic string, allocated long")
     done = spark.createDataFrame([("t0",)], "id string")
-    pairs = G.generate(templates, quota, chunks, done, least=0)
+    pairs = G.generate(templates, quota, chunks, done, least=0, kind="bm25")
     got = pairs.collect()
     assert 0 < len(got) <= 5 and "t0" not in {r["template_id"] for r in got} and all(r["references"] for r in got)
+    assert G.generate(templates, quota, chunks, done, least=0, threshold=-1.0).count() > 0  # dense retrieval, however far
     previous = spark.createDataFrame([(i, "a" if i % 2 else "b", ["Alpha"] if i < 4 else ["Other"]) for i in range(10)], "qa_id long, question_topic string, entities array<string>")
     types = spark.createDataFrame([("a", 3), ("b", 1)], "topic string, n long")
     kept = G.inherit(previous, spark.createDataFrame([("Alpha",)], "entity string"), types, 4, 2).collect()
