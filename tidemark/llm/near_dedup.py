@@ -157,9 +157,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     discard(pairs, met_members, shared)
     n_links, gained = links.count(), True
     for turn in range(HUB_ROUNDS + 1):
-        found = materialize(components(links), "components")
-        mixed = _mixed(members, found)
-        discard(found)
+        if gained:
+            found = materialize(components(links), "components")
+            mixed = _mixed(members, found)
+            discard(found)
         if mixed is None:
             break
         all_pairs = turn == HUB_ROUNDS or not gained or _few(mixed)
@@ -167,10 +168,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
         sized = f"{denominator} * least(na, nb) >= {numerator} * greatest(na, nb)"
         pairs = materialize(pairs.where("a <> b").where(sized).select("a", "b").distinct(), "pairs")
         before, links = links, materialize(links.union(_verified(pairs, docs, numerator, denominator)), "links")
-        discard(before, pairs, mixed)
+        discard(before, pairs)
         if all_pairs:
             break
-        gained, n_links = links.count() > n_links, links.count()
+        now = links.count()
+        gained, n_links = now > n_links, now
     found = components(links)
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
