@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(got != "", got)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def json_body(text: Column) -> Column:
     """The JSON in an answer: in ``<json>`` tags, in a json fence, in any fence if it has braces, between the outermost braces, or ''."""
     tagged = _found(text, r"(?s)<json>\s*(.*?)\s*</json>")
@@ -26,12 +33,17 @@ def _count(text: Column, what: str) -> Column:
 
 def repair_truncated(text: Column) -> Column:
     """Close what an answer that ends with ``...``, white space aside, has left open: a quote, then braces, then brackets. Others stay."""
-    base = F.regexp_replace(text, r"\.\.\.\s*$", "")
-    quoted = F.concat(base, F.when(_count(base, '"') % 2 == 1, F.lit('"')).otherwise(F.lit("")))
-    braces = F.greatest(F.lit(0), _count(quoted, "{") - _count(quoted, "}"))
-    brackets = F.greatest(F.lit(0), _count(quoted, "[") - _count(quoted, "]"))
-    closed = F.concat(quoted, F.repeat(F.lit("}"), braces), F.repeat(F.lit("]"), brackets))
-    return F.when(text.rlike(r"\.\.\.\s*$"), closed).otherwise(text)
+
+    def quoted(base: Column) -> Column:
+        return F.concat(base, F.when(_count(base, '"') % 2 == 1, F.lit('"')).otherwise(F.lit("")))
+
+    def closed(own: Column) -> Column:
+        braces = F.greatest(F.lit(0), _count(own, "{") - _count(own, "}"))
+        brackets = F.greatest(F.lit(0), _count(own, "[") - _count(own, "]"))
+        return F.concat(own, F.repeat(F.lit("}"), braces), F.repeat(F.lit("]"), brackets))
+
+    cut = lambda t: _let(_let(F.regexp_replace(t, r"\.\.\.\s*$", ""), quoted), closed)
+    return _let(text, lambda t: F.when(t.rlike(r"\.\.\.\s*$"), cut(t)).otherwise(t))
 
 
 def hypothetical(response: Column, template: Column) -> Column:
@@ -87,21 +99,29 @@ def qa_record(text: Column) -> Column:
     a = _found(text, r"(?im)^\s*(?:a|answer)\s*[:：]\s*(.+)$")
     hq = _found(text, r"(?m)^\s*(.*\?)\s*$")
     ha = _found(text, r"(?ms)^\s*.*?\?\s*\n\s*(.+)$")
-    ok = js["question"].isNotNull() & js["answer"].isNotNull()
-    lines = q.isNotNull() & a.isNotNull()
-    return F.struct(
-        F.when(ok, js["question"]).when(lines, q).otherwise(hq).alias("question"),
-        F.when(ok, js["answer"]).when(lines, a).otherwise(ha).alias("answer"),
-        F.when(ok, "json").when(lines, "lines").when(hq.isNotNull(), "heuristic").otherwise("none").alias("method"),
-    )
+
+    def record(v: Column) -> Column:
+        ok = v["js"]["question"].isNotNull() & v["js"]["answer"].isNotNull()
+        lines = v["q"].isNotNull() & v["a"].isNotNull()
+        return F.struct(
+            F.when(ok, v["js"]["question"]).when(lines, v["q"]).otherwise(v["hq"]).alias("question"),
+            F.when(ok, v["js"]["answer"]).when(lines, v["a"]).otherwise(v["ha"]).alias("answer"),
+            F.when(ok, "json").when(lines, "lines").when(v["hq"].isNotNull(), "heuristic").otherwise("none").alias("method"),
+        )
+
+    return _let(F.struct(js.alias("js"), q.alias("q"), a.alias("a"), hq.alias("hq"), ha.alias("ha")), record)
 
 
 def template_record(text: Column) -> Column:
     """Struct (template, description, method): JSON, else labelled line, else the whole text as the template."""
     js = F.from_json(repair_truncated(json_body(text)), "struct<template:string,description:string>")
     line = _found(text, r"(?im)^\s*template\s*[:：]\s*(.+)$")
-    method = F.when(js["template"].isNotNull(), "json").when(line.isNotNull(), "lines").otherwise("fallback")
-    return F.struct(F.coalesce(js["template"], line, F.trim(text)).alias("template"), js["description"].alias("description"), method.alias("method"))
+
+    def record(v: Column) -> Column:
+        method = F.when(v["js"]["template"].isNotNull(), "json").when(v["line"].isNotNull(), "lines").otherwise("fallback")
+        return F.struct(F.coalesce(v["js"]["template"], v["line"], F.trim(v["text"])).alias("template"), v["js"]["description"].alias("description"), method.alias("method"))
+
+    return _let(F.struct(js.alias("js"), line.alias("line"), text.alias("text")), record)
 
 
 def template_list(text: Column) -> Column:
@@ -113,13 +133,18 @@ def template_list(text: Column) -> Column:
     anywhere (``pattern``); else none.
     """
     kind = "struct<template:string,placeholders:array<string>,description:string>"
-    body = repair_truncated(F.coalesce(_found(text, r"(?s)(\{.*\})"), F.lit("")))
-    listed = F.from_json(body, f"struct<templates:array<{kind}>>")
-    readable = F.try_parse_json(body).isNotNull()
     none = F.array().cast("array<string>")
     made = lambda t, p, d, m: F.struct(F.coalesce(t, F.lit("")).alias("template"), F.coalesce(p, none).alias("placeholders"), F.coalesce(d, F.lit("")).alias("description"), F.lit(m).alias("method"))
-    first = F.transform(F.coalesce(listed["templates"], F.array().cast(f"array<{kind}>")), lambda x: made(x["template"], x["placeholders"], x["description"], "templates"))
+    body = repair_truncated(F.coalesce(_found(text, r"(?s)(\{.*\})"), F.lit("")))
     pair = F.from_json(repair_truncated(strip_fence(text)), "struct<question:string,answer:string,placeholders:array<string>,description:string>")
-    second = F.array(made(pair["question"], pair["placeholders"], pair["description"], "pair"))
-    third = _found(text, r'"question":\s*"([^"]+)"')
-    return F.when(readable, first).when(pair["question"].isNotNull() & pair["answer"].isNotNull(), second).when(third.isNotNull(), F.array(made(third, none, F.lit(""), "pattern"))).otherwise(F.slice(F.array(made(F.lit(""), none, F.lit(""), "none")), 1, 0))
+
+    def listed(v: Column) -> Column:
+        first = F.transform(F.coalesce(v["list"]["templates"], F.array().cast(f"array<{kind}>")), lambda x: made(x["template"], x["placeholders"], x["description"], "templates"))
+        second = F.array(made(v["pair"]["question"], v["pair"]["placeholders"], v["pair"]["description"], "pair"))
+        third = F.array(made(v["found"], none, F.lit(""), "pattern"))
+        nothing = F.slice(F.array(made(F.lit(""), none, F.lit(""), "none")), 1, 0)
+        return F.when(v["readable"], first).when(v["pair"]["question"].isNotNull() & v["pair"]["answer"].isNotNull(), second).when(v["found"].isNotNull(), third).otherwise(nothing)
+
+    parts = _let(body, lambda b: F.struct(F.from_json(b, f"struct<templates:array<{kind}>>").alias("list"), F.try_parse_json(b).isNotNull().alias("readable")))
+    found = _found(text, r'"question":\s*"([^"]+)"')
+    return _let(F.struct(parts["list"].alias("list"), parts["readable"].alias("readable"), pair.alias("pair"), found.alias("found")), listed)
