@@ -64,8 +64,8 @@ def total_score(retrieval: Column, generation: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    """The sum of the products of two arrays of one length."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """The sum of the products of two arrays; what the shorter one lacks counts as 0."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:
