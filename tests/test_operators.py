@@ -72,9 +72,7 @@ def test_overlap_keeps_pairs_without_entities(spark):
     assert sorted(r[0] for r in rows(E.discard_overlapping(qa, current))) == [1, 2]
 
 
-@pytest.mark.parametrize("bound", [10, 0])
-def test_mentions_ignore_case_and_word_bounds(spark, monkeypatch, bound):
-    monkeypatch.setattr(E, "MAX_BROADCAST_ENTITIES", bound)
+def test_mentions_ignore_case_and_word_bounds(spark):
     qa = spark.createDataFrame([(1, "the SUNshine of Oz"), (2, "none")], "qa_id int, t string")
     known = spark.createDataFrame([("Sun",), ("oz",), ("moon",), ("",)], "entity string")
     assert sorted(rows(E.mentions(qa, known, F.col("t")))) == [(1, "Sun"), (1, "oz")]

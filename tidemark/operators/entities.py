@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct entities of a segment up to which mentions are looked for in a broadcast list.
-MAX_BROADCAST_ENTITIES = 100_000
-
 
 def extract_capitalized(text: Column) -> Column:
     """Runs of capitalised words of three letters and more, distinct, in first-seen order: an offline stand-in for a model."""
@@ -48,18 +45,22 @@ def discard_overlapping(qa: DataFrame, current: DataFrame, key: str = "qa_id") -
     return qa.join(hit, key, "left_anti")
 
 
+def _starts(text: Column) -> Column:
+    """Distinct runs of one, two and three characters of the lower-cased text."""
+
+    def runs(c: Column) -> Column:
+        at = lambda i: F.array(F.get(c, i), F.concat(F.get(c, i), F.get(c, i + 1)), F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+        return F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 1), at)), lambda x: x.isNotNull()))
+
+    return F.element_at(F.transform(F.array(F.split(F.lower(text), "")), runs), 1)
+
+
 def mentions(qa: DataFrame, entities: DataFrame, text: Column, key: str = "qa_id") -> DataFrame:
     """(key, entity) for every entity that the text holds, whatever the case and without word bounds.
 
-    A list up to MAX_BROADCAST_ENTITIES is broadcast. A longer one is met on the words of the text first: an
-    entity can only be held if its longest inner word is part of one.
+    Texts and entities meet by the entity's first three characters (all of a shorter one), which every text
+    that holds it has; the whole entity is then looked for in these texts alone.
     """
-    held = F.lower(text).contains(F.lower("entity"))
-    listed = entities.select("entity").where("entity <> ''").distinct()
-    if listed.count() <= MAX_BROADCAST_ENTITIES:
-        return qa.join(F.broadcast(listed), held).select(key, "entity")
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, 3))
-    short = listed.where("length(entity) < 3")
-    long = listed.where("length(entity) >= 3").withColumn("gram", F.lower(F.substring("entity", 1, 3)))
-    by_gram = qa.withColumn("gram", F.explode(F.array_distinct(grams(F.lower(text))))).join(long, "gram").where(held).select(key, "entity").distinct()
-    return by_gram.union(qa.join(F.broadcast(short), held).select(key, "entity"))  # at most all pairs of characters
+    listed = entities.select("entity").where("entity <> ''").distinct().withColumn("_start", F.substring(F.lower("entity"), 1, 3))
+    met = qa.select(key, F.lower(text).alias("_text"), F.explode(_starts(text)).alias("_start")).join(listed, "_start")
+    return met.where(F.col("_text").contains(F.lower("entity"))).select(key, "entity").distinct()
