@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.registry import query, table
+from tidemark.catalog.registry import query, spread, table
 from tidemark.catalog.retrieval import bm25_results, sql_top
 from tidemark.operators import evaluation as E
 from tidemark.operators.qa import containing, doc_ids, model_key, status_counts
@@ -13,7 +13,7 @@ from tidemark.operators.qa import containing, doc_ids, model_key, status_counts
 def ground_truth(spark, sf):
     """(query_id, doc_id): documents that contain an item's text."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return containing(table(spark, sf, "documents").select("doc_id", "text"), items).select("query_id", "doc_id")
+    return containing(spread(spark, sf, "documents").select("doc_id", "text"), items).select("query_id", "doc_id")
 
 
 def results(spark, sf, k: int = 5):

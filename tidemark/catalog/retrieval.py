@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.registry import query, table
+from tidemark.catalog.registry import query, spread, table
 from tidemark.operators import bm25 as B
 from tidemark.operators import vector as V
 
@@ -29,7 +29,7 @@ def _items(spark, sf):
 
 
 def bm25_results(spark, sf, k: int = 3):
-    return B.retrieve(table(spark, sf, "documents").select("doc_id", "text"), _items(spark, sf), k)
+    return B.retrieve(spread(spark, sf, "documents").select("doc_id", "text"), _items(spark, sf), k)
 
 
 @query(f"SELECT doc_id, CAST(len(w) AS INTEGER) AS dl, token, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS token FROM (SELECT doc_id, {SQL_TOKENS.format('text')} AS w FROM documents)) GROUP BY ALL")
@@ -61,7 +61,7 @@ _GAMES = {"scope": "lang", "query_scope": "['de', 'en', 'es', 'fr'][item_id % 4
 @query(f"{sql_top(**_GAMES)} SELECT scope AS game_name, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM top")
 def bm25_topk_by_game(spark, sf):
     game = F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.col("query_id") % 4 + 1).cast("int"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("game_name"))
+    docs = spread(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("game_name"))
     return B.retrieve(docs, _items(spark, sf).withColumn("game_name", game), 3, scope="game_name").select(F.col("scope").alias("game_name"), "query_id", "doc_id", "score", "rank")
 
 
@@ -71,7 +71,7 @@ u AS (SELECT query_id, doc_id, score FROM top UNION ALL SELECT query_id, doc_id,
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS INTEGER) AS rank FROM u QUALIFY rank <= 3""")
 def bm25_topk_padded(spark, sf):
     items = _items(spark, sf).withColumn("text", F.when(F.col("query_id") % 3 == 0, "zzqx").otherwise(F.col("text")))
-    return B.retrieve(table(spark, sf, "documents").select("doc_id", "text"), items, 3, padded=True).select("query_id", "doc_id", "score", "rank")
+    return B.retrieve(spread(spark, sf, "documents").select("doc_id", "text"), items, 3, padded=True).select("query_id", "doc_id", "score", "rank")
 
 
 _SQL_COSINE = "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6)"
