@@ -27,12 +27,12 @@ def maximal_chats(rows):
     return {c for c, t in chats.items() if not any(d != c and u[: len(t)] == t and (len(u) > len(t) or d < c) for d, u in chats.items())}
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, width=2, numerator=80):
     """{doc_id: (n_shingles, component_id)} of (doc_id, text)."""
     sets = {}
     for i, text in docs:
         w = SPACE_WORD.findall((text or "").translate(LOWER))
-        sets[i] = set(zip(w, w[1:])) if len(w) > 1 else set(w)
+        sets[i] = set(zip(*(w[k:] for k in range(width)))) if len(w) >= width else {tuple(w)} if w else set()
     at = defaultdict(list)
     least = {i: i for i in sets}
 
@@ -44,7 +44,7 @@ def near_duplicates(docs):
     for i, own in sets.items():
         both = Counter(j for s in own for j in at[s])
         for j, n in both.items():
-            if 100 * n >= 80 * (len(own) + len(sets[j]) - n):
+            if 100 * n >= numerator * (len(own) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 least[max(a, b)] = min(a, b)
         for s in own:

@@ -21,6 +21,14 @@ r AS (SELECT doc_id AS node, doc_id AS least FROM documents UNION SELECT l.b, r.
 c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON node = doc_id"""
 
+JACCARD_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN w WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), b AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common, any_value(p.n) AS na, any_value(q.n) AS nb FROM x p JOIN x q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b WHERE 100 * common >= 90 * (na + nb - common)),
+r AS (SELECT doc_id AS node, doc_id AS least FROM documents UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.node WHERE r.least < l.b),
+c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM s JOIN c ON node = doc_id"""
+
 DECONTAMINATION = f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_PLAIN} AS w FROM benchmark),
 g AS (SELECT DISTINCT item_id, w[k:k + 12] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM i WHERE len(w) > 0)),
 z AS (SELECT DISTINCT len(g) AS n FROM g), d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, hard_negatives, html_extract, language, near_dedup, oracles, quality, secrets, source_divergence, substring_dedup, toxicity
+from . import bpe, chat, decontamination, hard_negatives, html_extract, jaccard_join, language, near_dedup, oracles, quality, secrets, source_divergence, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"]))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -74,7 +78,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, "vec_id % 50 = 0")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op6_quality, op7_substring_dedup, op8_language, op9_html_extract, op10_secrets, op12_source_divergence, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op6_quality, op7_substring_dedup, op8_language, op9_html_extract, op10_secrets, op11_jaccard_join, op12_source_divergence, op13_hard_negatives)}
 
 #: BPE, models and spans with code-point places are held against plain Python in the tests instead.
 ORACLES: dict[str, str] = {
@@ -83,6 +87,7 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": oracles.DECONTAMINATION,
     "op6_quality": oracles.quality(quality.RULES, quality.BASE, quality.STOP_WORDS),
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op11_jaccard_join": oracles.JACCARD_JOIN,
     "op12_source_divergence": oracles.SOURCE_DIVERGENCE,
     "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
