@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from ._store import held, materialize, shared_dir, until_the_end
 
 # The rules, in the order in which spans of one start are listed. The first three are the base;
-# (kind, pattern, group whose length counts, least length).
+# (kind, pattern, group whose length counts, least length). A failed match never goes over a text twice: a key's body ends at
+# the next row of dashes and a token's parts are taken whole, from the start of their run.
 RULES = (
     ("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, True),
     ("access", r"AKIA[A-Z0-9]+", 0, 20, False),
     ("hex", r"[0-9a-f]{24,}", 0, 24, False),
-    ("private_key", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]*?-----END [A-Z ]{0,32}PRIVATE KEY-----", 0, 40, False),
-    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, False),
+    ("private_key", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:(?!-----)[A-Za-z0-9+/=\s:,.-])*+-----END [A-Z ]{0,32}PRIVATE KEY-----", 0, 40, False),
+    ("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", 0, 30, False),
     ("host_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 15, False),
     ("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@[^\s/@]+", 0, 10, False),
 )
@@ -110,7 +111,7 @@ def scan(docs: DataFrame, ledger: str | None = None, columns: list[str] | None =
 
     ``ledger`` is the path of a table that outlives the run; without one, a new ledger is kept in the shared
     folder. ``docs`` is read once: what is returned and the texts with a hint are written for the steps after.
-    Null texts count as empty and have no spans. Repeated rows and equal texts share one scan. Columns of
+    Null texts count as empty and have no spans; whole texts are scanned, in time that grows with their length. Repeated rows and equal texts share one scan. Columns of
     ``docs`` named blob or spans are replaced. An empty table gives an empty result.
     """
     columns = [c for c in columns or docs.columns if c not in ("blob", "spans")]
