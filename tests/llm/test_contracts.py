@@ -94,7 +94,8 @@ BENCHMARK = [(1, "The quick brown fox jumps over the lazy dog and runs far away
 
 @pytest.mark.parametrize("bound", [100_000, 3])
 def test_contamination(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", bound)
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", bound)
+    monkeypatch.setattr(decontamination, "VERIFY_WINDOWS", bound)
     docs = [
         (1, "x " * 30 + "THE quick, brown fox jumps over the lazy dog and RUNS far away from there."),
         (2, "the quick brown fox jumps over the lazy dog and"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -163,3 +164,36 @@ def test_long_rows_and_null_ids(spark):
     assert got == {1: 0, 2: 60, None: 0, 3: 0}
     found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
     assert found == {1: 1, 2: 2, None: None, 3: 3}
+
+
+def test_every_letter_but_a_to_z_keeps_its_case(spark):
+    """Each character of Unicode in a text of its own, beside an item that has the same one and an item with its lower case."""
+    chars = [chr(c) for c in range(0x20, 0x1F000) if not 0xD800 <= c < 0xE000 and chr(c).lower() != chr(c)]
+    docs = [(k, f"One {c}x two É") for k, c in enumerate(chars)]
+    items = [(k, f"oNE {c}X TWO É") for k, c in enumerate(chars)] + [(100_000 + k, f"one {c.lower()}x two é") for k, c in enumerate(chars)]
+    found = decontamination.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in found.collect()}
+    want = {i: v[:3] for i, v in brute.contamination(docs, items).items()}
+    assert got == want and len(want) > 1300
+
+
+def test_contaminated_rows_go_whatever_their_columns(spark):
+    item = "alpha beta gamma"
+    docs = spark.createDataFrame([(1, item, 1, 2, "a", "b"), (2, "clean", 1, 2, "a", "b"), (None, item, 1, 2, "a", "b")], "doc_id long, text string, _bad_id long, _bad_key long, id string, key string")
+    kept = decontamination.remove_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 3_500_000, "-----BEGIN PRIVATE KEY-----\nabc\n" * 300_000, "-----BEGIN PRIVATE KEY-----" + "a" * 10_000_000, "eyJabcdefgh." * 900_000, "password " * 1_200_000, "-" * 10_000_000])
+def test_long_texts_are_scanned_once(text):
+    began = time.time()
+    secrets.find_spans(text)
+    assert time.time() - began < 30
+
+
+def test_added_rules_find_what_they_are_for():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\nAB+/=\n-----END RSA PRIVATE KEY-----"
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    text = f"-----BEGIN PRIVATE KEY-----\n{key} and {token}, {token}"
+    kinds = [(k, text[a:b]) for k, a, b in secrets.find_spans(text)]
+    assert kinds == [("private_key", key), ("web_token", token), ("web_token", token)]
