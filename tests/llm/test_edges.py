@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -111,7 +112,7 @@ def test_a_long_page_is_labelled_as_a_whole():
     page = html_extract.blocks("".join(f"<p>{' '.join(words(rng, 4))}</p>" for _ in range(3000)))
     x, mask = html_extract.padded([html_extract.vectors(page)])
     assert np.allclose(network.probabilities(x, mask)[:, 0], network.long_page(page, 500), atol=1e-5)
-    many = [(("p",), "a b", 0)] * 200_000
+    many = [(html_extract.Path(None, ("p",)), "a b", 0)] * 200_000
     assert len(network.label([many, page])[0]) == 200_000
 
 
@@ -197,3 +198,76 @@ def test_added_rules_find_what_they_are_for():
     text = f"-----BEGIN PRIVATE KEY-----\n{key} and {token}, {token}"
     kinds = [(k, text[a:b]) for k, a, b in secrets.find_spans(text)]
     assert kinds == [("private_key", key), ("web_token", token), ("web_token", token)]
+
+
+class _Leaves(HTMLParser):
+    """Leaf blocks of well-formed pages, by the standard parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.parts, self.found = 0, [], []
+
+    def cut(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.found.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in html_extract.HIDDEN_TAGS
+        if tag not in html_extract.INLINE:
+            self.cut()
+        if tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in html_extract.HIDDEN_TAGS
+        if tag not in html_extract.INLINE:
+            self.cut()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_extraction_is_the_plain_one(spark):
+    """Every page by itself, its blocks by the standard parser, its labels from one run of the network over it."""
+    rng = random.Random(21)
+    htmls = [_page(k, rng)[0] for k in range(60)]
+    htmls += [h.replace("<p>", "<p><b>R&amp;D &eacute;</b>&nbsp;<br> ", 1) for h in htmls[:10]]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(htmls)], "page_id long, url string, html string").repartition(3)
+    network = html_extract.fit(pages)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages, network).collect()}
+    for k, html in enumerate(htmls):
+        plain = _Leaves()
+        plain.feed(html)
+        plain.cut()
+        page = html_extract.blocks(html)
+        assert [t for _, t, _ in page] == plain.found
+        x, mask = html_extract.padded([html_extract.vectors(page)])
+        assert got[k] == "\n".join(t for t, p in zip(plain.found, network.probabilities(x, mask)[:, 0]) if p >= 0.5)
+
+
+def test_tables_of_odd_pages_give_text(spark):
+    """Only long pages; only pages without a telling tag; a page of elements that never close."""
+    rng = random.Random(22)
+    long = [(k, "u", _page(k, rng)[0].replace("</article>", f"<p>{' '.join(words(rng, 9000))}.</p></article>")) for k in range(12)]
+    assert all(len(h) > html_extract.MAX_PAGE_CHARS // 2 for _, _, h in long)
+    schema = "page_id long, url string, html string"
+    for rows, bound in ((long, 3000), ([(1, "u", "<div><p>Plain words of a page.</p><ul><li><a href='/'>home</a></li></ul></div>")], 65_536)):
+        pages = spark.createDataFrame(rows, schema)
+        html_extract.MAX_PAGE_CHARS, before = bound, html_extract.MAX_PAGE_CHARS
+        try:
+            network = html_extract.fit(pages)
+        finally:
+            html_extract.MAX_PAGE_CHARS = before
+        texts = [r["text"] for r in html_extract.extract(pages, network).collect()]
+        assert all(texts) and not any("home" in t.split("\n") for t in texts[:1])
+
+
+def test_deep_pages_take_no_square():
+    began = time.time()
+    page = html_extract.blocks("".join(f"<div class='a{k % 7}'>w{k}" for k in range(100_000)) + "</p>" * 100_000 + "</div>" * 100_000)
+    assert len(page) == 100_000 and page[-1][0].length == 200_000
+    html_extract.vectors(page, 0, 4096)
+    assert len(html_extract.blocks("<b>x" * 100_000 + "</i>" * 100_000)) == 1
+    assert time.time() - began < 30

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ._store import hash_bound, held, widened
 from ._words import text_slices, word_hashes, words
 
-#: Different pages to learn from, and the characters of html up to which a page is one of them; every page is labelled.
+#: Different pages to learn from, and the characters of html from the start of each; all blocks of every page are labelled.
 MAX_PAGES, MAX_PAGE_CHARS = 192, 65_536
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 256, 64, 8, 16
 EPOCHS, BATCH, RATE = 6, 16, 0.01
@@ -52,6 +53,35 @@ _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Path:
+    """The tags, classes and ids above a block, outermost first, as a link to the path above and the tokens of one element.
+
+    What the labeller needs of a path is kept with it, so that a deep page costs no more than its elements.
+    """
+
+    __slots__ = ("up", "own", "places", "length")
+
+    def __init__(self, up: Path | None, own: tuple[str, ...]):
+        self.up, self.own = up, own
+        self.places, self.length = (up.places, up.length + len(own)) if up else (0, len(own))
+        for token in own:
+            self.places |= 1 << _place(token)
+
+    @property
+    def last(self) -> str:
+        return self.own[-1]
+
+    def inner_first(self) -> Iterator[str]:
+        at: Path | None = self
+        while at:
+            yield from reversed(at.own)
+            at = at.up
+
+
+def _place(token: str) -> int:
+    return zlib.crc32(token.encode()) % PATH_DIMS
+
+
 def _tokens(tag: str, rest: str) -> tuple[str, ...]:
     out = [tag]
     if "=" in rest:
@@ -80,24 +110,30 @@ def _hidden_end(html: str, tag: str, rest: str, at: int, gone: set[str]) -> int:
     return label.end() if label else at
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path tokens, text, characters in links) of the leaf blocks of a page, in order.
+def blocks(html: str) -> list[tuple[Path | None, str, int]]:
+    """(path, text, characters in links) of the leaf blocks of a page, in order; the path is None outside of any element.
 
     Character references are decoded, white space becomes one blank; blocks without text are left out. Tags
     that are never closed, or closed without being open, are taken as browsers mostly take them; a head ends
     at the first text or element that can't be in one.
     """
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[Path | None, str, int]] = []
+    stack: list[tuple[str, Path | None]] = []
+    opened: Counter[str] = Counter()  # elements of the stack by tag
     parts: list[str] = []
-    linked, link_depth, in_head, at = 0, 0, False, 0
+    linked, in_head, at = 0, False, 0
+
+    def pop() -> str:
+        tag, _ = stack.pop()
+        opened[tag] -= 1
+        return tag
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((tuple(t for tag, own in stack if tag not in INLINE or tag == "a" for t in own), text, min(linked, len(text))))
+                out.append((stack[-1][1] if stack else None, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -108,7 +144,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if m.start() > at and not in_head:
             piece = html[at : m.start()]
             parts.append(piece)
-            if link_depth:
+            if opened["a"]:
                 linked += len(piece)
         at = m.end()
         tag = m["tag"]
@@ -135,40 +171,31 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag not in INLINE:
             close()
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0:
-                del stack[k:]
-                link_depth = sum(t == "a" for t, _ in stack)
+            while opened[tag] and pop() != tag:
+                pass
             continue
         if tag not in INLINE:  # a new block ends open inline tags; p, li and cells end their like
             while stack and (stack[-1][0] in INLINE or (stack[-1][0] == tag and tag in {"p", "li", "td", "th", "tr", "dt", "dd", "option"}) or (stack[-1][0] == "p" and tag != "p")):
-                stack.pop()
-            link_depth = sum(t == "a" for t, _ in stack)
+                pop()
         if not m["rest"].endswith("/"):
-            stack.append((tag, _tokens(tag, m["rest"])))
-            link_depth += tag == "a"
+            above = stack[-1][1] if stack else None
+            stack.append((tag, above if tag in INLINE and tag != "a" else Path(above, _tokens(tag, m["rest"]))))
+            opened[tag] += 1
     if at < len(html):
         parts.append(html[at:])
     close()
     return out
 
 
-def _place(token: str) -> int:
-    return zlib.crc32(token.encode()) % PATH_DIMS
-
-
-def vectors(page: list[tuple[tuple[str, ...], str, int]], lo: int = 0, hi: int | None = None) -> np.ndarray:
+def vectors(page: list[tuple[Path | None, str, int]], lo: int = 0, hi: int | None = None) -> np.ndarray:
     """The input of the network for the blocks of one page, or those from ``lo`` to ``hi`` of them."""
     own, total = page[lo:hi], len(page)
     n = len(own)
     out = np.zeros((n, PATH_DIMS + WORD_DIMS + MEASURES), np.float32)
     if not n:
         return out
-    for k, (path, _, _) in enumerate(own):
-        for token in path:
-            out[k, _place(token)] = 1.0
-        if path:
-            out[k, _place("leaf " + path[-1])] = 1.0
+    marks = [(path.places | 1 << _place("leaf " + path.last) if path else 0).to_bytes(PATH_DIMS // 8, "little") for path, _, _ in own]
+    out[:, :PATH_DIMS] = np.unpackbits(np.frombuffer(b"".join(marks), np.uint8).reshape(n, -1), axis=1, bitorder="little")
     for first, last, data, offsets in text_slices(pa.array([t for _, t, _ in own], pa.large_string())):
         starts, ends, at = words(data, offsets)
         rows = np.repeat(np.arange(last - first), np.diff(at))
@@ -179,7 +206,7 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]], lo: int = 0, hi: int |
     size = np.array([len(t) for _, t, _ in own], float)
     stops = np.array([sum(t.count(c) for c in ".,;!?") for _, t, _ in own], float)
     most = max(t.count(" ") + 1 for _, t, _ in page)
-    out[:, -MEASURES:] = np.column_stack([np.log1p(size) / 8, np.log1p(n_words) / 6, np.array([x for _, _, x in own]) / size, stops / n_words, np.array([t[-1:] in ".!?\"'" for _, t, _ in own]), (np.arange(lo, lo + n) + 0.5) / total, n_words / most, np.array([len(p) for p, _, _ in own]) / 10])
+    out[:, -MEASURES:] = np.column_stack([np.log1p(size) / 8, np.log1p(n_words) / 6, np.array([x for _, _, x in own]) / size, stops / n_words, np.array([t[-1:] in ".!?\"'" for _, t, _ in own]), (np.arange(lo, lo + n) + 0.5) / total, n_words / most, np.array([p.length if p else 0 for p, _, _ in own]) / 10])
     return out
 
 
@@ -309,9 +336,9 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def teacher(path: tuple[str, ...]) -> int | None:
+def teacher(path: Path | None) -> int | None:
     """1 for a block under an article mark, 0 under a frame mark (the inner one counts), None for neither."""
-    for token in reversed(path):
+    for token in path.inner_first() if path else ():
         if token.lstrip(".") in FRAME:
             return 0
         if token.lstrip(".") in ARTICLE:
@@ -338,21 +365,21 @@ def _shown_otherwise(page: list, labels: list[int], others: list[str], rng: np.r
     main, before, after = [], [], []
     for (path, text, linked), y in zip(page, labels):
         if y:
-            main.append(((*top, *article, path[-1] if path and path[-1][0] != "." else "p"), text, linked))
+            main.append((Path(None, (*top, *article, path.last if path and path.last[0] != "." else "p")), text, linked))
         else:
-            kind = "menu" if linked * 2 > len(text) else "line" if path[-1:] == ("footer",) else "note"
-            (before if not main else after).append(((*top, *kinds[kind]), text, linked))
+            kind = "menu" if linked * 2 > len(text) else "line" if path and path.last == "footer" else "note"
+            (before if not main else after).append((Path(None, (*top, *kinds[kind])), text, linked))
     words_of = lambda n: " ".join(pick(others).split()[:n]) or "-"
     for _ in range(int(rng.integers(0, 3))):
         kind = pick(("menu", "line", "note"))
         text = words_of(int(rng.integers(1, 4 if kind == "menu" else 25)))
-        pick((before, after)).append(((*top, *pick(_FRAME_PATHS[kind])), text, len(text) if kind == "menu" else 0))
+        pick((before, after)).append((Path(None, (*top, *pick(_FRAME_PATHS[kind]))), text, len(text) if kind == "menu" else 0))
     if rng.random() < 0.5:
         for _ in range(int(rng.integers(1, 6))):
-            after.append(((*top, *kinds["comment"]), words_of(int(rng.integers(3, 80))), 0))
+            after.append((Path(None, (*top, *kinds["comment"])), words_of(int(rng.integers(3, 80))), 0))
     inner = []
     if rng.random() < 0.3 and len(main) > 2:  # an advert or a notice within the article
-        inner = [(len(before) + int(rng.integers(1, len(main))), ((*top, *article, *pick(_FRAME_PATHS["note"])), words_of(int(rng.integers(2, 20))), 0))]
+        inner = [(len(before) + int(rng.integers(1, len(main))), (Path(None, (*top, *article, *pick(_FRAME_PATHS["note"]))), words_of(int(rng.integers(2, 20))), 0))]
     out = [*before, *main, *after]
     y = [0] * len(before) + [1] * len(main) + [0] * len(after)
     for at, block in inner:
@@ -386,8 +413,8 @@ def train_on(htmls: list[str], variants: int = 4, seed: int = 9) -> Network | No
 
 
 def sample(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """(at, html): the first ``max_pages`` different pages of at most MAX_PAGE_CHARS, in the order of a hash."""
-    picked = pages.select("html").where(f"html is not null and length(html) between 1 and {MAX_PAGE_CHARS}").select(F.xxhash64("html").alias("at"), "html")
+    """(at, html): the first ``max_pages`` different pages in the order of a hash, each cut to its first MAX_PAGE_CHARS."""
+    picked = pages.select("html").where("html <> ''").select(F.xxhash64("html").alias("at"), F.substring("html", 1, MAX_PAGE_CHARS).alias("html"))
     different = picked.select("at").distinct().count()
     return picked.where(F.col("at") <= hash_bound(2 * max_pages, different)).groupBy("at").agg(F.min("html").alias("html")).orderBy("at").limit(max_pages)
 
@@ -399,12 +426,21 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Network | None:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         network = train_on(pdf.sort_values(["at", "html"])["html"].tolist())
         weights = network.w if network else {}
-        return pd.DataFrame({"name": list(weights), "shape": [list(v.shape) for v in weights.values()], "w": [v.ravel().tolist() for v in weights.values()]})
+        return pd.DataFrame({"name": list(weights), "shape": [list(v.shape) for v in weights.values()], "w": [v.ravel().tolist() for v in weights.values()]}, dtype=object)
 
     rows = picked.groupBy(F.lit(1).alias("one")).applyInPandas(run, "name string, shape array<int>, w array<double>").collect()
     return Network({r["name"]: np.array(r["w"]).reshape(r["shape"]) for r in rows}) if rows else None
 
 
+def by_rule(page: list[tuple[Path | None, str, int]]) -> np.ndarray:
+    """What stands for the network's probabilities where no page had a telling tag to learn from.
+
+    A block under a mark is what the mark says; any other one is main text unless it is half links.
+    """
+    marks = (teacher(path) for path, _, _ in page)
+    return np.array([float(2 * linked <= len(text)) if y is None else float(y) for y, (_, text, linked) in zip(marks, page)])
+
+
 def _extract(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("html_extract")
@@ -413,7 +449,7 @@ def _extract(shared, at: int):
             for lo in range(0, len(whole), 256):
                 batch = whole.slice(lo, 256)
                 pages = [blocks(h.as_py() or "") for h in batch.column(at)]
-                chances = network.label(pages) if network else [np.zeros(len(p)) for p in pages]
+                chances = network.label(pages) if network else [by_rule(p) for p in pages]
                 texts = ["\n".join(text for (_, text, _), p in zip(page, own) if p >= 0.5) for page, own in zip(pages, chances)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
@@ -423,7 +459,8 @@ def _extract(shared, at: int):
 def extract(pages: DataFrame, network: Network | None) -> DataFrame:
     """``pages`` with a column ``text``: the blocks labelled as main text, joined by newlines.
 
-    A null, empty or textless html gives an empty text, and so does every page without a network. An existing
+    A null, empty or textless html gives an empty text. Without a network (no page to learn from) blocks are labelled
+    by the marks in their paths and by their links. Elements nest to any depth. An existing
     column ``text`` is replaced; other columns are kept; repeated rows get the same text. A page of more than
     BATCH_BLOCKS blocks is labelled by itself, part by part, with the whole of it in view.
     """
