@@ -9,6 +9,7 @@ from tidemark.catalog.answers import _PAIRS, _SQL_SUBMISSIONS
 from tidemark.catalog.registry import query, scratch, table
 from tidemark.catalog.retrieval import _SQL_COSINE, _items, sql_top
 from tidemark.operators import leaderboard as B
+from tidemark.operators import nearest as N
 from tidemark.operators import vector as V
 from tidemark.operators.evaluation import with_mean_time
 from tidemark.plans import config as C
@@ -230,7 +231,7 @@ def vector_store_reused(spark, sf):
     make = lambda rows: rows.join(e, "vec_id").select("vec_id", "embedding")
     V.load_or_embed(items, path, make)
     kept = V.load_or_embed(items, path, make)
-    found = V.top_k(V.similarities(kept.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), kept), 3)
+    found = N.nearest(kept.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), kept, 3)
     store = e.where("vec_id % 2 = 0").select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("text"))
     return V.lookup(found, store, "vec_id", "text").select("query_id", "vec_id", "score", "content")
 

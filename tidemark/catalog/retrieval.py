@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.registry import query, spread, table
+from tidemark.catalog.registry import query, scratch, spread, table
 from tidemark.operators import bm25 as B
+from tidemark.operators import nearest as N
 from tidemark.operators import vector as V
 
 SQL_TOKENS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1)"
@@ -78,55 +79,71 @@ _SQL_COSINE = "round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE
 _SQL_PAIRS = f"SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_SQL_COSINE} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0"
 
 
-def _pairs(spark, sf):
-    """Every id that 100 divides is searched for among all vectors, itself included."""
+def _asked(e):
+    """Every id that 100 divides is searched for."""
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _nearest(spark, sf, k: int, threshold: float | None = None, itself: bool = True):
+    """Among all vectors, the one searched for included or not."""
     e = table(spark, sf, "embeddings")
-    return V.similarities(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e)
+    return N.nearest(_asked(e), e, k, threshold, itself=itself)
 
 
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_PAIRS}) QUALIFY rank <= 3")
 def vector_topk(spark, sf):
-    return V.top_k(_pairs(spark, sf), 3)
+    return _nearest(spark, sf, 3)
 
 
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_PAIRS}) WHERE score >= 0.3 QUALIFY rank <= 10")
 def vector_threshold(spark, sf):
-    return V.top_k(_pairs(spark, sf), 10, 0.3)
+    return _nearest(spark, sf, 10, 0.3)
 
 
 @query(f"SELECT query_id, CASE WHEN score >= 0.6 THEN vec_id END AS vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM ({_SQL_PAIRS})) WHERE r = 1")
 def persona_best_match(spark, sf):
-    return V.best_match(_pairs(spark, sf))
+    return V.best_match(_nearest(spark, sf, 1))
 
 
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_PAIRS}) QUALIFY rank <= 5")
 def persona_topk(spark, sf):
-    return V.top_k(_pairs(spark, sf), 5)
+    return _nearest(spark, sf, 5)
 
 
 _SQL_ALL_PAIRS = f"SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_SQL_COSINE} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id"
 
 
-def _all_pairs(spark, sf):
-    """The same searches among all vectors but the one searched for."""
-    return _pairs(spark, sf).where("vec_id <> query_id")
-
-
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_ALL_PAIRS}) QUALIFY rank <= 3")
 def vector_topk_all(spark, sf):
-    return V.top_k(_all_pairs(spark, sf), 3)
+    return _nearest(spark, sf, 3, itself=False)
 
 
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_ALL_PAIRS}) WHERE score >= 0.3 QUALIFY rank <= 10")
 def vector_threshold_all(spark, sf):
-    return V.top_k(_all_pairs(spark, sf), 10, 0.3)
+    return _nearest(spark, sf, 10, 0.3, itself=False)
 
 
 @query(f"SELECT query_id, CASE WHEN score >= 0.6 THEN vec_id END AS vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM ({_SQL_ALL_PAIRS})) WHERE r = 1")
 def persona_best_match_all(spark, sf):
-    return V.best_match(_all_pairs(spark, sf))
+    return V.best_match(_nearest(spark, sf, 1, itself=False))
 
 
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_ALL_PAIRS}) QUALIFY rank <= 5")
 def persona_topk_all(spark, sf):
-    return V.top_k(_all_pairs(spark, sf), 5)
+    return _nearest(spark, sf, 5, itself=False)
+
+
+@query(f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({_SQL_PAIRS}) QUALIFY rank <= 5")
+def vector_index_topk(spark, sf):
+    """Through an index, with the second step that makes its rows those of all pairs."""
+    e, path = table(spark, sf, "embeddings"), scratch(spark, "vectors")
+    N.build(e, path)
+    return N.search(path, _asked(e), 5, probes=4, exact=True)
+
+
+@query()
+def vector_index_probed(spark, sf):
+    """Through an index's nearest lists alone; a test holds its recall against all pairs."""
+    e, path = table(spark, sf, "embeddings"), scratch(spark, "vectors")
+    N.build(e, path)
+    return N.search(path, _asked(e), 5)

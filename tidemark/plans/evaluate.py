@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import Segmenter, numbered_context
-from tidemark.operators import bm25, evaluation, vector
+from tidemark.operators import bm25, evaluation
+from tidemark.operators.nearest import nearest
 from tidemark.plans.config import RetrievalConfig, as_column
 from tidemark.plans.providers import FAILED, WAIT, Provider, call, embed, offline_answer, offline_embedding, offline_judge
 from tidemark.sources.writers import run_name, write_results
@@ -19,7 +20,7 @@ def retrieve_for(qa: DataFrame, corpus: DataFrame, kind: str = "bm25", k: int =
 
     ``corpus`` has (game_name, doc_id, text); ids are unique in their game. A question whose game has no
     documents gets an error and an empty list; questions without any hit an empty list. ``kind`` is bm25, or
-    vector, where blocks of questions are broadcast to the documents and meet those of their game.
+    vector, where questions meet the documents of their game block by block.
     """
     if kind == "bm25":
         asked = qa.select(F.col("question_index").alias("query_id"), F.col("question").alias("text"), "game_name")
@@ -28,7 +29,7 @@ def retrieve_for(qa: DataFrame, corpus: DataFrame, kind: str = "bm25", k: int =
         vectors = vectors or offline_embedding()
         q = embed(qa.select(F.col("question_index").alias("query_id"), "game_name", "question"), "question", "embedding", vectors)
         d = embed(corpus.select(F.col("doc_id").alias("vec_id"), "game_name", "text"), "text", "embedding", vectors)
-        found = vector.top_k(vector.similarities(q, d, "game_name"), k).select(F.col("query_id").alias("question_index"), "game_name", F.col("vec_id").alias("doc_id"), "score", "rank")
+        found = nearest(q, d, k, scope="game_name").select(F.col("query_id").alias("question_index"), "game_name", F.col("vec_id").alias("doc_id"), "score", "rank")
     else:
         raise ValueError(f"no retriever {kind}")
     texts = found.join(corpus.select("game_name", "doc_id", "text"), ["game_name", "doc_id"])

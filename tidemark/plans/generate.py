@@ -10,6 +10,7 @@ from tidemark.functions.text import numbered_context, role_context, template_con
 from tidemark.operators import allocation as L
 from tidemark.operators import bm25, vector
 from tidemark.operators.entities import dedup_in_order, discard_overlapping, extract_capitalized, mentions
+from tidemark.operators.nearest import nearest
 from tidemark.operators.qa import can_refine, is_valid, quality_gate, resume, stamp_inherited
 from tidemark.operators.temporal import latest_date
 from tidemark.plans.config import GenerationConfig
@@ -38,7 +39,7 @@ def matched_personas(templates: DataFrame, personas: DataFrame, vectors: Provide
     own = lambda c: F.col(c) if c in templates.columns else F.lit(None).cast("string")
     t = templates.select(F.col("id").alias("query_id"), vector.template_text(own("template"), own("question_topic"), own("description"), own("topic")).alias("text"))
     p = personas.select(F.col("persona_id").alias("vec_id"), vector.persona_text(F.col("player_description"), F.col("source_content"), F.col("source_topic")).alias("text"))
-    best = vector.best_match(vector.similarities(embed(t, "text", "embedding", vectors), embed(p, "text", "embedding", vectors)), least)
+    best = vector.best_match(nearest(embed(t, "text", "embedding", vectors), embed(p, "text", "embedding", vectors), 1), least)
     role = F.struct(F.col("persona_id"), F.col("player_description"), F.col("source_content"), F.col("source_topic"), F.col("score").alias("semantic_similarity"), F.lit("semantic").alias("matching_method"))
     found = best.where("vec_id is not null").join(personas, F.col("vec_id") == F.col("persona_id")).select(F.col("query_id").alias("id"), role.alias("role_data"))
     return templates.join(found, "id", "left")
@@ -54,7 +55,7 @@ def retrieve_docs(asked: DataFrame, docs: DataFrame, kind: str, k: int, threshol
         return bm25.retrieve(docs, asked, k).drop("scope")
     q = embed(asked.select("query_id", "text"), "text", "embedding", vectors)
     d = embed(docs.select(F.col("doc_id").alias("vec_id"), "text"), "text", "embedding", vectors)
-    return vector.top_k(vector.similarities(q, d), k, threshold).withColumnRenamed("vec_id", "doc_id")
+    return nearest(q, d, k, threshold).withColumnRenamed("vec_id", "doc_id")
 
 
 def generate(
