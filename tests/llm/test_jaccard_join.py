@@ -43,7 +43,7 @@ def test_components_are_those_of_all_pairs(spark, corpus):  # noqa: F811
 @pytest.mark.parametrize("cell,pivots,seed", [(64, 8, 1), (4, 3, 2), (2, 2, 3)])
 def test_components_of_hard_groups(spark, monkeypatch, cell, pivots, seed):
     rows = _hard(random.Random(seed))
-    for name, value in (("CELL", cell), ("PIVOTS", pivots), ("PART", 16), ("BROADCAST_IDS", 0 if seed == 3 else 500_000)):
+    for name, value in (("CELL", cell), ("PIVOTS", pivots), ("PART", 16), ("BROADCAST_IDS", 0 if seed == 3 else 500_000), ("GAIN", 8 if seed == 2 else 2), ("NARROW", 0 if seed == 2 else 3)):
         monkeypatch.setattr(jaccard_join, name, value)
     monkeypatch.setattr(jaccard_join, "_few_pairs", lambda mixed: mixed.isEmpty())
     got = jaccard_join.similarity_components(frame(spark, rows))

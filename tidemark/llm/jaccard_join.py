@@ -10,8 +10,10 @@ Distances to the pivot follow exactly. Members within the radius are links; othe
 if their distances to the pivot differ by no more than the radius (triangle inequality). Regions that are still large
 and of more than one component get pivots of their own: every member goes to its nearest pivot's cell (Voronoi) and also
 to each cell whose pivot is no more than twice the radius further away, in which its partners may be, and the cells are
-joined in the same way again. What is left is compared within its cell, under windows on sizes and distances and
-on the bits in which bitmaps of the sets differ; full sets confirm every link.
+joined in the same way again. A region as narrow as these windows, such as a group of near copies, can't be cut: there
+the members that aren't in its main component are held against some of that component's. What is left is compared
+within its cell, the main component's members never with each other, under windows on sizes and distances and on the
+bits in which bitmaps of the sets differ; full sets confirm every link.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
 COUNTED = np.uint64(1 << 62)
 #: Members of a region that stay without pivots of their own, pivots of a larger one, and how often a region is cut at most.
 CELL, PIVOTS, LEVELS = 64, 8, 4
+#: A region is narrow if half of its members are within so many radii of its pivot; a cut that makes more than so many rows of one is no gain.
+NARROW, GAIN = 3, 2
 #: Members of a region that are dealt out together.
 PART = 256
 BROADCAST_IDS = 500_000
@@ -152,47 +156,70 @@ def _links(found: DataFrame, numerator: int, denominator: int) -> DataFrame:
 
 
 def _mixed(regions: DataFrame, links: DataFrame) -> DataFrame:
-    """Members, with component and size, of the regions (region, cls, d, native) that hold more than one component."""
+    """Members of the regions (region, cls, d, native) that hold more than one component, with ``comp``, the region's ``main`` one and its ``size``."""
     comp = materialize(components(links), "components")
     now = regions.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     now = materialize(now, "members")
-    several = now.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("region", "size")
+    own = now.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    several = own.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).where("m.n < size").select("region", F.col("m.comp").alias("main"), "size")
     out = materialize(now.join(several, "region"), "mixed")
     discard(comp, now)
     return out
 
 
 def _few_pairs(mixed: DataFrame) -> bool:
-    """Whether the pairs of members in different components are not many more than the members."""
-    own = mixed.groupBy("region", "comp").agg(F.count("*").cast("double").alias("n"))
-    row = own.groupBy("region").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+    """Whether the pairs that are left to compare are not many more than the members."""
+    own = mixed.groupBy("region").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("comp") != F.col("main")).alias("others"))
+    row = own.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("others")).alias("pairs")).first()
     return row["pairs"] is None or row["pairs"] <= max(100_000, 4 * row["n"])
 
 
-def _cells(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """Distances of the members of large regions to some pivots of their own, which a hash chooses."""
+def _some(members: DataFrame, level: int) -> DataFrame:
+    """(region, pivot): some members of each region, which a hash chooses."""
     rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("cls", F.lit(level)), "cls"))
-    pivots = large.select("region", "cls").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("region", F.col("cls").alias("pivot"))
-    return materialize(_distances(large, pivots, sets), "distances")
+    return members.select("region", "cls").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("region", F.col("cls").alias("pivot"))
 
 
-def _voronoi(found: DataFrame, radius: float) -> DataFrame:
-    """Members (region, cls, d, native) of the pivots' cells: each in its nearest one, and in those that may hold partners."""
+def _voronoi(found: DataFrame, large: DataFrame, radius: float) -> DataFrame:
+    """Members (region, cls, d, native) of the pivots' cells: each in its nearest one, and in those that may hold partners.
+
+    A region that its pivots don't part stays as it is.
+    """
     near = found.withColumn("near", F.array_min("to"))
-    window = F.filter("to", lambda t: t["d"] <= F.col("near.d") + 2 * radius + EPSILON)
-    cells = near.select("region", "cls", "near", F.explode(window).alias("t"))
-    return cells.select(F.concat_ws("/", "region", F.col("t.pivot").cast("string")).alias("region"), "cls", F.col("t.d").alias("d"), (F.col("t.pivot") == F.col("near.pivot")).alias("native"))
+    cells = near.withColumn("in", F.filter("to", lambda t: t["d"] <= F.col("near.d") + 2 * radius + EPSILON))
+    gain = cells.groupBy("region").agg((F.sum(F.size("in")) <= GAIN * F.count("*")).alias("parted"))
+    gain = materialize(gain, "gain")
+    cut = cells.join(gain.where("parted").select("region"), "region").select("region", "cls", "near", F.explode("in").alias("t"))
+    cut = cut.select(F.concat_ws("/", "region", F.col("t.pivot").cast("string")).alias("region"), "cls", F.col("t.d").alias("d"), (F.col("t.pivot") == F.col("near.pivot")).alias("native"))
+    return cut.unionByName(large.join(gain.where("parted").select("region"), "region", "left_anti").select("region", "cls", "d", "native"))
+
+
+def _cut(mixed: DataFrame, sets: DataFrame, level: int, radius: float, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """(links, regions): large regions cut by pivots of their own or, where they are narrow, held against some of their main component."""
+    width = mixed.where(F.col("size") > CELL).groupBy("region").agg((F.avg((F.col("d") <= NARROW * radius).cast("int")) >= 0.5).alias("narrow"))
+    large = materialize(mixed.join(width, "region"), "large")
+    wide, narrow = large.where("not narrow"), large.where("narrow")
+    found = materialize(_distances(wide, _some(wide, level), sets), "distances")
+    probed = materialize(_distances(narrow.where("comp <> main"), _some(narrow.where("comp = main"), level), sets), "probed")
+    links = _links(found, numerator, denominator).union(_links(probed, numerator, denominator)).distinct()
+    rest = mixed.where(F.col("size") <= CELL).unionByName(narrow.drop("narrow")).select("region", "cls", "d", "native")
+    out = materialize(links, "links"), materialize(_voronoi(found, wide, radius).unionByName(rest), "regions")
+    discard(large, found, probed)
+    return out
 
 
 def _pairs(mixed: DataFrame, sets: DataFrame, radius: float, numerator: int, denominator: int) -> DataFrame:
-    """(a, b) of a region whose components differ and whose sizes, distances to the pivot and bitmaps allow a link."""
+    """(a, b) of a region whose components differ and whose sizes, distances to the pivot and bitmaps allow a link.
+
+    The members outside of a region's main component meet all of its members, dealt out in parts.
+    """
     rows = mixed.withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).join(sets.select("cls", "n", *_BITS), "cls")
     columns = ["region", "cls", "n", "comp", "d", "native", *_BITS]
-    x = rows.where("native").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    y = rows.where("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x, y = (df.select(F.col("part").alias(f"part_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in columns)) for df, side in ((x, "a"), (y, "b")))
     differ = " + ".join(f"bit_count({b}_a ^ {b}_b)" for b in _BITS)
-    met = x.join(y, F.expr(f"""region_a = region_b and part_a = part_b and comp_a <> comp_b and (cls_a < cls_b or not native_b)
+    met = x.join(y, F.expr(f"""region_a = region_b and part_a = part_b and comp_a <> comp_b and (native_a or native_b)
         and {denominator} * least(n_a, n_b) >= {numerator} * greatest(n_a, n_b) and abs(d_a - d_b) <= {radius + EPSILON}
         and ({denominator} + {numerator}) * ({differ}) <= ({denominator} - {numerator}) * (n_a + n_b)"""))
     return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
@@ -240,11 +267,10 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, numerator: int =
         mixed = _mixed(now, links)
         if level == LEVELS or _few_pairs(mixed):
             break
-        found = _cells(mixed.where(F.col("size") > CELL), sets, level)
-        more = materialize(links.union(_links(found, numerator, denominator)).distinct(), "links")
-        cut = materialize(_voronoi(found, radius).unionByName(mixed.where(F.col("size") <= CELL).select("region", "cls", "d", "native")), "regions")
-        discard(links, now, mixed, found)
-        links, now = more, cut
+        more, cut = _cut(mixed, sets, level, radius, numerator, denominator)
+        before, links = links, materialize(links.union(more).distinct(), "links")
+        discard(before, more, now, mixed)
+        now = cut
     pairs = materialize(_pairs(mixed, sets, radius, numerator, denominator), "pairs")
     links = materialize(links.union(_confirmed(pairs, sets, numerator, denominator)), "links")
     component = components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
