@@ -1,30 +1,282 @@
-"""An inverted index that is built once for a corpus and read again as long as the corpus is the same."""
+"""An inverted index of parts: built once, kept up to date by what has changed, and searched without scoring every pair.
+
+A part has the postings of some documents, bounds for their tokens, and what it knows of documents: their lengths and the
+hash of their text, or that they are gone. A document counts as the last part that names it has it. An update
+reads the corpus once, writes a part of new, changed and gone documents, and commits it; ``merge`` makes one part of all.
+
+A search scores the rarest tokens of a query first. The k-th best of these partial scores is a threshold: tokens whose
+bounds together stay below it can't lift a document of their own into the result, so the lists of such tokens, which are
+the long ones, are read only for documents that other tokens have brought near it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import Segmenter, tokens
 from tidemark.operators import bm25
-from tidemark.sources import writers as W
+from tidemark.sources.commits import CommitLog
+from tidemark.sources.scratch import kept
+
+#: Folders that a part's postings are dealt out to by token, and asked tokens up to which only theirs are read.
+BUCKETS, FEW_TOKENS = 64, 500
+#: Postings of a query's rarest tokens that give its first threshold.
+SEEDS = 1000
+#: Documents of a token from which its bounds are also kept by blocks of documents, and the number of these.
+HOT, BLOCKS = 4096, 64
+#: Rounding of scores, twice, which a threshold gives way to.
+SLACK = 2 * 10.0**-bm25.DIGITS
+#: Superseded documents up to which they are broadcast.
+BROADCAST_IDS = 500_000
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
+
+
+def _block():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int")
+
+
+def _mark(docs: DataFrame, scope: str | None) -> DataFrame:
+    """(scope, doc_id, mark, text): the hash that tells whether a text is the one that is indexed."""
+    name = F.col(scope).cast("string") if scope else F.lit("all")
+    return docs.select(name.alias("scope"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text").where("scope is not null and doc_id is not null")
+
+
+class Index:
+    """The index at ``root`` as its last commit has it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.log = spark, CommitLog(spark, root)
+        self.version, self.parts = self.log.state()
+
+    def _read(self, table: str) -> DataFrame:
+        """A table of all parts, with the part's place."""
+        out, reader = None, self.spark.read
+        if table == "postings":  # a part of none has no files
+            kind = self.spark.read.parquet(f"{self.log.root}/data/{self.parts[0]}/documents").schema["doc_id"].dataType.simpleString()
+            reader = reader.schema(f"scope string, doc_id {kind}, dl int, mark long, token string, tf long, bucket int")
+        for k, part in enumerate(self.parts):
+            df = reader.parquet(f"{self.log.root}/data/{part}/{table}").withColumn("part", F.lit(k))
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    def documents(self) -> DataFrame:
+        """(scope, doc_id, dl, mark, part) of the documents that count."""
+        rows = self._read("documents")
+        if len(self.parts) == 1:
+            return rows.where("dl is not null")
+        last = rows.groupBy("scope", "doc_id").agg(F.max_by(F.struct("dl", "mark", "part"), "part").alias("d"))
+        return last.select("scope", "doc_id", "d.*").where("dl is not null")
+
+    def _superseded(self) -> DataFrame:
+        """(scope, doc_id, part): what parts have of documents that don't count in them any more."""
+        rows = self._read("documents").where("dl is not null")
+        return rows.join(self.documents().select("scope", "doc_id", "part"), ["scope", "doc_id", "part"], "left_anti").select("scope", "doc_id", "part")
+
+    def postings(self, tokens: DataFrame | None = None) -> DataFrame:
+        """(scope, token, doc_id, dl, tf), of some tokens (scope, token) if given."""
+        rows = self._read("postings").where("bucket >= 0")
+        if tokens is not None:
+            few = [r["bucket"] for r in tokens.select(_bucket().alias("bucket")).distinct().limit(BUCKETS).collect()] if tokens.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS else None
+            rows = rows.where(F.col("bucket").isin(few)) if few is not None else rows
+        if len(self.parts) > 1:
+            old = self._superseded()
+            old = F.broadcast(old) if old.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else old
+            rows = rows.join(old, ["scope", "doc_id", "part"], "left_anti")
+        return rows.select("scope", "token", "doc_id", "dl", "tf")
+
+    def totals(self) -> DataFrame:
+        """(scope, n_docs, avgdl)."""
+        return self.spark.read.parquet(f"{self.log.root}/data/{self.parts[-1]}/totals")
+
+    def weights(self, asked: DataFrame) -> DataFrame:
+        """(scope, token, df, idf, avgdl, max_tf, min_dl) of the asked tokens (scope, token).
+
+        Frequencies are sums over the parts, less the postings of superseded documents; bounds of a part stay bounds.
+        """
+        own = self._read("tokens").join(asked, ["scope", "token"])
+        own = own.groupBy("scope", "token").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        if len(self.parts) > 1:
+            old = self._read("postings").join(asked, ["scope", "token"]).join(self._superseded(), ["scope", "doc_id", "part"], "left_semi")
+            old = old.groupBy("scope", "token").agg(F.count("*").alias("old"))
+            own = own.join(old, ["scope", "token"], "left").withColumn("df", F.col("df") - F.coalesce("old", F.lit(0))).drop("old").where("df > 0")
+        own = own.join(F.broadcast(self.totals()), "scope")
+        return own.select("scope", "token", "df", F.ln(F.col("n_docs") / F.col("df")).alias("idf"), "avgdl", "max_tf", "min_dl")
+
+    def blocks(self) -> DataFrame:
+        """(scope, token, block, max_tf, min_dl) of tokens with many documents in every part that has them."""
+        rows = self._read("blocks")
+        if len(self.parts) > 1:
+            rows = rows.join(self._read("tokens").where(F.col("df") < HOT).select("scope", "token").distinct(), ["scope", "token"], "left_anti")
+        return rows.groupBy("scope", "token", "block").agg(F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+
+
+def _hits(rows: DataFrame, segment: Segmenter | None) -> DataFrame:
+    """(scope, doc_id, dl, mark, token, tf) of (scope, doc_id, mark, text): one pass over the texts.
+
+    Each document also has an empty token, so that one without any token has a row.
+    """
+    cut = rows.select("scope", "doc_id", "mark", F.coalesce(tokens(F.col("text"), segment), F.array().cast("array<string>")).alias("tokens"))
+    cut = cut.select("scope", "doc_id", F.size("tokens").alias("dl"), "mark", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
+    return cut.groupBy("scope", "doc_id", "dl", "mark", "token").agg(F.count("*").alias("tf"))
 
 
-def load_or_build(docs: DataFrame, root: str, scope: str | None = None, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, statistics, weights) for ``docs`` (doc_id, text), kept at ``root``.
+def _part(log: CommitLog, hits: DataFrame, gone: DataFrame | None = None) -> str:
+    """Write a part of ``hits`` and of documents that are gone (scope, doc_id); the rest is derived from what is written.
 
-    What is there is used if its manifest has this corpus's fingerprint, unless ``force``. The fingerprint is
-    one pass over the rows and doesn't depend on their order.
+    Postings are dealt out by bucket and by document, so that a frequent token is many tasks, and sorted by token in each file.
     """
-    spark: SparkSession = docs.sparkSession
-    mark = W.corpus_fingerprint(docs, "doc_id", "text", *([scope] if scope else []))
-    if force or not W.index_is_current(spark, root, mark):
-        tokenized = bm25.tokenized(docs, scope=scope)
-        posted, stats = bm25.postings(tokenized), bm25.corpus_stats(tokenized)
-        W.write_index(posted, stats, bm25.idf(posted, stats), root, mark)
-    postings, stats, weights = (spark.read.parquet(f"{root}/{mark}/{name}") for name in ("postings", "stats", "weights"))
-    return postings.withColumn("scope", F.col("scope").cast("string")), stats, weights
-
-
-def search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 3, scope: str | None = None) -> DataFrame:
-    """(scope, query_id, doc_id, score, rank) from an index; postings of other scopes aren't read."""
-    return bm25.top_k(bm25.score_postings(*index, bm25.query_tokens(queries, scope=scope)), k)
+    folder, spark = uuid.uuid4().hex, hits.sparkSession
+    path = f"{log.root}/data/{folder}"
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    rows = hits.withColumn("bucket", F.when(F.col("token") != "", _bucket()).otherwise(-1))
+    rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.when(F.col("bucket") >= 0, salts).otherwise(BUCKETS * salts))).sortWithinPartitions("bucket", "scope", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    written = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    docs = written.where("bucket = -1").select("scope", "doc_id", "dl", "mark")
+    if gone is not None:
+        docs = docs.unionByName(gone.select("scope", "doc_id", F.lit(None).cast("int").alias("dl"), F.lit(None).cast("long").alias("mark")))
+    docs.write.parquet(f"{path}/documents")
+    real, bounds = written.where("bucket >= 0"), [F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")]
+    real.groupBy("scope", "token").agg(*bounds).write.parquet(f"{path}/tokens")
+    hot = spark.read.parquet(f"{path}/tokens").where(F.col("df") >= HOT).select("scope", "token")
+    real.join(hot, ["scope", "token"], "left_semi").groupBy("scope", "token", _block().alias("block")).agg(*bounds[1:]).write.parquet(f"{path}/blocks")
+    return folder
+
+
+def _commit(spark: SparkSession, log: CommitLog, version: int, folder: str, remove: list[str] | None) -> Index:
+    """Totals of the state that the part makes, and its record."""
+    after = Index(spark, log.root)
+    after.parts = [p for p in after.parts if p not in (remove or [])] + [folder]
+    totals = after.documents().groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    totals.write.parquet(f"{log.root}/data/{folder}/totals")
+    log.commit([folder], remove, after=version)
+    return Index(spark, log.root)
+
+
+def update(docs: DataFrame, root: str, scope: str | None = None, whole: bool = True, segment: Segmenter | None = None) -> Index:
+    """The index at ``root`` with ``docs`` (doc_id, text; ids unique within a scope) as they are now.
+
+    Only documents that are new or whose text has changed are cut into tokens. With ``whole`` ``docs`` is the
+    whole corpus, and indexed documents that it lacks go; else they stay. Rows with a null id or scope are left out. If
+    nothing has changed nothing is written.
+    """
+    spark = docs.sparkSession
+    index = Index(spark, root)
+    rows = _mark(docs, scope)
+    if not index.parts:
+        return _commit(spark, index.log, 0, _part(index.log, _hits(rows, segment)), None)
+    known = index.documents().select("scope", F.col("doc_id"), F.col("mark").alias("old"))
+    fresh = kept(rows.join(known, ["scope", "doc_id"], "left").where("old is null or old <> mark").select("scope", "doc_id", "mark", "text"), "fresh")
+    gone = kept(known.join(rows.select("scope", "doc_id"), ["scope", "doc_id"], "left_anti").select("scope", "doc_id"), "gone") if whole else None
+    if fresh.isEmpty() and (gone is None or gone.isEmpty()):
+        return index
+    return _commit(spark, index.log, index.version, _part(index.log, _hits(fresh, segment), gone), None)
+
+
+def delete(root: str, ids: DataFrame) -> Index:
+    """The index without the documents ``ids`` (scope, doc_id); ids that aren't there change nothing."""
+    spark = ids.sparkSession
+    index = Index(spark, root)
+    gone = kept(index.documents().join(ids.distinct(), ["scope", "doc_id"], "left_semi").select("scope", "doc_id"), "gone") if index.parts else None
+    if gone is None or gone.isEmpty():
+        return index
+    none = spark.createDataFrame([], f"scope string, doc_id {gone.schema['doc_id'].dataType.simpleString()}, mark long, text string")
+    return _commit(spark, index.log, index.version, _part(index.log, _hits(none, None), gone), None)
+
+
+def merge(spark: SparkSession, root: str) -> Index:
+    """One part of all: no text is read. Searches that began before keep their parts until ``CommitLog.vacuum``."""
+    index = Index(spark, root)
+    if len(index.parts) < 2:
+        return index
+    live = index.documents().select("scope", "doc_id", "dl", "mark")
+    hits = index.postings().join(live.select("scope", "doc_id", "mark"), ["scope", "doc_id"]).select("scope", "doc_id", "dl", "mark", "token", "tf")
+    hits = hits.unionByName(live.select("*", F.lit("").alias("token"), F.lit(1).cast("long").alias("tf")))
+    return _commit(spark, index.log, index.version, _part(index.log, hits), index.parts)
+
+
+def load_or_build(docs: DataFrame, root: str, scope: str | None = None, force: bool = False) -> Index:
+    """The index of ``docs`` (doc_id, text) at ``root``: what is there, brought up to date; with ``force``, built anew."""
+    index = Index(docs.sparkSession, root)
+    if force and index.parts:
+        return _commit(docs.sparkSession, index.log, index.version, _part(index.log, _hits(_mark(docs, scope), None)), index.parts)
+    return update(docs, root, scope)
+
+
+def _bound(max_tf, min_dl, k1: float, b: float):
+    """What a token adds at most to a score, for a query that has it once."""
+    return F.col("idf") * max_tf * (k1 + 1) / (max_tf + k1 * (1 - b + b * min_dl / F.col("avgdl")))
+
+
+def _kth(scored: DataFrame, k: int, name: str) -> DataFrame:
+    """(scope, query_id, name): the ``k``-th best score of each query that has so many."""
+    rank = F.row_number().over(Window.partitionBy("scope", "query_id").orderBy(F.desc("partial")))
+    first = scored.select("scope", "query_id", "partial").withColumn("r", rank).where(F.col("r") <= k)
+    return first.where(F.col("r") == k).select("scope", "query_id", F.col("partial").alias(name))
+
+
+class Search:
+    """One search of an index and its steps; ``top`` is the result."""
+
+    def __init__(self, index: Index, asked: DataFrame, k: int, k1: float = bm25.K1, b: float = bm25.B):
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        by = ["scope", "query_id"]
+        vocabulary = kept(asked.select("scope", "token").distinct(), "vocabulary")
+        small = vocabulary.limit(bm25.MAX_BROADCAST_TOKENS + 1).count() <= bm25.MAX_BROADCAST_TOKENS
+        near = F.broadcast if small else (lambda df: df)
+        weighted = asked.join(near(kept(index.weights(near(vocabulary)), "weights")), ["scope", "token"])
+        weighted = weighted.withColumn("most", F.col("qtf") * _bound(F.col("max_tf"), F.col("min_dl"), k1, b)).drop("max_tf", "min_dl")
+        rare_first = Window.partitionBy(*by).orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+        weighted = kept(weighted.withColumn("seed", F.coalesce(F.sum("df").over(rare_first), F.lit(0)) < SEEDS), "weighted")
+        posted = index.postings(vocabulary)
+
+        def sums(tokens: DataFrame) -> DataFrame:
+            found = posted.join(near(tokens.select(*by, "token", "qtf", "idf", "avgdl")), ["scope", "token"])
+            return found.groupBy(*by, "doc_id").agg(F.sum(F.col("qtf") * part).alias("partial"))
+
+        # a first threshold from the rarest tokens; then the tokens whose bounds, least first, together stay under it are left for later
+        seeds = kept(_kth(sums(weighted.where("seed")), k, "threshold"), "seeds")
+        least_first = Window.partitionBy(*by).orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+        split = weighted.join(seeds, by, "left").withColumn("upto", F.sum("most").over(least_first))
+        split = kept(split.withColumn("later", F.coalesce(F.col("upto") < F.col("threshold") - SLACK, F.lit(False))), "split")
+        self.now, self.later = split.where("not later"), split.where("later")
+        self.partial = kept(sums(self.now), "partial")
+        best = _kth(self.partial, k, "better").join(seeds, by, "full").select(*by, F.greatest("better", "threshold").alias("threshold"))
+        rest = self.later.groupBy(*by).agg(F.sum("most").alias("rest"))
+        near_it = self.partial.join(best, by, "left").join(rest, by, "left")
+        near_it = near_it.where("rest is null or threshold is null or partial + rest >= threshold - " + repr(SLACK))
+        self.candidates = kept(self._within_blocks(index, near_it.select(*by, "doc_id", "partial", "threshold"), k1, b), "candidates")
+        added = self.candidates.join(self.later.select(*by, "token", "qtf", "idf", "avgdl"), by).join(posted, ["scope", "token", "doc_id"])
+        added = added.groupBy(*by, "doc_id").agg(F.sum(F.col("qtf") * part).alias("added"))
+        scored = self.candidates.join(added, [*by, "doc_id"], "left")
+        scored = scored.select(*by, "doc_id", F.round(F.col("partial") + F.coalesce("added", F.lit(0.0)), bm25.DIGITS).alias("score"))
+        self.top = bm25.top_k(scored, k)
+
+    def _within_blocks(self, index: Index, candidates: DataFrame, k1: float, b: float) -> DataFrame:
+        """The candidates that can still reach the threshold by the maxima of their own block of documents."""
+        by = ["scope", "query_id"]
+        own = self.later.select(*by, "token", "qtf", "idf", "avgdl", "most").join(index.blocks(), ["scope", "token"], "left")
+        every = F.when(F.col("block").isNotNull(), F.array("block")).otherwise(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+        own = own.select(*by, F.explode(every).alias("block"), F.when(F.col("block").isNull(), F.col("most")).otherwise(F.col("qtf") * _bound(F.col("max_tf"), F.col("min_dl"), k1, b)).alias("most"))
+        own = own.groupBy(*by, "block").agg(F.sum("most").alias("in_block"))
+        met = candidates.withColumn("block", _block()).join(own, [*by, "block"], "left")
+        reach = F.col("threshold").isNull() | (F.col("partial") + F.coalesce("in_block", F.lit(0.0)) >= F.col("threshold") - SLACK)
+        return met.where(reach).drop("block", "in_block", "threshold")
+
+    def pairs(self) -> DataFrame:
+        """One row (all_pairs, scored_pairs, candidates): rows of the aggregate over all tokens, over those that were needed, and what came after."""
+        n = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("n")).first()["n"]
+        needed = n(self.now, F.col("df"))
+        return self.candidates.sparkSession.createDataFrame([(needed + n(self.later, F.col("df")), needed, self.candidates.count())], "all_pairs long, scored_pairs long, candidates long")
+
+
+def search(index: Index, queries: DataFrame, k: int = 3, scope: str | None = None, segment: Segmenter | None = None) -> DataFrame:
+    """(scope, query_id, doc_id, score, rank) from an index, the rows that scoring every document would give."""
+    if not index.parts:
+        raise ValueError(f"no index at {index.log.root}")
+    return Search(index, kept(bm25.query_tokens(queries, scope=scope, segment=segment), "asked"), k).top
