@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import bm25
@@ -163,3 +165,33 @@ def test_config(spark):
     assert c.model_key == "bm25_k5" and spark.range(1).select(C.as_column(c).alias("c")).first()["c"]["k"] == 5
     segments = spark.createDataFrame([(1, "a", "b")], "segment_id int, start_date string, end_date string")
     assert C.segment_info(spark, segments, 1)["start_date"] == "a" and C.segment_info(spark, segments, 2)["end_date"] == "unknown"
+
+
+@pytest.mark.parametrize("size", ["7b", "64b", "128m"])
+def test_lines_are_numbered_over_splits(spark, tmp_path, size):
+    """Equal lines, blank and broken ones, lines longer than a split, several files and segments."""
+    want = {}
+    for key in ("1", "2", "timeless"):
+        folder = tmp_path / "c" / f"segment_key={key}"
+        folder.mkdir(parents=True)
+        line = 0
+        for name in ("a.jsonl", "b.jsonl"):
+            rows = ['{"contents": "same"}'] * 5 + ["", "broken {", json.dumps({"id": "own" + key + name, "text": "x" * 300})] + ['{"contents": "same"}'] * (3 if name == "a.jsonl" else 0)
+            (folder / name).write_text("\n".join(rows) + "\n")
+            for r in rows:
+                line += 1
+                if "same" in r:
+                    want[f"{'timeless' if key == 'timeless' else 'segment_' + key}_doc_{line}"] = "same"
+                elif "own" in r:
+                    want["own" + key + name] = "x" * 300
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found = R.read_corpus(spark, str(tmp_path / "c"))
+        got = [(r["id"], r["text"]) for r in found.collect()]
+        assert len(got) == len(want) and dict(got) == want
+        assert {r["id"] for r in R.read_corpus(spark, str(tmp_path / "c"), 2, timeless=False).collect()} == {i for i in want if "segment_2" in i or "own2" in i}
+        if size == "7b":
+            assert spark.read.text(str(tmp_path / "c")).rdd.getNumPartitions() > 6
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -45,22 +45,14 @@ def discard_overlapping(qa: DataFrame, current: DataFrame, key: str = "qa_id") -
     return qa.join(hit, key, "left_anti")
 
 
-def _starts(text: Column) -> Column:
-    """Distinct runs of one, two and three characters of the lower-cased text."""
-
-    def runs(c: Column) -> Column:
-        at = lambda i: F.array(F.get(c, i), F.concat(F.get(c, i), F.get(c, i + 1)), F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-        return F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 1), at)), lambda x: x.isNotNull()))
-
-    return F.element_at(F.transform(F.array(F.split(F.lower(text), "")), runs), 1)
-
-
 def mentions(qa: DataFrame, entities: DataFrame, text: Column, key: str = "qa_id") -> DataFrame:
     """(key, entity) for every entity that the text holds, whatever the case and without word bounds.
 
-    Texts and entities meet by the entity's first three characters (all of a shorter one), which every text
-    that holds it has; the whole entity is then looked for in these texts alone.
+    Entities that differ in case only are each found. Null texts and empty entities are in no pair; see ``containment``
+    for how texts and entities meet.
     """
-    listed = entities.select("entity").where("entity <> ''").distinct().withColumn("_start", F.substring(F.lower("entity"), 1, 3))
-    met = qa.select(key, F.lower(text).alias("_text"), F.explode(_starts(text)).alias("_start")).join(listed, "_start")
-    return met.where(F.col("_text").contains(F.lower("entity"))).select(key, "entity").distinct()
+    from tidemark.operators.containment import contained
+
+    listed = entities.select("entity").where("entity <> ''").distinct().withColumn("item", F.lower("entity"))
+    found = contained(qa.select(F.col(key).alias("id"), F.lower(text).alias("text")), listed)
+    return found.join(listed, "item").select(F.col("id").alias(key), "entity").distinct()

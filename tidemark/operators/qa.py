@@ -31,35 +31,17 @@ def is_valid(question: Column, answer: Column) -> Column:
     return F.coalesce((F.length(F.trim(question)) >= 5) & (F.length(F.trim(answer)) >= 10), F.lit(False))
 
 
-#: Words of an item that are looked up in texts before the item is.
-KEY_WORDS = 4
-#: Items without that many whole words, up to which every text is searched for them.
-MAX_SHORT_ITEMS = 1000
-
-
-def _runs(text: Column) -> Column:
-    """Hashes of all runs of KEY_WORDS words."""
-    split = F.array(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    each = lambda w: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - (KEY_WORDS - 1), F.lit(1))), lambda i: i <= F.size(w) - (KEY_WORDS - 1)), lambda i: F.xxhash64(F.slice(w, i, KEY_WORDS)))
-    return F.element_at(F.transform(split, each), 1)
-
-
 def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, doc_id, ...): the documents (doc_id, text) that contain an item's text (query_id, item) as it is written.
 
-    The words of an item but its first and last are whole words of every text that contains it: texts and items
-    meet by the hash of the first KEY_WORDS of them, and the few pairs are checked letter by letter. Items with
-    fewer words are looked for in every text, MAX_SHORT_ITEMS of them at most.
+    Items and texts of any length and number; see ``containment``. Rows on either side that repeat others are rows of
+    their own. Null and empty texts and items are in no pair.
     """
-    # the slice that leaves the first and the last word off
-    inner = F.transform(F.array(F.filter(F.split("item", r"\s+"), lambda w: w != "")), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
-    keyed = items.withColumn("_inner", F.element_at(inner, 1)).withColumn("_key", F.when(F.size("_inner") >= KEY_WORDS, F.xxhash64(F.slice("_inner", 1, KEY_WORDS)))).drop("_inner")
-    short = keyed.where("_key is null and item is not null").drop("_key")
-    met = docs.withColumn("_key", F.explode(F.array_distinct(_runs(F.col("text"))))).join(keyed.where("_key is not null"), "_key").where(F.col("text").contains(F.col("item"))).drop("_key")
-    n = short.limit(MAX_SHORT_ITEMS + 1).count()
-    if n > MAX_SHORT_ITEMS:
-        raise ValueError(f"more than {MAX_SHORT_ITEMS} items have fewer than {KEY_WORDS + 2} words")
-    return met.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("item")))) if n else met
+    from tidemark.operators.containment import contained
+
+    found = contained(docs.select(F.col("doc_id").alias("id"), "text"), items)
+    own = found.join(items.where("item is not null"), "item").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), *items.columns)
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))).drop("_id", "_mark")
 
 
 def doc_ids(docs: Column, fallback: bool = True) -> Column:

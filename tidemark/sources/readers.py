@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources import schemas as S
+from tidemark.sources.scratch import kept
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -59,22 +60,48 @@ def read_source_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file_path"), F.regexp_replace(name, r"\.(txt|md)", "").alias("title"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("file_type"), F.col("_metadata.file_size").alias("file_size"), F.col("value").alias("text"))
 
 
+#: Splits of files up to which what is known of each is broadcast.
+BROADCAST_SPLITS = 100_000
+
+
+def numbered(lines: DataFrame, by: list[str], name: str = "line", needed: Column | None = None) -> DataFrame:
+    """``lines`` (a scan of text files) with the number of each line among those of its ``by`` columns, from 1: files by path, lines as they stand.
+
+    Files may be split anywhere. Lines are counted by split, the counts before a split are summed up over splits, and
+    a line's place in its own split is added: no file is read by a single task, and no line is shuffled. Lines that
+    aren't ``needed`` may get a null: where no line is, the counts are all that is read.
+    """
+    rows = lines.withColumns({"_file": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()})
+    counts = rows.groupBy(*by, "_file", "_split").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"), F.count_if(F.lit(True) if needed is None else needed).alias("_needed"))
+    counts = kept(counts, "splits")
+    known = counts.agg(F.count("*").alias("splits"), F.sum("_needed").alias("needed")).first()
+    if not known["needed"]:
+        return rows.withColumn(name, F.lit(None).cast("long")).drop("_file", "_split", "_place")
+    before = Window.partitionBy(*by).orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_file", "_split", "_first", "_before")
+    counts = F.broadcast(counts) if known["splits"] <= BROADCAST_SPLITS else counts
+    out = rows.join(counts, ["_file", "_split"]).withColumn(name, F.col("_place") - F.col("_first") + F.col("_before") + 1)
+    return out.drop("_file", "_split", "_place", "_first", "_before")
+
+
 def read_corpus(spark: SparkSession, root: str, segment: int | None = None, timeless: bool = True, game: str | None = None) -> DataFrame:
     """Chunks of a corpus written by segment: one segment or all, with or without the timeless ones.
 
     The segment, and the game of a corpus of several, are partition columns, so only the folders asked for are
-    read. A row without an id gets one of its file and a hash of its line, which stays the same however the
-    files are dealt out; the text is ``contents``, else ``text``.
+    read. A row without an id gets ``segment_{n}_doc_{line}`` (or ``timeless_doc_{line}``), its line being counted over
+    the files of its segment (and game), blank and broken ones included; the text is ``contents``, else ``text``.
     """
     rows = spark.read.text(root).withColumn("segment_key", F.col("segment_key").cast("string"))
+    by = ["segment_key"] + (["game_name"] if "game_name" in rows.columns else [])
     if game is not None:
         rows = rows.where(F.col("game_name").cast("string") == game)
     if segment is not None:
         rows = rows.where(F.col("segment_key").isin(str(segment), "timeless") if timeless else F.col("segment_key") == str(segment))
     elif not timeless:
         rows = rows.where("segment_key <> 'timeless'")
-    source = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    rows = _parsed(rows.withColumn("_own", F.concat_ws("_", source, F.lit("doc"), F.hex(F.xxhash64("value")))), S.CHUNK)
+    rows = numbered(rows, by, "_line", F.get_json_object("value", "$.id").isNull() & (F.trim("value") != ""))
+    source = F.when(F.col("segment_key") == "timeless", F.col("segment_key")).otherwise(F.concat(F.lit("segment_"), "segment_key"))
+    rows = _parsed(rows.withColumn("_own", F.concat_ws("_", source, F.lit("doc"), "_line")).drop("_line"), S.CHUNK)
     return rows.withColumn("id", F.coalesce("id", "_own")).withColumn("text", F.coalesce("contents", "text", F.lit(""))).drop("contents", "_own")
 
 
