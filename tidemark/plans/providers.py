@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -21,41 +23,75 @@ Provider = Callable[[list[str]], list]
 WAIT = 1.0
 #: The answer of a model that couldn't be asked.
 FAILED = "The model could not be asked."
-#: Dimensions of embeddings; a text whose embedding fails gets the zero vector.
+#: Dimensions of embeddings of a provider that doesn't say; a text whose embedding fails gets the zero vector.
 DIMS = 64
 
 
-def call(df: DataFrame, prompt: str, out: str, kind: str, provider: Provider, fallback=None, batch: int = 100, tries: int = 3, wait: float = WAIT) -> DataFrame:
-    """``df`` with ``out``: the provider's answers to ``prompt``.
+def asked(provider: Provider, prompts: list[str], tries: int = 3, wait: float = WAIT) -> list[tuple[object, str | None]]:
+    """(reply, error) for each prompt; one of the two is null.
 
-    A batch that fails is tried again after ``wait`` seconds, then twice as many and so on, then prompt by
-    prompt; a prompt that fails gets ``fallback``. Calls run at once as many as there are tasks; ``coalesce``
-    before to hold a rate.
+    A batch that fails, or comes back with another number of replies, is tried again after ``wait`` seconds, then twice
+    as many and so on, and then by halves, so that a bad prompt costs the others of its batch little.
+    """
+    error = "no reply"
+    for k in range(tries):
+        try:
+            out = list(provider(prompts))
+            if len(out) != len(prompts):
+                raise ValueError(f"{len(out)} replies to {len(prompts)} prompts")
+            return [(r, None) for r in out]
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            if k + 1 < tries:
+                time.sleep(wait * (k + 1))
+    if len(prompts) <= 1:
+        return [(None, error)] * len(prompts)
+    half = len(prompts) // 2
+    return [r for part in (prompts[:half], prompts[half:]) for r in asked(provider, part, tries if len(part) == 1 else 1, wait)]
+
+
+def in_order(work: Callable, items: Iterator, in_flight: int) -> Iterator:
+    """``work`` of each item, in their order, with as many under way at a time as ``in_flight``; no more are taken from ``items`` ahead."""
+    if in_flight <= 1:
+        yield from map(work, items)
+        return
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque = deque()
+        for item in items:
+            waiting.append(pool.submit(work, item))
+            if len(waiting) >= in_flight:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def call(df: DataFrame, prompt: str, out: str, kind: str, provider: Provider, fallback=None, batch: int = 100, tries: int = 3, wait: float = WAIT, in_flight: int = 1) -> DataFrame:
+    """``df`` with ``out``: the provider's answers to ``prompt``, a null prompt being an empty one.
+
+    A prompt that fails gets ``fallback``; see ``asked`` for how batches are tried. Each task has ``in_flight`` batches
+    under way at once (a provider must allow for that), so that as many calls run as there are tasks times that number;
+    ``coalesce`` before to hold a rate. ``ledger.replies`` keeps what has been answered.
     """
     schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {kind}").fields])
 
-    def ask(prompts: list[str]) -> list:
-        for k in range(tries):
-            try:
-                return provider(prompts)
-            except Exception:
-                if k + 1 < tries:
-                    time.sleep(wait * (k + 1))
-        return [fallback] if len(prompts) == 1 else [ask([p])[0] for p in prompts]
+    def answered(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.copy()
+        own[out] = [fallback if error else r for r, error in asked(provider, own[prompt].fillna("").tolist(), tries, wait)]
+        return own
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lo in range(0, len(frame), batch):
-                own = frame.iloc[lo : lo + batch].copy()
-                own[out] = ask(own[prompt].fillna("").tolist())
-                yield own
+        parts = (frame.iloc[lo : lo + batch] for frame in frames for lo in range(0, len(frame), batch))
+        yield from in_order(answered, parts, in_flight)
 
     return df.mapInPandas(run, schema)
 
 
-def embed(df: DataFrame, text: str, out: str, provider: Provider, dims: int = DIMS, wait: float = WAIT) -> DataFrame:
-    """``df`` with the text's vector; the zero vector, which is near nothing, where the provider fails."""
-    return call(df, text, out, "array<double>", provider, fallback=[0.0] * dims, wait=wait)
+def embed(df: DataFrame, text: str, out: str, provider: Provider, dims: int | None = None, wait: float = WAIT) -> DataFrame:
+    """``df`` with the text's vector; the zero vector, which is near nothing, where the provider fails.
+
+    It is of the provider's own length, which its attribute ``dims`` tells, unless ``dims`` is given.
+    """
+    return call(df, text, out, "array<double>", provider, fallback=[0.0] * (dims or getattr(provider, "dims", DIMS)), wait=wait)
 
 
 def offline_embedding(dims: int = DIMS) -> Provider:
@@ -71,6 +107,7 @@ def offline_embedding(dims: int = DIMS) -> Provider:
             out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
         return out
 
+    vectors.dims = dims
     return vectors
 
 
