@@ -19,9 +19,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def json_body(text: Column) -> Column:
-    """The JSON in an answer: in ``<json>`` tags, in a json fence, in any fence if it has braces, between the outermost braces, or ''."""
-    tagged = _found(text, r"(?s)<json>\s*(.*?)\s*</json>")
-    fenced = _found(text, r"(?s)```json\s*(.*?)\s*```")
+    """The JSON in an answer: in ``<json>`` tags, in a json fence, in any fence if it has braces, between the outermost braces, or ''.
+
+    Tags and json fences decide even if there is nothing in them.
+    """
+    within = lambda pattern: F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+    tagged = within(r"(?s)<json>\s*(.*?)\s*</json>")
+    fenced = within(r"(?s)```json\s*(.*?)\s*```")
     plain = _found(text, r"(?s)```[a-zA-Z]*\s*(\{.*?\})\s*```")
     braces = _found(text, r"(?s)(\{.*\})")
     return F.coalesce(tagged, fenced, plain, braces, F.lit(""))

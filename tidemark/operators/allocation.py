@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import kept
+
 #: Weights of the three kinds of tasks.
 TASK_WEIGHTS = (("factual", 0.7), ("summarization", 0.1), ("multi_hop", 0.2))
 
@@ -64,15 +66,35 @@ def seeded_order(key: Column, seed: str = "42") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def stratified_sample(rows: DataFrame, quota: DataFrame, key: str, seed: str = "42") -> DataFrame:
-    """At most ``allocated`` rows of each topic, without replacement; what a topic lacks isn't made up elsewhere.
+#: Hex digits of a row's hash that a topic's rows are counted by, and topics up to which their cuts are broadcast.
+CUT_DIGITS, BROADCAST_TOPICS = 3, 100_000
+
+
+def first_of_each(rows: DataFrame, quota: DataFrame, by: str, order: Column, key: str) -> DataFrame:
+    """The first ``allocated`` rows of each ``by`` of ``quota`` (by, allocated) in the order of a hex hash, then of ``key``.
 
-    The quota is joined first, and the rank filter lets each map task keep a topic's first rows only.
+    Rows are counted by the first digits of their hashes, which sums up from any number of tasks to a row for each topic and
+    beginning. The sums tell up to which beginning all rows are in, and how many of the next one: these alone, a
+    4096th of a topic, are ranked. A topic with fewer rows than allocated has all of them in.
     """
-    most = quota.agg(F.max("allocated")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("topic").orderBy(seeded_order(F.col(key), seed), key))
-    top = rows.withColumn("_rank", rank).where(F.col("_rank") <= int(most))
-    return top.join(F.broadcast(quota.select("topic", "allocated")), "topic").where("_rank <= allocated").drop("_rank", "allocated")
+    quota = quota.select(by, F.col("allocated").cast("long").alias("_allocated")).where("_allocated > 0")
+    hashed = rows.withColumn("_hash", order).withColumn("_part", F.substring("_hash", 1, CUT_DIGITS))
+    counts = hashed.groupBy(by, "_part").agg(F.count("*").alias("_n")).join(quota, by)
+    upto = F.sum("_n").over(Window.partitionBy(by).orderBy("_part"))
+    counts = counts.withColumn("_upto", upto)
+    # the beginning that the quota ends in, and what it still takes of it; none where the topic has no more than its quota
+    cuts = counts.where("_upto > _allocated and _upto - _n <= _allocated").groupBy(by).agg(F.min_by(F.struct(F.col("_part").alias("cut"), (F.col("_allocated") - F.col("_upto") + F.col("_n")).alias("need")), "_part").alias("c"))
+    cuts = kept(quota.join(cuts, by, "left").select(by, F.col("c.cut").alias("_cut"), F.coalesce("c.need", F.lit(0)).alias("_need")), "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_TOPICS else cuts
+    met = hashed.join(cuts, by)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_hash", key))
+    last = met.where("_part = _cut").withColumn("_rank", rank).where("_rank <= _need").drop("_rank")
+    return met.where("_cut is null or _part < _cut").unionByName(last).select(*rows.columns)
+
+
+def stratified_sample(rows: DataFrame, quota: DataFrame, key: str, seed: str = "42") -> DataFrame:
+    """At most ``allocated`` rows of each topic, without replacement; what a topic lacks isn't made up elsewhere."""
+    return first_of_each(rows, quota, "topic", seeded_order(F.col(key), seed), key)
 
 
 def uniform(key: Column, seed: str = "42") -> Column:
@@ -113,4 +135,5 @@ def remaining_target(planned: Column, n: int, inherited: Column) -> Column:
 
 def test_sample(sampled: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
     """At most ``size`` of the rows, in the order of a seeded hash of the key: the test mode's cap."""
-    return sampled.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(size)
+    all_of = sampled.sparkSession.createDataFrame([(0, size)], "_all int, allocated long")
+    return first_of_each(sampled.withColumn("_all", F.lit(0)), all_of, "_all", seeded_order(F.col(key), str(seed)), key).drop("_all")
