@@ -4,7 +4,7 @@
 should find are the documents that contain its text.
 """
 
-from tidemark.catalog import answers, files, metrics, planning, provided, records, retrieval, text, time  # noqa: F401
+from tidemark.catalog import answers, files, grown, metrics, planning, provided, records, retrieval, text, time  # noqa: F401
 from tidemark.catalog.metrics import metrics_overall as flagship
 from tidemark.catalog.registry import ORACLES, QUERIES
 

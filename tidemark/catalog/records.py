@@ -14,6 +14,7 @@ from tidemark.operators import entities as E
 from tidemark.operators import evaluation as V
 from tidemark.operators import qa as Q
 from tidemark.operators import vector as D
+from tidemark.operators.order import placed
 
 
 def _docs(spark, sf):
@@ -147,8 +148,7 @@ def test_mode_sample(spark, sf):
 def input_order(spark, sf):
     """Rows that went through in any order, put back by their index."""
     rows = table(spark, sf, "benchmark").select("item_id").repartition(7).sortWithinPartitions(F.desc("item_id"))
-    back = rows.orderBy("item_id").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))  # benchmark items, a small table by nature
-    return back.select(F.posexplode("ids").alias("position", "item_id"))
+    return placed(rows, F.col("item_id"), "position", 0)
 
 
 @query("SELECT doc_id, lang AS part FROM documents UNION ALL SELECT doc_id, 'label' FROM labels")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
+from tidemark.operators.order import placed
 
 METRICS = ("topk", "recall", "f1", "ndcg", "correctness", "faithfulness")
 
@@ -54,22 +55,8 @@ def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_r", first).where("_r = 1").drop("_r", "_age")
 
 
-#: Rows whose places cut a board into the parts that are ranked apart.
-CUTS = 200
-
-
 def ranked(board: DataFrame) -> DataFrame:
-    """With ``rank`` by total, the first entered first among equals.
-
-    CUTS rows, chosen by a hash, cut the order into parts; a part is ranked by itself, behind the counts of those before it.
-    """
+    """With ``rank`` by total, the first entered first among equals."""
     total = F.col("total_score").cast("double")
     key = F.struct(total.isNull().alias("no"), (~F.isnan(total)).alias("number"), (-total).alias("total"), F.col("seq").alias("seq"), F.col("system_name").alias("name"))
-    keyed = board.withColumn("_key", key)
-    cuts = keyed.select("_key", F.xxhash64("system_name", "seq").alias("_h")).orderBy("_h").limit(CUTS).agg(F.collect_list("_key").alias("_cuts"))  # CUTS keys at most
-    keyed = keyed.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("_key")))).drop("_cuts")
-    counts = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
-    out = keyed.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
-    return out.withColumn("rank", (place + F.col("_before")).cast("int")).select(*board.columns, "rank")
+    return placed(board, key, "rank")
