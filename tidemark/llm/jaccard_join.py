@@ -34,7 +34,7 @@ WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
 #: Elements below this hash come first, those that few sets have before others: only their sets are counted. Others follow by hash.
 COUNTED = np.uint64(1 << 62)
 #: Members of a region that stay without pivots of their own, pivots of a larger one, and how often a region is cut at most.
-CELL, PIVOTS, LEVELS = 64, 8, 4
+CELL, PIVOTS, LEVELS = 64, 24, 3
 #: A region is narrow if half of its members are within so many radii of its pivot; a cut that makes more than so many rows of one is no gain.
 NARROW, GAIN = 3, 2
 #: Members of a region that are dealt out together.
@@ -122,12 +122,12 @@ def _members(signed: DataFrame, classes: DataFrame) -> DataFrame:
         one = one.join(F.broadcast(copies), "cls", "left_anti")
     else:
         one = one.join(classes.select("cls"), "cls", "left_semi")
-    keys = one.select("cls", "counted", "first", F.explode("keys").alias("key"))
+    keys = one.select("cls", (F.col("first") - F.col("counted")).cast("int").alias("more"), F.explode("keys").alias("key"))
     shared = keys.select("key").groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     low = f"key >= 0 and key < {int(COUNTED)}"
     rows = keys.join(shared, "key").withColumn("df", F.when(F.expr(low), F.col("df")).otherwise(F.lit(2**62)))
-    own = rows.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"), F.count_if(F.expr(low)).alias("again"), F.first("counted").alias("counted"), F.first("first").alias("first"))
-    left = F.greatest(F.lit(0), F.col("first") - (F.col("counted") - F.col("again"))).cast("int")
+    own = rows.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"), F.count_if(F.expr(low)).alias("again"), F.first("more").alias("more"))
+    left = F.greatest(F.lit(0), F.col("more") + F.col("again")).cast("int")
     return own.select("cls", F.explode(F.slice("k", F.lit(1), left)).alias("k")).select("k.key", "cls")
 
 
@@ -140,7 +140,7 @@ def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFr
     held = pivots.join(sets.select(F.col("cls").alias("pivot"), "n", "set"), "pivot").groupBy("region").agg(F.collect_list(F.struct("pivot", "n", "set")).alias("pivots"))
     held = held.join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivots")
     own = members.select("region", "cls").join(sizes, "region").select("region", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls")
-    own = own.join(sets.select("cls", "n", "set"), "cls")
+    own = sets.select("cls", "n", "set").join(_few(own), "cls")
 
     def distance(p):
         both = F.size(F.array_intersect(F.col("set"), p["set"])).cast("long")
@@ -171,7 +171,7 @@ def _few_pairs(mixed: DataFrame) -> bool:
     """Whether the pairs that are left to compare are not many more than the members."""
     own = mixed.groupBy("region").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("comp") != F.col("main")).alias("others"))
     row = own.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("others")).alias("pairs")).first()
-    return row["pairs"] is None or row["pairs"] <= max(100_000, 4 * row["n"])
+    return row["pairs"] is None or row["pairs"] <= max(500_000, 4 * row["n"])
 
 
 def _some(members: DataFrame, level: int) -> DataFrame:
