@@ -271,3 +271,24 @@ def test_deep_pages_take_no_square():
     html_extract.vectors(page, 0, 4096)
     assert len(html_extract.blocks("<b>x" * 100_000 + "</i>" * 100_000)) == 1
     assert time.time() - began < 30
+
+
+def test_more_languages_than_tasks_hold(spark, monkeypatch):
+    """A thousand languages in shards: the sizes of all of them decide, as with one shard."""
+    rng = random.Random(31)
+    stems = {f"l{k:04d}": ["".join(chr(0x4E00 + k * 9 + rng.randrange(9)) for _ in range(5)) for _ in range(6)] for k in range(1000)}
+    rows = [(1000 * r + k, " ".join(rng.choice(w) for _ in range(12)), lang, "x") for r in range(2) for k, (lang, w) in enumerate(stems.items())]
+    docs = spark.createDataFrame([*rows, (9001, None, "l0001", "x"), (9002, "12", None, "x")], "doc_id long, text string, lang string, best string").repartition(4)
+    model = language.fit(docs)
+    assert isinstance(model, language.Shards) and model.n == 1000
+    whole = [x for shard in model for x in shard]
+    assert len(whole) == 1000 and len({lang for lang, _ in whole}) == 1000
+    some = docs.where("doc_id % 25 = 0 or doc_id > 9000")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["accepted"]) for r in language.identify(some, model).collect()}
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2000)
+    at_once = language.identify(some, whole)
+    assert at_once.columns == ["doc_id", "text", "lang", "best", "lang_pred", "score", "accepted"]
+    assert got == {r["doc_id"]: (r["lang_pred"], r["score"], r["accepted"]) for r in at_once.collect()}
+    assert got[9001] == got[9002] == ("und", 0.0, False)
+    right = [r for r in rows if r[0] % 25 == 0 and got[r[0]][0] == r[2]]
+    assert len(right) >= 0.9 * len([r for r in rows if r[0] % 25 == 0])

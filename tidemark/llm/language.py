@@ -16,48 +16,69 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import hash_bound, held, widened
+from ._store import held, materialize, widened
 
 #: Texts of a language, characters of one text, and bytes of a dictionary that are learned from at most.
 MAX_ROWS, ROW_CHARS, DICT_BYTES = 900, 1024, 1 << 17
+#: Languages whose dictionaries tasks hold at a time (32 MB); the texts go through those of more languages shard by shard.
 MAX_LANGUAGES = 256
+#: Languages up to which their sample's bounds are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Bytes that are compressed at a time, and the level, for texts of every size.
 PIECE, LEVEL = 4096, 6
 MIN_MARGIN = 4
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
+Model = list[tuple[str, bytes]]
+
+
+class Shards:
+    """Dictionaries of more languages than tasks hold: a table of pieces, read MAX_LANGUAGES languages at a time."""
+
+    def __init__(self, pieces: DataFrame, n: int):
+        self.pieces, self.n = pieces, n
+
+    def __iter__(self) -> Iterator[Model]:
+        for lo in range(0, self.n, MAX_LANGUAGES):
+            yield _contents(self.pieces.where((F.col("rank") > lo) & (F.col("rank") <= lo + MAX_LANGUAGES)))
+
+
+def _contents(pieces: DataFrame) -> Model:
+    picked = pieces.orderBy("rank", "k").select("rank", "lang", "piece").toPandas()  # MAX_LANGUAGES times DICT_BYTES at most
+    return [(own["lang"].iloc[0], "\n".join(own["piece"]).encode()) for _, own in picked.groupby("rank", sort=True)]
+
+
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | Shards:
     """(language, dictionary content) from ``docs`` (text, lang); the most frequent language comes first.
 
     Different texts of a language are taken in the order of a hash, and of each a piece of ROW_CHARS, as long as
     the pieces fit into DICT_BYTES (some 128 long ones) and up to ``max_rows``; copies of a text count once.
-    Rows without a language or a letter are left out. There are MAX_LANGUAGES at most.
+    Rows without a language or a letter are left out. There may be any number of languages: of more than
+    MAX_LANGUAGES the model is a table that is read in shards.
     """
     rows = docs.select("lang", "text").where("lang is not null and text rlike '\\\\p{L}'")
     hashed = rows.select("lang", F.xxhash64("text", F.lit(1)).alias("at"))
     texts = hashed.groupBy("lang", "at").agg(F.count("*").alias("n"))
-    found = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    counts = {r["lang"]: r["texts"] for r in found}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "lang"))  # a row a language
+    bound = F.when(F.col("texts") <= 2 * max_rows, F.lit(2**63 - 1)).otherwise((F.lit(float(-(2**63))) + F.lit(float(2**64)) * (F.lit(2.0 * max_rows) / F.col("texts"))).cast("long"))
+    languages = materialize(counts.select("lang", rank.alias("rank"), bound.alias("bound")), "languages")
+    n = languages.count()
+    languages = F.broadcast(languages) if n <= BROADCAST_LANGUAGES else languages
     at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - ROW_CHARS // 2, F.lit(1))).cast("int")
     rows = rows.select("lang", F.xxhash64("text", F.lit(1)).alias("at"), F.lower(F.substring("text", at + 1, F.lit(ROW_CHARS))).alias("piece"))
-    if counts:
-        bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, hash_bound(2 * max_rows, n))))
-        rows = rows.where(F.col("at") <= bounds[F.col("lang")])
-    rows = rows.groupBy("lang", "at").agg(F.min("piece").alias("piece"))
-    first = Window.partitionBy("lang").orderBy("at")
+    rows = rows.join(languages, "lang").where("at <= bound").groupBy("rank", "lang", "at").agg(F.min("piece").alias("piece"))
+    first = Window.partitionBy("rank").orderBy("at")
     picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_rows)
     upto = F.sum(F.octet_length("piece") + 1).over(first.rowsBetween(Window.unboundedPreceding, 0))
-    picked = picked.withColumn("upto", upto).where(F.col("upto") <= DICT_BYTES).orderBy("lang", "k").select("lang", "piece").toPandas()
-    content = {lang: "\n".join(own["piece"]).encode() for lang, own in picked.groupby("lang")}
-    return [(lang, content[lang]) for lang in counts if lang in content]
+    picked = picked.withColumn("upto", upto).where(F.col("upto") <= DICT_BYTES).select("rank", "lang", "k", "piece")
+    return _contents(picked) if n <= MAX_LANGUAGES else Shards(materialize(picked, "pieces"), n)
 
 
 class Compressors:
     """Compressed sizes of a text under each language's dictionary."""
 
-    def __init__(self, model: list[tuple[str, bytes]]):
+    def __init__(self, model: Model):
         self.languages = [lang for lang, _ in model]
         self.compressors = [self._compressor(content) for _, content in model]
 
@@ -94,16 +115,57 @@ def _classify(shared, at: int, kept: list[int], min_margin: int):
     return run
 
 
-def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: int = MIN_MARGIN, columns: list[str] | None = None) -> DataFrame:
+def _refine(shared, names: tuple[str, str, str]):
+    """Batches whose last column is the text, with the least size so far, its language and the next larger size, after one more shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = held(("language", hash(tuple(shared.value))), lambda: Compressors(shared.value))
+        for batch in batches:
+            at = [batch.schema.names.index(c) for c in (*names, "text")]
+            best, lang, second = (batch.column(k).to_pylist() for k in at[:3])
+            for i, text in enumerate(batch.column(at[3])):
+                text = text.as_py()
+                if not text or not any(map(str.isalpha, text)):
+                    continue
+                for name, size in zip(compressors.languages, compressors.sizes(text).tolist()):
+                    if best[i] is None or size < best[i]:
+                        best[i], lang[i], second[i] = size, name, best[i]
+                    elif second[i] is None or size < second[i]:
+                        second[i] = size
+            new = {at[0]: pa.array(best, pa.int64()), at[1]: pa.array(lang, pa.string()), at[2]: pa.array(second, pa.int64())}
+            yield pa.RecordBatch.from_arrays([new.get(k, batch.column(k)) for k in range(batch.num_columns)], batch.schema.names)
+
+    return run
+
+
+def _by_shards(docs: DataFrame, shards: Iterator[Model], min_margin: int, columns: list[str]) -> DataFrame:
+    """As ``identify``: each shard is one pass over the texts, which hands on the two least sizes."""
+    names = tuple(next(n for n in (c, f"_{c}", f"__{c}") if n not in docs.columns) for c in ("best", "best_lang", "second"))
+    kinds = ("long", "string", "long")
+    now = docs.withColumns({n: F.lit(None).cast(k) for n, k in zip(names, kinds)})
+    for shard in shards:
+        shared = docs.sparkSession.sparkContext.broadcast(shard)  # MAX_LANGUAGES times DICT_BYTES at most
+        now = materialize(now.mapInArrow(_refine(shared, names), now.schema), "languages")
+    best, lang, second = map(F.col, names)
+    margin = F.coalesce(second - best, F.lit(min_margin))
+    score = F.when(best.isNull(), 0.0).otherwise(1 - F.pow(F.lit(0.5), (margin + 1) / 4))
+    return now.select(*columns, F.coalesce(lang, F.lit("und")).alias("lang_pred"), score.alias("score"), (best.isNotNull() & (margin >= min_margin)).alias("accepted"))
+
+
+def identify(docs: DataFrame, model: Model | Shards, min_margin: int = MIN_MARGIN, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all by default) with ``lang_pred``, ``score`` (0 to 1, from the margin in bytes) and ``accepted``.
 
     Whole texts are read. Texts that are null, empty or without a letter are ``und`` with a score of 0; so are
     all texts under an empty model. Of equal sizes the more frequent language wins, with a margin of 0, which
-    is rejected. Columns of these names are replaced.
+    is rejected. Columns of these names are replaced. More than MAX_LANGUAGES languages are tried shard by shard, with
+    the same result.
     """
     docs = docs.drop("lang_pred", "score", "accepted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES times DICT_BYTES at most
     columns = [c for c in columns or docs.columns if c in docs.columns]
+    if isinstance(model, Shards) or len(model) > MAX_LANGUAGES:
+        shards = model if isinstance(model, Shards) else (model[k : k + MAX_LANGUAGES] for k in range(0, len(model), MAX_LANGUAGES))
+        return _by_shards(docs, shards, min_margin, columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES times DICT_BYTES at most
     fn = _classify(shared, docs.columns.index("text"), [docs.columns.index(c) for c in columns], min_margin)
     return docs.mapInArrow(fn, widened(docs.select(columns), lang_pred="string", score="double", accepted="boolean"))
 
@@ -119,11 +181,11 @@ def with_predictions(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", outside.alias("held_out"), "lang_pred", "score", "accepted")
 
 
-def dump(model: list[tuple[str, bytes]]) -> str:
+def dump(model: Model) -> str:
     """A fitted model as JSON text."""
     return json.dumps([[lang, content.hex()] for lang, content in model])
 
 
-def load(text: str) -> list[tuple[str, bytes]]:
+def load(text: str) -> Model:
     """The model of ``dump``."""
     return [(lang, bytes.fromhex(content)) for lang, content in json.loads(text)]
