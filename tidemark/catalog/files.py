@@ -244,13 +244,13 @@ def progress_roundtrip(spark, sf):
     return R.read_progress(spark, path).select(F.col("processed_template_ids")[0].alias("segment"), "generated_count", "last_updated")
 
 
-@query(f"SELECT count(*) AS before, 0 AS after FROM {_PAIRS}")
+@query(f"SELECT CAST(turn AS INTEGER) AS segment_id, count(*) AS n FROM {_PAIRS} WHERE turn <> 1 GROUP BY 1")
 def outputs_reset(spark, sf):
+    """The outputs of one segment are removed, those of the others stay."""
     path = scratch(spark, "qa")
     W.write_qa(_qa(spark, sf), path)
-    before = R.read_qa(spark, path).count()
-    W.delete(spark, path)
-    return spark.createDataFrame([(before, R.read_qa(spark, path).count())], "before long, after int")
+    W.delete(spark, f"{path}/segment=1")
+    return R.read_qa(spark, path).groupBy("segment_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT '| ' || r_regionkey || ' | ' || r_name || ' | ' || n || ' |' AS line FROM region JOIN (SELECT n_regionkey AS r_regionkey, count(*) AS n FROM nation GROUP BY 1) USING (r_regionkey)")
@@ -267,10 +267,12 @@ def summary_text(spark, sf):
     return W.summary_report(first, second).select("line")
 
 
-@query("SELECT item_id, CAST(0.5 AS DOUBLE) AS retrieval_time FROM benchmark")
+@query("SELECT event_id, round(seconds / n, 6) AS retrieval_time FROM events, (SELECT sum(CAST(round(value * 100) AS BIGINT)) / 100 AS seconds, count(*) AS n FROM events)")
 def mean_retrieval_time(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id")
-    return with_mean_time(rows, rows.count() / 2.0)
+    """The seconds of a batch over its rows, beside each of them."""
+    rows = table(spark, sf, "events")
+    seconds = rows.agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("s")).first()["s"] / 100
+    return with_mean_time(rows.select("event_id"), seconds).select("event_id", F.round("retrieval_time", 6).alias("retrieval_time"))
 
 
 @query("SELECT 'bm25' AS retriever, 3 AS k, 'bm25_k3' AS model_key, 0.75 AS b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.answers import _PAIRS, _pairs
 from tidemark.catalog.registry import query, table
 from tidemark.catalog.retrieval import SQL_TOKENS, sql_top
+from tidemark.functions.parsing import hypothetical
 from tidemark.operators import evaluation as E
 from tidemark.plans import config as C
 from tidemark.plans import corpus as B
@@ -148,3 +149,29 @@ def pair_entities(spark, sf):
     corpus = table(spark, sf, "nation").select(F.array("n_name", F.lit("the")).alias("entities"))
     found = G.with_entities(pairs, corpus)
     return found.select(F.col("template_id").alias("item_id"), F.when(F.size("entities") > 0, F.size("entities").cast("long")).alias("n"), F.get("entities", F.lit(0)).alias("first_entity"))
+
+
+def _scores(prompts: list[str]) -> list[str]:
+    """A score for some, words for others, and no reply at all to the rest."""
+    if any(len(p) % 4 == 3 for p in prompts):
+        raise RuntimeError("no")
+    return [{0: "2", 1: " 1", 2: "good"}[len(p) % 4] for p in prompts]
+
+
+@query(f"SELECT conv_id, turn, CASE length(question) % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS score FROM {_PAIRS}")
+def quality_scores(spark, sf):
+    """What isn't a number, or isn't there, is 0."""
+    found = call(_pairs(spark, sf), "question", "quality", "string", _scores, fallback="0", wait=0.0, in_flight=2)
+    return found.select("conv_id", "turn", F.coalesce(F.trim("quality").try_cast("int"), F.lit(0)).alias("score"))
+
+
+def _hypotheses(prompts: list[str]) -> list[str]:
+    return [f"Question: q{len(p)}\nAnswer: a{len(p)}" if len(p) % 2 == 0 else "" for p in prompts]
+
+
+@query(f"SELECT conv_id, turn, md5(CASE WHEN length(question) % 2 = 0 THEN 'q' || length(question) ELSE question END) AS question, CASE WHEN length(question) % 2 = 0 THEN 'a' || length(question) ELSE '' END AS answer FROM {_PAIRS}")
+def hypothetical_pairs(spark, sf):
+    """A question and an answer to search with, from a provider that sometimes has none."""
+    found = call(_pairs(spark, sf), "question", "reply", "string", _hypotheses, fallback="", wait=0.0)
+    found = found.withColumn("h", hypothetical(F.col("reply"), F.col("question")))
+    return found.select("conv_id", "turn", F.md5("h.question").alias("question"), F.col("h.answer").alias("answer"))
