@@ -45,7 +45,8 @@ def test_components_of_hard_groups(spark, monkeypatch, cell, pivots, seed):
     rows = _hard(random.Random(seed))
     for name, value in (("CELL", cell), ("PIVOTS", pivots), ("PART", 16), ("BROADCAST_IDS", 0 if seed == 3 else 500_000), ("GAIN", 8 if seed == 2 else 2), ("NARROW", 0 if seed == 2 else 3)):
         monkeypatch.setattr(jaccard_join, name, value)
-    monkeypatch.setattr(jaccard_join, "_few_pairs", lambda mixed: mixed.isEmpty())
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(jaccard_join, "PROGRESS", -9)
     got = jaccard_join.similarity_components(frame(spark, rows))
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute.near_duplicates(rows, 3, 90)
 
@@ -58,3 +59,13 @@ def test_components_at_the_edges(spark):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_components(docs).collect())
     assert got == [(0, 4, None), (1, 1, 1), (1, 4, 1), (1, 4, 1), (2, 1, 1), (2, 4, 1), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 6), (7, 1, 6)]
     assert jaccard_join.similarity_components(docs.limit(0)).count() == 0
+
+
+def test_stars_are_the_components(spark):
+    from tidemark.llm._graph import components
+
+    rng = random.Random(7)
+    for n, m in ((60, 40), (200, 190), (30, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(1000, 1030 if m else 1000)]
+        table = spark.createDataFrame(edges, "a long, b long")
+        assert {tuple(r) for r in components(table, by_stars=True).collect()} == {tuple(r) for r in components(table).collect()}

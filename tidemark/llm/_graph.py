@@ -21,16 +21,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.union(least.select("a", F.col("m").alias("b")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge goes from a node of no other edge to the least node of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
+def components(edges: DataFrame, by_stars: bool = False) -> DataFrame:
     """(node, component): the least node reachable, for every node of ``edges`` (a, b).
 
     Every round is two aggregations and two joins on the node; hubs are pre-aggregated before each
     shuffle and their rows are dealt out by the skew join. Rounds grow with the logarithm of the longest
-    path. An empty edge table gives an empty result; loops and repeated edges change nothing.
+    path. An empty edge table gives an empty result; loops and repeated edges change nothing. The last round is the one
+    that changes nothing or, with ``by_stars``, the one before it, which leaves stars.
     """
-    now = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    start = edges.select("a", "b") if not by_stars else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialize(start.where("a <> b").distinct(), "edges")
     seen = None
-    while True:
+    while not (by_stars and _are_stars(now)):
         total = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if total == seen or not total["n"]:
             break

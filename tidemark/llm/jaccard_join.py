@@ -34,7 +34,9 @@ WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
 #: Elements below this hash come first, those that few sets have before others: only their sets are counted. Others follow by hash.
 COUNTED = np.uint64(1 << 62)
 #: Members of a region that stay without pivots of their own, pivots of a larger one, and how often a region is cut at most.
-CELL, PIVOTS, LEVELS = 64, 24, 3
+CELL, PIVOTS, LEVELS = 64, 24, 4
+#: Pairs left to compare up to which no region is cut, and the share of them that a cut must do away with for another one to follow.
+FEW_PAIRS, PROGRESS = 500_000, 0.5
 #: A region is narrow if half of its members are within so many radii of its pivot; a cut that makes more than so many rows of one is no gain.
 NARROW, GAIN = 3, 2
 #: Members of a region that are dealt out together.
@@ -157,7 +159,7 @@ def _links(found: DataFrame, numerator: int, denominator: int) -> DataFrame:
 
 def _mixed(regions: DataFrame, links: DataFrame) -> DataFrame:
     """Members of the regions (region, cls, d, native) that hold more than one component, with ``comp``, the region's ``main`` one and its ``size``."""
-    comp = materialize(components(links), "components")
+    comp = materialize(components(links, by_stars=True), "components")
     now = regions.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     now = materialize(now, "members")
     own = now.groupBy("region", "comp").agg(F.count("*").alias("n"))
@@ -167,11 +169,10 @@ def _mixed(regions: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _few_pairs(mixed: DataFrame) -> bool:
-    """Whether the pairs that are left to compare are not many more than the members."""
-    own = mixed.groupBy("region").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("comp") != F.col("main")).alias("others"))
-    row = own.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("others")).alias("pairs")).first()
-    return row["pairs"] is None or row["pairs"] <= max(500_000, 4 * row["n"])
+def _left(mixed: DataFrame) -> float:
+    """How many pairs of a region's members outside of its main component and all of its members there are."""
+    own = mixed.groupBy("region").agg((F.count("*").cast("double") * F.count_if(F.col("comp") != F.col("main"))).alias("pairs"))
+    return own.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()["pairs"]
 
 
 def _some(members: DataFrame, level: int) -> DataFrame:
@@ -263,17 +264,20 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, numerator: int =
     links = materialize(_links(found, numerator, denominator), "links")
     now = materialize(found.select("region", "cls", F.col("to")[0]["d"].alias("d"), F.lit(True).alias("native")), "regions")
     discard(members, met, found)
+    before = float("inf")
     for level in range(1, LEVELS + 1):
         mixed = _mixed(now, links)
-        if level == LEVELS or _few_pairs(mixed):
+        left = _left(mixed)
+        if level == LEVELS or left <= FEW_PAIRS or left > (1 - PROGRESS) * before:
             break
+        before = left
         more, cut = _cut(mixed, sets, level, radius, numerator, denominator)
-        before, links = links, materialize(links.union(more).distinct(), "links")
-        discard(before, more, now, mixed)
-        now = cut
+        both = materialize(links.union(more).distinct(), "links")
+        discard(links, more, now, mixed)
+        links, now = both, cut
     pairs = materialize(_pairs(mixed, sets, radius, numerator, denominator), "pairs")
     links = materialize(links.union(_confirmed(pairs, sets, numerator, denominator)), "links")
-    component = components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    component = components(links, by_stars=True).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     named = materialize(classes.join(component, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "named")
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "comp").select("digest", "component_id")
