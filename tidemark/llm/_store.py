@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows and bytes that go to Python at a time while a table is written, which bounds the buffers on both sides.
+#: Rows and bytes that go to Python at a time at most, which bounds the buffers on both sides.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _written: list[tuple[SparkSession, str]] = []
@@ -32,23 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches be small ones from now on; smaller ones that are set stay. It changes no result of any query."""
+    for key, most in BATCHES.items():
+        now = re.fullmatch(r"(\d+)([bkm]?)b?", spark.conf.get(key).strip().lower())
+        size = int(now[1]) << {"": 0, "b": 0, "k": 10, "m": 20}[now[2]] if now else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
-    Later plans read files that survive the loss of any executor, and an iterative plan stays short. While
-    the table is written the session's Arrow batches are small ones, which changes no result of any query.
-    The tables are removed when the driver ends, or before by ``discard``.
+    Later plans read files that survive the loss of any executor, and an iterative plan stays short. The tables are
+    removed when the driver ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    before = {key: spark.conf.get(key, None) for key in BATCHES}
-    try:
-        for key, value in BATCHES.items():
-            spark.conf.set(key, value)
-        df.write.parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    small_batches(spark)
+    df.write.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import held, release, widened
+from ._store import held, release, small_batches, widened
 
 CACHE_WORDS = 150_000
 SLICE_ROWS = 64
@@ -310,6 +310,7 @@ def _decode(path: str, at: int):
 
 
 def _encoded(df: DataFrame, vocab_path: str, text: str, columns: list[str] | None, **added: str) -> DataFrame:
+    small_batches(df.sparkSession)  # the codes of a batch are as large as its texts, on both sides
     df = df.drop(*(c for c in added if c != text))
     columns = [c for c in (df.columns if columns is None else columns) if c not in added]
     fn = _coded(vocab_path, df.columns.index(text), [df.columns.index(c) for c in columns], "decoded" in added)
