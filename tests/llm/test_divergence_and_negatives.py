@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -51,7 +52,9 @@ def _documents():
     return [*rows, (None, "aa", "silent"), ("12 !!", "aa", "silent"), ("only one here", "cc", "x"), ("", "cc", "y"), (None, None, None), *[("same same", "bb", "t")] * 12, ("beta " * 300_000, "aa", "s")]
 
 
-def test_audit_is_the_plain_one(spark, monkeypatch):
+@pytest.mark.parametrize("pairs", [2_000_000, 8])
+def test_audit_is_the_plain_one(spark, monkeypatch, pairs):
+    monkeypatch.setattr(source_divergence, "BLOCK_PAIRS", pairs)
     rows = _documents()
     docs = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], DOCS).repartition(5)
     monkeypatch.setattr(source_divergence, "PART_ENTRIES", 7)  # several parts a language

@@ -23,8 +23,8 @@ from ._words import text_slices, words
 SLICE = 1 << 20
 #: Rows of counts that a task gathers before it hands them on.
 GATHERED = 400_000
-#: Entries of a part of a language's matrix.
-PART_ENTRIES = 250_000
+#: Entries of a part of a language's matrix, and pairs of sources that a task works out at a time.
+PART_ENTRIES, BLOCK_PAIRS = 250_000, 2_000_000
 ONE = 1_000_000_000
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -123,30 +123,30 @@ def _row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair_sums(p: np.ndarray, cols: np.ndarray, bounds: np.ndarray, absent: np.ndarray, n_terms: int) -> np.ndarray:
-    """The sum of divergences of each pair of rows of a CSR matrix whose missing entries are ``absent`` of their row."""
+def pair_sums(p: np.ndarray, cols: np.ndarray, bounds: np.ndarray, absent: np.ndarray, n_terms: int, own: np.ndarray) -> np.ndarray:
+    """The sum of divergences of the rows ``own`` from each row of a CSR matrix whose missing entries are ``absent`` of their row."""
     n = len(absent)
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((len(own), n), np.int64)
     if not n_terms:
         return out
     own_absent = np.repeat(absent, np.diff(bounds))
-    for a in range(n):
+    for i, a in enumerate(own.tolist()):
         mine = p[bounds[a] : bounds[a + 1]]
         dense = np.full(n_terms, absent[a], np.int64)
         dense[cols[bounds[a] : bounds[a + 1]]] = mine
         there = dense[cols]
         # every entry of the other row against its absence, then this row against rows without any entry
-        out[a] = _row_sums(divergence(there, p) - divergence(there, own_absent), bounds)
+        out[i] = _row_sums(divergence(there, p) - divergence(there, own_absent), bounds)
         step = max(1, 2_000_000 // max(1, len(mine)))
         for k in range(0, n, step):
-            out[a, k : k + step] += divergence(mine[None, :], absent[k : k + step, None]).sum(axis=1)
-        out[a] += (n_terms - len(mine)) * divergence(absent[a], absent)
+            out[i, k : k + step] += divergence(mine[None, :], absent[k : k + step, None]).sum(axis=1)
+        out[i] += (n_terms - len(mine)) * divergence(absent[a], absent)
     return out
 
 
 def _diverge(top: int, key: tuple, table: pa.Table) -> pa.Table:
-    """(lang, source, part, item, value) of a part of a language: sums over its terms for each pair, and the first terms of each source."""
-    lang = key[0].as_py()
+    """(lang, source, part, item, value) of a part of a language for a block of its sources: sums over the part's terms for each pair, and the first terms of each source."""
+    lang, block = key[0].as_py(), key[2].as_py()
     term = table.column("term").combine_chunks()
     totals = table.filter(term.is_null()).sort_by("source")
     sources, n_of = totals.column("source").to_pylist(), totals.column("n").to_numpy()
@@ -162,18 +162,24 @@ def _diverge(top: int, key: tuple, table: pa.Table) -> pa.Table:
     bounds = np.searchsorted(rows, np.arange(len(sources) + 1))
     p = share(n, n_of[rows], v) if v else np.zeros(0, np.int64)
     absent = share(np.zeros(len(sources)), n_of, v) if v else np.zeros(len(sources), np.int64)
-    sums = pair_sums(p, cols, bounds, absent, len(terms))
-    found = [[sources[a], "pair", sources[b], int(sums[a, b])] for a in range(len(sources)) for b in range(len(sources)) if a != b]
+    mine = np.arange(block, len(sources), totals.column("blocks")[0].as_py())
+    sums = pair_sums(p, cols, bounds, absent, len(terms), mine)
+    first, second = np.repeat(mine, len(sources)), np.tile(np.arange(len(sources)), len(mine))
+    other = first != second
+    names = pa.array(sources, pa.string())
+    pairs = [names.take(pa.array(first[other])), pa.array(["pair"] * int(other.sum()), pa.string()), names.take(pa.array(second[other])), pa.array(sums.ravel()[other])]
+    found = []
     q = share(of_lang, n_lang, v) if v else p
     value = divergence(p, q)
-    for a in range(len(sources)):
+    for a in mine.tolist():
         own = np.arange(bounds[a], bounds[a + 1])
         own = own[p[own] > q[own]]
         own = own[np.lexsort((cols[own], -value[own]))[:top]]
         found += [[sources[a], "term", terms[cols[k]].decode(), int(value[k])] for k in own]
     columns = list(zip(*found)) if found else [[], [], [], []]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
-    return pa.Table.from_arrays([pa.array([lang] * len(found), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["lang", "source", "part", "item", "value"])
+    both = [pa.concat_arrays([x, pa.array(c, k)]) for x, c, k in zip(pairs, columns, kinds)]
+    return pa.Table.from_arrays([pa.array([lang] * len(both[0]), pa.string()), *both], ["lang", "source", "part", "item", "value"])
 
 
 def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
@@ -195,10 +201,15 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
     sizes = kept.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.count("*").alias("entries")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("n_lang"), F.sum("entries").alias("entries"))
     groups = filled.select("lang", "source").distinct().join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left")
     parts = F.greatest(F.lit(1), F.ceil(F.coalesce("entries", F.lit(0)) / F.lit(PART_ENTRIES))).cast("int")
-    sizes = materialize(filled.select("lang").distinct().join(sizes, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n_lang", F.lit(0)).alias("n_lang"), parts.alias("parts")), "sizes")
-    entries = kept.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("slice"), "source", "term", "n", "of_lang", "v")
-    totals = groups.join(sizes, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), "source", F.lit(None).cast("string").alias("term"), F.coalesce("n", F.lit(0)).alias("n"), F.col("n_lang").alias("of_lang"), "v")
-    found = entries.unionByName(totals).groupBy("lang", "slice").applyInArrow(lambda key, part: _diverge(top, key, part), "lang string, source string, part string, item string, value long")
+    groups = materialize(groups, "groups")
+    # a language of very many sources is also dealt out by them: each block has the whole part and some of its rows to hold against it
+    blocks = F.least(F.col("n_sources"), F.ceil(F.col("n_sources") * F.col("n_sources") / F.lit(BLOCK_PAIRS))).cast("int")
+    of_sources = groups.groupBy("lang").agg(F.count("*").alias("n_sources"))
+    sizes = materialize(of_sources.join(sizes, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n_lang", F.lit(0)).alias("n_lang"), parts.alias("parts"), blocks.alias("blocks")), "sizes")
+    entries = kept.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("slice"), "source", "term", "n", "of_lang", "v", "blocks")
+    totals = groups.join(sizes, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), "source", F.lit(None).cast("string").alias("term"), F.coalesce("n", F.lit(0)).alias("n"), F.col("n_lang").alias("of_lang"), "v", "blocks")
+    rows = entries.unionByName(totals).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = rows.groupBy("lang", "slice", "block").applyInArrow(lambda key, part: _diverge(top, key, part), "lang string, source string, part string, item string, value long")
     found = materialize(found, "divergences")
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", rank)
