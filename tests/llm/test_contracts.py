@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,7 +143,19 @@ def test_passages(spark, corpus):
 
 def test_passages_with_many_shards(spark, corpus, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", 0)
-    assert by_id(substring_dedup.dedup_passages(frame(spark, corpus, 1)), "n_words", "n_removed", "kept_sha256") == brute.repeated_passages(corpus)
+    monkeypatch.setattr(substring_dedup, "SHARD_TEXTS", 2)
+    for phrases in (1, 5):
+        got = substring_dedup.dedup_passages(frame(spark, corpus, 1), shard_phrases=phrases)
+        assert by_id(got, "n_words", "n_removed", "kept_sha256") == brute.repeated_passages(corpus)
+
+
+def test_a_shard_of_more_phrases_than_one_automaton_holds(spark):
+    patterns = [chr(48 + k) * 3 for k in range(5)]
+    rows = [(0, 0, None, "".join(patterns[:2])), (0, 0, None, "".join(patterns[2:])), (0, 0, 7, "x000444"), (1, 0, None, "abc"), (1, 0, 7, "x000444abc"), (1, 0, 8, "ab")]
+    batch = pa.RecordBatch.from_pydict({n: [r[k] if k < 3 else r[k].encode() for r in rows] for k, n in enumerate(("shard", "part", "rid", "letters"))})
+    for parts in ([batch], [batch[k : k + 1] for k in range(len(rows))]):
+        got = [r for out in substring_dedup._stream(3, 2)(iter(parts)) for r in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert got == [(7, [3, 6]), (7, [9]), (8, [])]
 
 
 def test_passages_edges(spark):

@@ -4,11 +4,14 @@
    words, the sequence of ``PHRASE`` words in it with the least hash. Equal windows choose equal phrases.
 2. Texts of one digest are one class, stood for by its least doc_id. In the other members every window is found
    earlier; they need no search.
-3. Phrases that two representatives share recur. Only representatives with recurring phrases go on.
-4. Each task compiles the recurring phrases of its texts into Aho-Corasick automata of bounded size, over an
-   alphabet of six bits of each word's hash, and streams its texts through them for every occurrence. The
-   windows around an occurrence are sent out as 128-bit hashes, which confirms or rejects them exactly.
-5. The least doc_id of every window hash is found by a partial aggregation, and what later ones cover is cut.
+3. Phrases that two representatives share recur. Each belongs to the first text that has it, and the phrases that
+   stand near each other there go to one shard, so that a copied passage meets one or two shards.
+4. The shards are written once, as letters of six bits of each word's hash. The hashes of a text's phrases are the
+   filter before each shard: a text is streamed through the Aho-Corasick automata of all shards that have one of
+   them, which find every occurrence of all phrases of the shard. A shard that very many texts meet is compiled
+   by several tasks, each for its share of them.
+5. The windows around an occurrence are sent out as 128-bit hashes, which confirm or reject them exactly. The
+   least doc_id of every window hash is found by a partial aggregation, and what later ones cover is cut.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from ._store import held, materialize
 from ._words import mix, text_slices, word_hashes, words
 
 WINDOW, PHRASE = 50, 16
-#: Phrases in one automaton, and texts compiled together.
-SHARD_PHRASES, SHARD_BYTES = 20_000, 1 << 23
+#: Phrases in one automaton, texts that one task streams through it, and words of a text whose phrases stay together.
+SHARD_PHRASES, SHARD_TEXTS, NEAR = 20_000, 4000, 1 << 16
 #: Ids up to which the candidates are picked by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 500_000
 #: Rows of one window in one task, and windows with more, at most.
@@ -95,52 +98,97 @@ def _prepare(window: int, size: int):
     return run
 
 
-def _occurrences(symbols: list[bytes], shards: list[ahocorasick.Automaton]) -> Iterator[tuple[int, int]]:
-    """(text, place of the last word) of every phrase in every text."""
-    for k, own in enumerate(symbols):
-        text = own.decode("ascii")
-        for shard in shards:
-            for end, _ in shard.iter(text):
-                yield k, end
+def _letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and letters of the words of several texts, and each text's offset among them."""
+    starts, ends, at = words(data, offsets)
+    hashes = word_hashes(data, starts, ends)
+    return hashes, ((hashes >> np.uint64(58)) + np.uint64(48)).astype(np.uint8), at
 
 
-def _compile(patterns: list[str]) -> list[ahocorasick.Automaton]:
+def _deal(size: int):
+    """Rows of the shards: the phrases that belong to a text (rid null), and the text for each shard to stream it through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substring_dedup")
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                _, letters, at = _letters(data, offsets)
+                rows: list[tuple[int, int | None, bytes]] = []
+                for i in range(hi - lo):
+                    own = letters[at[i] : at[i + 1]].tobytes()
+                    parts: dict[int, list[bytes]] = {}
+                    for phrase in batch.column(2)[lo + i].as_py():
+                        parts.setdefault(phrase["shard"], [])
+                        if phrase["first"]:
+                            parts[phrase["shard"]].append(own[phrase["place"] : phrase["place"] + size])
+                    for shard, found in parts.items():
+                        rows.append((shard, batch.column(0)[lo + i].as_py(), own))
+                        if found:
+                            rows.append((shard, None, b"".join(found)))
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "rid", "letters"])
+
+    return run
+
+
+def _compile(patterns: list[str], most: int) -> list[ahocorasick.Automaton]:
     out = []
-    for lo in range(0, len(patterns), SHARD_PHRASES):
-        shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in patterns[lo : lo + SHARD_PHRASES]:
-            shard.add_word(p)
-        shard.make_automaton()
-        out.append(shard)
+    for lo in range(0, len(patterns), most):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in patterns[lo : lo + most]:
+            automaton.add_word(p)
+        automaton.make_automaton()
+        out.append(automaton)
     return out
 
 
-def _locate(window: int, size: int):
+def _stream(size: int, most: int):
+    """(rid, places of the last word) of every phrase of a shard in its texts; a shard's phrases come before its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substring_dedup")
+        now, phrases_of, automata = None, [], None
+        for batch in batches:
+            rids, ends = [], []
+            for shard, part, rid, line in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if (shard, part) != now:
+                    now, phrases_of, automata = (shard, part), [], None
+                text = line.decode("ascii")
+                if rid is None:
+                    phrases_of += [text[k : k + size] for k in range(0, len(text), size)]
+                    continue
+                if automata is None:
+                    automata = _compile(phrases_of, most)
+                found = [end for automaton in automata for end, _ in automaton.iter(text)]
+                rids.append(rid)
+                ends.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ends, pa.list_(pa.int32()))], ["rid", "ends"])
+
+    return run
+
+
+def _windows(window: int, size: int):
+    """128-bit hashes of the windows around the occurrences in each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("substring_dedup")
         names = ["rid", "doc_id", "a", "b", "at"]
         for batch in batches:
             rids, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for lo, hi, data, offsets in text_slices(batch.column(2), SHARD_BYTES):
-                starts, ends, at = words(data, offsets)
-                hashes = word_hashes(data, starts, ends)
-                letters = ((hashes >> np.uint64(58)) + np.uint64(48)).astype(np.uint8)
-                symbols = [letters[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
-                places = [v.values.to_numpy(zero_copy_only=False) for v in batch.column(3)[lo:hi]]
-                patterns = sorted({own[p : p + size].decode("ascii") for own, ps in zip(symbols, places) for p in ps.tolist()})
-                marks = [np.zeros(max(0, len(own) - window + 1) + 1, np.int32) for own in symbols]
-                for k, end in _occurrences(symbols, _compile(patterns)):
-                    n, first, last = len(marks[k]) - 1, end + 1 - window, end + 1 - size
-                    if n and first < n:
-                        marks[k][max(first, 0)] += 1
-                        marks[k][min(last + 1, n)] -= 1
-                for i, mark in enumerate(marks):
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
+                hashes, _, at = _letters(data, offsets)
+                for i in range(hi - lo):
+                    own = hashes[at[i] : at[i + 1]]
+                    n = max(0, len(own) - window + 1)
+                    mark = np.zeros(n + 1, np.int32)
+                    for ends in batch.column(3)[lo + i].values:
+                        last = ends.values.to_numpy(zero_copy_only=False)
+                        np.add.at(mark, np.clip(last + 1 - window, 0, n), 1)
+                        np.add.at(mark, np.clip(last + 2 - size, 0, n), -1)
                     found = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                     if len(found):
-                        own = hashes[at[i] : at[i + 1]]
                         a, b = (_grams(own, window, base)[found].view(np.int64) for base in _BASES)
-                        n = len(found)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rids[lo + i])), pa.array(np.full(n, ids[lo + i])), pa.array(a), pa.array(b), pa.array(found.astype(np.int32))], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rids[lo + i])), pa.array(np.full(len(found), ids[lo + i])), pa.array(a), pa.array(b), pa.array(found.astype(np.int32))], names)
 
     return run
 
@@ -179,7 +227,23 @@ def _later(found: DataFrame) -> DataFrame:
     return dealt.join(firsts, ["a", "b", "part"]).where("doc_id > least").select("rid", "at")
 
 
-def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def _occurrences(texts: DataFrame, phrase: int, shard_phrases: int) -> DataFrame:
+    """(rid, ends) of the texts (rid, text, phrases), where phrases (shard, place, first) tell the shards and what belongs to the text.
+
+    A shard that more than SHARD_TEXTS texts meet has as many parts, each with all of its phrases.
+    """
+    dealt = texts.select("rid", "text", "phrases").mapInArrow(_deal(phrase), "shard long, rid long, letters binary")
+    dealt = materialize(dealt, "shards")
+    parts = dealt.groupBy("shard").agg(F.ceil(F.count("rid") / SHARD_TEXTS).cast("int").alias("parts"))
+    dealt = dealt.join(parts, "shard")
+    own = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    part = F.explode(F.when(F.col("rid").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
+    rows = dealt.select("shard", part.alias("part"), "rid", "letters")
+    rows = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("rid").asc_nulls_first())
+    return rows.mapInArrow(_stream(phrase, shard_phrases), "rid long, ends array<int>").where("size(ends) > 0")
+
+
+def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_phrases: int = SHARD_PHRASES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of every row of ``docs`` (doc_id, text).
 
     A word is removed if a window of ``window`` words covers it whose words also start, in the input, in a
@@ -193,18 +257,25 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     made = materialize(made.withColumn("rid", F.monotonically_increasing_id()), "phrases")
     classes = materialize(made.where(f"doc_id is not null and n_words >= {window}").groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("f")).select("digest", F.col("f.doc_id").alias("first"), F.col("f.rid").alias("rid")), "classes")
     # phrases of representatives that at least two doc_ids share
-    reps = made.join(classes.select("rid"), "rid", "left_semi").select("rid", "doc_id", "digest", "phrases", "places")
-    chosen = materialize(reps.select("rid", "doc_id", F.explode(F.arrays_zip("phrases", "places")).alias("p")).select("rid", "doc_id", F.col("p.phrases").alias("h"), F.col("p.places").alias("place")), "chosen")
-    recurring = chosen.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h")
-    places = chosen.join(recurring, "h").groupBy("rid", "doc_id").agg(F.collect_list("place").alias("places"))
+    reps = made.join(classes.select("rid"), "rid", "left_semi").select("rid", "doc_id", "phrases", "places")
+    chosen = reps.select("rid", "doc_id", F.explode(F.arrays_zip("phrases", "places")).alias("p"))
+    chosen = materialize(chosen.select("rid", "doc_id", F.col("p.phrases").alias("h"), F.col("p.places").alias("place")), "chosen")
+    recurring = chosen.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("rid", "place")).alias("o"))
+    recurring = materialize(recurring.where("least < most").select("h", F.col("o.rid").alias("owner"), F.floor(F.col("o.place") / NEAR).alias("near")), "recurring")
+    shards = -(-recurring.count() // shard_phrases) or 1
+    recurring = recurring.select("h", "owner", F.pmod(F.xxhash64("owner", "near"), F.lit(shards)).alias("shard"))
+    places = chosen.join(recurring, "h").select("rid", "doc_id", F.struct("shard", "place", (F.col("rid") == F.col("owner")).alias("first")).alias("p"))
+    places = places.groupBy("rid", "doc_id").agg(F.collect_list("p").alias("phrases"))
     places = materialize(places.join(classes.select("rid", "digest"), "rid"), "places")
-    # the texts of the candidates; the digest tells the rows that repeat a doc_id apart
+    # the texts that pass the filter of a shard; the digest tells the rows that repeat a doc_id apart
     ids = places.select("doc_id").distinct()
     few = places.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     texts = texts.withColumn("digest", F.sha2(F.array_join(F.array_remove(F.split("text", r"[ \t-\r]+"), ""), " "), 256))
-    texts = materialize(texts.join(places, ["doc_id", "digest"]).select("rid", "doc_id", "digest", "text", "places").dropDuplicates(["rid"]), "candidates")
-    found = materialize(texts.select("rid", "doc_id", "text", "places").mapInArrow(_locate(window, phrase), "rid long, doc_id long, a long, b long, at int"), "windows")
+    texts = materialize(texts.join(places, ["doc_id", "digest"]).select("rid", "doc_id", "digest", "text", "phrases").dropDuplicates(["rid"]), "candidates")
+    ends = _occurrences(texts, phrase, shard_phrases).groupBy("rid").agg(F.collect_list("ends").alias("ends"))
+    found = texts.join(ends, "rid").select("rid", "doc_id", "text", "ends")
+    found = materialize(found.mapInArrow(_windows(window, phrase), "rid long, doc_id long, a long, b long, at int"), "windows")
     hits = _later(found).groupBy("rid").agg(F.collect_list("at").alias("at"))
     cut = texts.select("rid", "digest", "text").join(hits, "rid").select("digest", "text", "at").mapInArrow(_cut(window), "digest string, n_removed long, kept string")
     cut = materialize(cut, "cut")
