@@ -292,3 +292,18 @@ def test_more_languages_than_tasks_hold(spark, monkeypatch):
     assert got[9001] == got[9002] == ("und", 0.0, False)
     right = [r for r in rows if r[0] % 25 == 0 and got[r[0]][0] == r[2]]
     assert len(right) >= 0.9 * len([r for r in rows if r[0] % 25 == 0])
+
+
+def test_more_links_are_followed_between_components_only(spark, monkeypatch):
+    """What later rounds of near-duplicates do: the links of a round aren't all gone through again."""
+    from tidemark.llm import _graph
+
+    pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = [(k, k + 1) for k in range(0, 90) if k % 10 != 9] + [(5, 3)]
+    more = [(7, 12), (19, 29), (35, 200), (201, 202), (15, 3), (88, 81)]
+    found = _graph.materialize(_graph.components(pairs(first), by_stars=True), "components")
+    sizes, write = [], _graph.materialize
+    monkeypatch.setattr(_graph, "materialize", lambda df, name: sizes.append((name, (out := write(df, name)).count())) or out)
+    got = sorted(map(tuple, _graph.merged(found, pairs(more)).collect()))
+    assert got == sorted(map(tuple, _graph.components(pairs(first + more)).collect()))
+    assert next(n for name, n in sizes if name == "edges") == 4  # of 88 links and more

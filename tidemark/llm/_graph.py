@@ -39,11 +39,21 @@ def components(edges: DataFrame, by_stars: bool = False) -> DataFrame:
     now = materialize(start.where("a <> b").distinct(), "edges")
     seen = None
     while not (by_stars and _are_stars(now)):
-        total = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if total == seen or not total["n"]:
-            break
-        seen = total
+        if not by_stars:
+            total = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+            if total == seen or not total["n"]:
+                break
+            seen = total
         before, now = now, materialize(_small_star(_large_star(now).where("a <> b")).where("a <> b").distinct(), "edges")
         discard(before)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` (node, component) under more ``links`` (a, b): these are followed between components, not between nodes."""
+    to = found.select("node", "component")
+    ends = links.join(to.toDF("a", "of_a"), "a", "left").join(to.toDF("b", "of_b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    of = materialize(components(ends, by_stars=True), "of")
+    moved = found.join(of.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(of.join(found, "node", "left_anti"))

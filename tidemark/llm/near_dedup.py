@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import components, merged
 from ._store import discard, held, materialize, release
 from ._words import mix, text_slices, word_hashes, words
 
@@ -123,8 +123,10 @@ def _similar(numerator: int, denominator: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    few = 2 * pairs.count() <= BROADCAST_IDS
+    ids = ids if few else materialize(ids.distinct(), "ids")
+    ids = F.broadcast(ids) if few or ids.count() <= BROADCAST_IDS else ids
     texts = texts.join(ids, "doc_id", "left_semi")
     full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_similar(numerator, denominator), "a long, b long").distinct()
@@ -143,7 +145,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     signed = materialize(docs.mapInArrow(_sign(bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{b} long" for b in _BITS)), "signed")
     classes = materialize(signed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(b).alias(b) for b in _BITS)), "classes")
     buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    shared = materialize(buckets.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size"), "shared")
+    shared = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size")
     # buckets of two or more representatives, with the sizes that a similar pair must have; the hub of a bucket
     # is the member that meets the most others in all of its buckets, which edited copies have in their source
     met_members = members = materialize(buckets.join(shared, "key"), "met")
@@ -154,26 +156,25 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, numer
     pairs = members.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     links = materialize(_verified(pairs, docs, numerator, denominator), "links")
-    discard(pairs, met_members, shared)
-    n_links, gained = links.count(), True
+    discard(pairs, met_members)
+    found = materialize(components(links, by_stars=True), "components")
+    gained = True
     for turn in range(HUB_ROUNDS + 1):
-        if gained:
-            found = materialize(components(links), "components")
-            mixed = _mixed(members, found)
-            discard(found)
+        mixed = _mixed(members, found) if gained else mixed
         if mixed is None:
             break
         all_pairs = turn == HUB_ROUNDS or not gained or _few(mixed)
         pairs = _by_pair(mixed, classes, numerator, denominator) if all_pairs else _by_hub(mixed, turn)
         sized = f"{denominator} * least(na, nb) >= {numerator} * greatest(na, nb)"
         pairs = materialize(pairs.where("a <> b").where(sized).select("a", "b").distinct(), "pairs")
-        before, links = links, materialize(links.union(_verified(pairs, docs, numerator, denominator)), "links")
-        discard(before, pairs)
+        links = materialize(_verified(pairs, docs, numerator, denominator), "links")
+        discard(pairs)
+        gained = not links.isEmpty()
+        if gained:
+            before, found = found, materialize(merged(found, links), "components")
+            discard(before)
         if all_pairs:
             break
-        now = links.count()
-        gained, n_links = now > n_links, now
-    found = components(links)
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -193,11 +194,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame | None:
     """Members (key, rep, n, comp) of the buckets that hold more than one component; None if there are none."""
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
     now = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    now = materialize(now, "members")
     several = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     mixed = materialize(now.join(several, "key"), "mixed")
-    discard(now)
     return None if mixed.isEmpty() else mixed
 
 
