@@ -12,8 +12,12 @@ from tidemark.operators import bm25, evaluation
 from tidemark.operators.nearest import nearest
 from tidemark.plans.config import RetrievalConfig, as_column
 from tidemark.plans.providers import FAILED, WAIT, Provider, call, embed, offline_answer, offline_embedding, offline_judge
+from tidemark.sources.scratch import kept
 from tidemark.sources.writers import run_name, write_results
 
+#: Documents found up to which they are broadcast.
+BROADCAST_IDS = 500_000
+
 
 def retrieve_for(qa: DataFrame, corpus: DataFrame, kind: str = "bm25", k: int = 3, vectors: Provider | None = None, segment: Segmenter | None = None) -> DataFrame:
     """``qa`` (question_index, game_name, question, ground_truth_doc_ids) with retrieved_doc_ids, contexts and ``error``.
@@ -32,7 +36,9 @@ def retrieve_for(qa: DataFrame, corpus: DataFrame, kind: str = "bm25", k: int =
         found = nearest(q, d, k, scope="game_name").select(F.col("query_id").alias("question_index"), "game_name", F.col("vec_id").alias("doc_id"), "score", "rank")
     else:
         raise ValueError(f"no retriever {kind}")
-    texts = found.join(corpus.select("game_name", "doc_id", "text"), ["game_name", "doc_id"])
+    found = kept(found.where("doc_id is not null"), "found")  # k a question
+    near = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    texts = corpus.select("game_name", "doc_id", "text").join(near, ["game_name", "doc_id"])
     gathered = texts.groupBy("question_index").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"), "text", "score"))).alias("d"))  # k a question
     games = corpus.select("game_name").distinct().withColumn("known", F.lit(True))
     out = qa.join(gathered, "question_index", "left").join(games, "game_name", "left")
