@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.registry import query, spread, table
+from tidemark.catalog.registry import kept, query, spread, table
 from tidemark.catalog.retrieval import bm25_results, sql_top
 from tidemark.operators import evaluation as E
 from tidemark.operators.qa import containing, doc_ids, model_key, status_counts
@@ -17,11 +17,19 @@ def ground_truth(spark, sf):
 
 
 def results(spark, sf, k: int = 5):
-    """(query_id, retrieved, relevant, game_name, task_type, segment_id, seconds, error), one row an item."""
-    top = bm25_results(spark, sf, k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("retrieved"))
-    truth = ground_truth(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("relevant"))
+    """(query_id, retrieved, relevant, n_relevant, n_different, game_name, task_type, segment_id, seconds, error), one row an item.
+
+    ``relevant`` has those of the relevant ids that are retrieved; of the others only the number is told.
+    """
+    top = kept(bm25_results(spark, sf, k).select("query_id", "doc_id", "rank"), "top")
+    truth = kept(ground_truth(spark, sf).groupBy("query_id", "doc_id").agg(F.count("*").alias("n")), "truth")
+    hits = truth.join(F.broadcast(top.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")  # k a query
+    hits = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("relevant"))
+    some = F.col("doc_id").isNotNull()
+    numbers = truth.groupBy("query_id").agg(F.sum(F.when(some, F.col("n"))).alias("n_relevant"), F.count_if(some).alias("n_different"))
+    top = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("retrieved"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("g"), (F.col("item_id") % 3).cast("string")).alias("game_name"), F.concat(F.lit("t"), (F.col("item_id") % 4).cast("string")).alias("task_type"), (F.col("item_id") % 5).cast("int").alias("segment_id"), ((F.col("item_id") % 7) / 10.0).alias("seconds"), F.when(F.col("item_id") % 9 == 0, "failed").alias("error"))
-    return q.join(top, "query_id", "left").join(truth, "query_id", "left")
+    return q.join(top, "query_id", "left").join(hits, "query_id", "left").join(numbers, "query_id", "left")
 
 
 def sql_measured(k_values=(3,), dedup: bool = True) -> str:
@@ -59,13 +67,13 @@ def doc_id_fallback(spark, sf):
 
 @query(f"{sql_measured((1, 3, 5))} SELECT query_id, CAST(k AS INTEGER) AS k, n_rel > 0 AS valid, {_ROUNDED} FROM m")
 def metrics_per_query(spark, sf):
-    return _rounded(E.per_query(results(spark, sf).select("query_id", "retrieved", "relevant"), (1, 3, 5)))
+    return _rounded(E.per_query(results(spark, sf).select("query_id", "retrieved", "relevant", "n_relevant", "n_different"), (1, 3, 5)))
 
 
 @query(f"{sql_measured((3,))}, r AS (SELECT query_id, round(coalesce(sum(CASE WHEN g.doc_id IS NOT NULL THEN 1 / log2(2 * t.rank) + 1 / log2(2 * t.rank + 1) ELSE 0 END) FILTER (t.rank <= 2), 0), 6) AS z FROM top t LEFT JOIN gt g USING (query_id, doc_id) GROUP BY 1) SELECT query_id, round(CASE WHEN n_rel > 0 THEN z / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(4, n_rel) + 1) q(i)) ELSE 0 END, 4) AS ndcg FROM r JOIN m USING (query_id)")
 def ndcg_no_dedup(spark, sf):
     twice = F.flatten(F.transform(F.slice("retrieved", 1, 2), lambda x: F.array(x, x)))
-    rows = results(spark, sf).where("retrieved is not null").withColumn("retrieved", twice).select("query_id", "retrieved", "relevant")
+    rows = results(spark, sf).where("retrieved is not null").withColumn("retrieved", twice).select("query_id", "retrieved", "relevant", "n_relevant", "n_different")
     return E.per_query(rows, (4,), dedup=False).select("query_id", F.round("ndcg", 4).alias("ndcg"))
 
 

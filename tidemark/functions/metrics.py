@@ -15,9 +15,13 @@ def _hits(retrieved: Column, relevant: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.slice(retrieved, 1, k), relevant)).cast("double")
 
 
-def recall(retrieved: Column, relevant: Column, k: int) -> Column:
-    """Distinct hits over the length of the relevant list, repeats included; 0 without any relevant id."""
-    return F.when(F.size(relevant) > 0, _hits(retrieved, relevant, k) / F.size(relevant)).otherwise(F.lit(0.0))
+def recall(retrieved: Column, relevant: Column, k: int, n: Column | None = None) -> Column:
+    """Distinct hits over the length of the relevant list, repeats included; 0 without any relevant id.
+
+    With ``n``, the length of the whole list, ``relevant`` needs to have only those of its ids that are retrieved.
+    """
+    n = F.size(relevant) if n is None else n
+    return F.when(n > 0, _hits(retrieved, relevant, k) / n).otherwise(F.lit(0.0))
 
 
 def precision(retrieved: Column, relevant: Column, k: int) -> Column:
@@ -26,8 +30,8 @@ def precision(retrieved: Column, relevant: Column, k: int) -> Column:
     return F.when(n > 0, _hits(retrieved, relevant, k) / n).otherwise(F.lit(0.0))
 
 
-def f1(retrieved: Column, relevant: Column, k: int) -> Column:
-    p, r = precision(retrieved, relevant, k), recall(retrieved, relevant, k)
+def f1(retrieved: Column, relevant: Column, k: int, n: Column | None = None) -> Column:
+    p, r = precision(retrieved, relevant, k), recall(retrieved, relevant, k, n)
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
@@ -35,12 +39,15 @@ def _gain(place: Column) -> Column:
     return F.lit(1.0) / F.log2(place + 2.0)
 
 
-def ndcg(retrieved: Column, relevant: Column, k: int, dedup: bool = True) -> Column:
-    """NDCG at k. With ``dedup`` an id counts at its first place only; without, repeats count again and it may exceed 1."""
+def ndcg(retrieved: Column, relevant: Column, k: int, dedup: bool = True, different: Column | None = None) -> Column:
+    """NDCG at k. With ``dedup`` an id counts at its first place only; without, repeats count again and it may exceed 1.
+
+    ``different`` is how many different relevant ids there are, if ``relevant`` has only those that are retrieved.
+    """
     top = F.slice(retrieved, 1, k)
     at = F.transform(top, lambda x, i: F.when(F.array_contains(relevant, x) & ((F.array_position(top, x) == i + 1) if dedup else F.lit(True)), _gain(i)).otherwise(F.lit(0.0)))
     dcg = F.aggregate(at, F.lit(0.0), lambda s, x: s + x)
-    ideal = F.least(F.lit(k), F.size(F.array_distinct(relevant)))
+    ideal = F.least(F.lit(k), (F.size(F.array_distinct(relevant)) if different is None else different).cast("int"))
     idcg = F.aggregate(F.transform(F.slice(F.sequence(F.lit(0), F.lit(k - 1)), 1, F.greatest(ideal, F.lit(0))), _gain), F.lit(0.0), lambda s, x: s + x)
     return F.when(idcg > 0, dcg / idcg).otherwise(F.lit(0.0))
 

@@ -14,12 +14,17 @@ NAMES = ("recall", "precision", "f1", "ndcg")
 def per_query(results: DataFrame, k_values: tuple[int, ...] = (3,), dedup: bool = True) -> DataFrame:
     """``results`` (retrieved, relevant: arrays of ids) with one row for each k and the four metrics.
 
-    Null and empty ids don't count; the rows of a query without relevant ids have ``valid`` false and zeros.
+    Null and empty ids don't count; the rows of a query without relevant ids have ``valid`` false and zeros. With the columns
+    ``n_relevant`` and ``n_different`` (relevant ids with and without repeats, null for none) ``relevant`` is only
+    those of the relevant ids that are retrieved, so that no row has a list that grows with the corpus.
     """
     cleaned = results.withColumn("retrieved", M.clean_ids(F.col("retrieved"))).withColumn("relevant", M.clean_ids(F.col("relevant")))
     r, g = F.col("retrieved"), F.col("relevant")
-    each = F.array(*(F.struct(F.lit(k).alias("k"), M.recall(r, g, k).alias("recall"), M.precision(r, g, k).alias("precision"), M.f1(r, g, k).alias("f1"), M.ndcg(r, g, k, dedup).alias("ndcg")) for k in k_values))
-    return cleaned.withColumn("valid", F.size("relevant") > 0).withColumn("m", F.explode(each)).select(*[c for c in cleaned.columns if c not in ("retrieved", "relevant")], "valid", "m.*")
+    counted = ("n_relevant", "n_different") if "n_relevant" in cleaned.columns else ()
+    n, different = (F.coalesce(c, F.lit(0)) for c in counted) if counted else (None, None)
+    each = F.array(*(F.struct(F.lit(k).alias("k"), M.recall(r, g, k, n).alias("recall"), M.precision(r, g, k).alias("precision"), M.f1(r, g, k, n).alias("f1"), M.ndcg(r, g, k, dedup, different).alias("ndcg")) for k in k_values))
+    valid = F.size("relevant") > 0 if n is None else n > 0
+    return cleaned.withColumn("valid", valid).withColumn("m", F.explode(each)).select(*[c for c in cleaned.columns if c not in ("retrieved", "relevant", *counted)], "valid", "m.*")
 
 
 def _means(names=NAMES) -> list[Column]:

@@ -41,7 +41,9 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     found = contained(docs.select(F.col("doc_id").alias("id"), "text"), items)
     own = found.join(items.where("item is not null"), "item").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), *items.columns)
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))).drop("_id", "_mark")
+    # the hash is a column before the join, so that texts that nobody asks for aren't shuffled
+    marked = docs.withColumn("_own", F.xxhash64("text"))
+    return marked.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark"))).drop("_id", "_mark", "_own")
 
 
 def doc_ids(docs: Column, fallback: bool = True) -> Column:
