@@ -90,3 +90,14 @@ def test_a_batch_counts_from_its_commit_on(spark, tmp_path):
     held = log.read()
     assert log.compact() == 3 and held.count() == 8 and log.read().count() == 8 and len(log.state()[1]) == 1
     assert stopped in log.vacuum() and log.read().count() == 8
+
+
+def test_an_index_is_written_without_a_shuffle_of_its_postings(spark, tmp_path):
+    rows = [(1, "bb aa bb", "g"), (2, None, "g"), (3, "", "h"), (4, "Aa x éé éé", "h")]
+    hits = I._hits(I._mark(spark.createDataFrame(rows, DOCS), None), None)
+    got = sorted((r["doc_id"], r["dl"], r["token"], r["tf"]) for r in hits.collect())
+    assert got == [(1, 3, "", 1), (1, 3, "aa", 1), (1, 3, "bb", 2), (2, 0, "", 1), (3, 0, "", 1), (4, 3, "", 1), (4, 3, "aa", 1), (4, 3, "éé", 2)]
+    assert "Exchange" not in hits._jdf.queryExecution().toString()
+    index = I.update(spark.createDataFrame(rows, DOCS), str(tmp_path / "i"))
+    written = spark.read.parquet(f"{index.log.root}/data/{index.parts[0]}/postings")
+    assert written.where("(mark is null) <> (token <> '')").isEmpty()  # a text's hash stands beside its document alone
