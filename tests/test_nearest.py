@@ -100,3 +100,13 @@ def test_recall_on_the_table_of_vectors(spark, tmp_path):
     want = {(r["query_id"], r["vec_id"]) for r in N.nearest(asked, e, 5).collect()}
     found = {(r["query_id"], r["vec_id"]) for r in N.search(path, asked, 5).collect()}
     assert len(want & found) >= 0.9 * len(want)
+
+
+def test_queries_of_an_index_do_not_pass_through_the_driver(spark, tmp_path):
+    path = str(tmp_path / "index")
+    v = vectors(600, 8, 5)
+    N.build(spark.createDataFrame(v, ROWS), path)
+    got = N.search(path, spark.createDataFrame(v[::20], ASKED), 3, probes=2, exact=True)
+    close(got, plain(v[::20], v, 3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [cell#" not in plan and "SortMergeJoin [cell#" in plan  # a query's row a list, lists grow with the table

@@ -275,7 +275,8 @@ def search(path: str, queries: DataFrame, k: int = 3, probes: int | None = None,
         met = rows.mapInArrow(_probes(shared, first, last, bounded), f"cell string, id {kind}, v array<double>").repartition("cell").sortWithinPartitions("cell")
         met = packed(met, QUERY_ROWS).select("cell", F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("dims").alias("q_dims"))
         lists = spark.read.parquet(f"{path}/lists").withColumn("cell", F.col("list").cast("string"))
-        return _ranked(_scored(lists.join(met, "cell"), k, threshold, itself).drop("cell"), k).drop("rank")
+        # Queries repeat once a list and pack well, so that their files look small enough to broadcast: that would take all of them through the driver.
+        return _ranked(_scored(lists.join(met.hint("merge"), "cell"), k, threshold, itself).drop("cell"), k).drop("rank")
 
     found = step(asked, 0, probes, False)
     if exact and probes < len(centres):
