@@ -76,3 +76,30 @@ def test_a_lexicon_is_learned(spark):
     assert all(re.fullmatch(r"\w+", w) and not w.isascii() for w in found)
     cut = S.segmenter(spark.createDataFrame([*found.items()], "word string, freq long"))
     assert spark.range(1).select(cut(F.lit("日月天地荒"))).first()[0].split() == ["日月", "天地", "荒"]
+
+
+def test_long_pieces_cost_what_short_ones_do():
+    import time
+
+    lexicon = S.Lexicon({"天" * k: 40 - k for k in range(1, 13)} | {"地天": 3})
+
+    def seconds(texts):
+        began = time.perf_counter()
+        out = lexicon.spaced(texts)
+        return time.perf_counter() - began, out
+
+    seconds(["天" * 10])
+    short, _ = seconds(["天" * 10] * 12_000)
+    long, out = seconds(["天" * 120_000])  # no cut: each of its places was a round of all lengths
+    assert out[0].split() == ["天" * 12] * 10_000 and long < 30 * max(short, 0.05)
+
+
+def test_paths_are_the_same_together_and_one_by_one(monkeypatch):
+    rng = random.Random(3)
+    words = {"".join(rng.choice(HAN[:3]) for _ in range(rng.randrange(1, 13))): rng.randrange(1, 50) for _ in range(60)}
+    lexicon, texts = S.Lexicon(words), ["".join(rng.choice(HAN[:4]) for _ in range(rng.randrange(0, 300))) for _ in range(60)]
+    want = [[w for w in plain(t, words)] for t in texts]
+    for few in (1, 20, 10**6):
+        monkeypatch.setattr(S, "_FEW", few)
+        for got, w, t in zip(lexicon.spaced(texts), want, texts):
+            assert "".join(got.split()) == t and math.isclose(weight(got.split(), words), weight(w, words), abs_tol=1e-6)
