@@ -195,3 +195,13 @@ def test_lines_are_numbered_over_splits(spark, tmp_path, size):
             assert spark.read.text(str(tmp_path / "c")).rdd.getNumPartitions() > 6
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_submissions_are_files_of_several_tasks(spark, tmp_path):
+    game = "named_struct('topk', 3, 'recall', '0.5')"
+    rows = spark.range(40).selectExpr("concat('s', id) system_name", f"map('g', {game}) games").coalesce(1)
+    path = str(tmp_path / "subs")
+    W.write_submissions(rows, path)
+    files = [p.name for p in (tmp_path / "subs").glob("*.json")]
+    assert len(files) == 40 and len({n.split("-")[1] for n in files}) > 1  # a file a system, not all by one task
+    assert sorted(r["system_name"] for r in R.read_submissions(spark, path).collect()) == sorted(f"s{k}" for k in range(40))

@@ -203,7 +203,7 @@ def submissions_scan(spark, sf):
     metrics = F.struct("topk", F.round(F.col("recall") * 10000).cast("long").cast("string").alias("recall"))
     rows = submissions(spark, sf).groupBy("system_name").agg(F.map_from_entries(F.collect_list(F.struct("game", metrics))).alias("games"))
     path = scratch(spark, "submissions")
-    rows.withColumn("file", F.col("system_name")).write.partitionBy("file").json(path)
+    W.write_submissions(rows, path)
     return R.read_submissions(spark, path).select("system_name", "game", "topk", "recall")
 
 

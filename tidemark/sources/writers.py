@@ -67,6 +67,17 @@ def write_leaderboard(board: DataFrame, path: str) -> None:
     board.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_submissions(submissions: DataFrame, path: str) -> None:
+    """A JSON file for each row, all in one folder.
+
+    The time goes into files, not bytes: small rows are dealt out to as many tasks as there are shuffle partitions,
+    and tasks put their files in place themselves, so that neither one task nor the driver handles them all.
+    """
+    tasks = int(submissions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = submissions.repartition(tasks).write.mode("overwrite").option("maxRecordsPerFile", 1)
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
+
+
 def write_progress(progress: DataFrame, path: str) -> None:
     progress.coalesce(1).write.mode("overwrite").json(path)
 
