@@ -166,3 +166,33 @@ def test_an_index_of_another_corpus_stands_until_the_new_one_is_whole(spark, tmp
     for force in (False, False, True):
         assert D.load_or_embed(items, vectors, make, force).count() == 1
     assert len(made) == 2
+
+
+def test_entities_take_two_passes_of_prompts_alone(spark):
+    from tidemark.plans.corpus import extract_entities
+
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError
+        kinds = {"W": "" , "L": "shown", "E": '{"entities": []}'}
+        out = []
+        for p in prompts:
+            if "plain" in p or p.startswith("List the named entities of this text"):
+                out.append('{"entities": [{"text": "Direct"}]}' if p.startswith("List the named entities of this text") else "")
+            else:
+                out.append("ex" if p.startswith("W") else kinds[p[0]])
+        return out
+
+    rows = spark.createDataFrame([("plain", 1), ("other", 2), ("x" * 4000, 3)], "contents string, k int")
+    got = extract_entities(rows, model)
+    assert got.columns == ["contents", "k"] and extract_entities(rows.withColumn("entities", F.array(F.lit("old"))), model).where("entities[0] = 'Direct'").count() == 3
+    plan = extract_entities(rows.withColumn("entities", F.array()), model)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("ArrowEvalPython [") == 2  # was four passes of whole rows
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(prompts):
+        calls.add(len(prompts))
+        return ["a" if "o" in p else "b" for p in prompts]
+
+    found = call(rows, "contents", "o", "string", counted).where("o = 'b' and k > 1")
+    assert [r["k"] for r in found.collect()] == [3] and calls.value == 3  # once a row, though a filter reads the reply

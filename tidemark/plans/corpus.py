@@ -12,7 +12,7 @@ from tidemark.operators.entities import dedup_in_order, extract_capitalized
 from tidemark.operators.qa import drop_blank
 from tidemark.operators.temporal import assign_segments, with_time_metadata
 from tidemark.plans import prompts as T
-from tidemark.plans.providers import Provider, call
+from tidemark.plans.providers import Provider, asked, call
 
 
 def build_corpus(files: DataFrame, segments: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -47,18 +47,33 @@ def extract_entities(chunks: DataFrame, provider: Provider) -> DataFrame:
     entities, the text is sent by itself; a reply without any gives an empty list. Replies are read by the
     ladder of ``entity_list``; texts are distinct and in order of mention.
     """
-    text = cap(F.col("contents"))
-    rows = call(chunks.drop("entities").withColumn("_p", F.concat(F.lit(T.EXAMPLES + "\n"), text)), "_p", "_examples", "string", provider, fallback="")
-    rows = call(rows.withColumn("_p", F.concat(F.lit(T.ENTITIES_OF_EXAMPLES + "\n"), "_examples")), "_p", "_shown", "string", provider, fallback="")
-    some = (F.trim("_examples") != "") & (F.trim("_shown") != "")
-    direct = F.concat(F.lit(T.ENTITIES + "\n"), text)
-    shown = F.concat(F.lit("Examples:\n"), "_examples", F.lit("\n"), "_shown", F.lit("\n\n"), direct)
-    rows = call(rows.withColumn("_p", F.when(some, shown).otherwise(direct)), "_p", "_reply", "string", provider, fallback="").withColumn("entities", _names(F.col("_reply")))
-    none = F.size("entities") == 0
-    again = call(rows.withColumn("_p", F.when(none & some, direct).otherwise(F.lit(""))), "_p", "_reply_again", "string", _only_asked(provider), fallback="")
+    kind = "struct<shown:boolean,reply:string>"
+    rows = call(chunks.drop("entities").withColumn("_p", cap(F.col("contents"))), "_p", "_first", kind, _in_steps(provider), fallback=None, tries=1)
+    rows = rows.withColumn("entities", _names(F.col("_first.reply")))
+    none = (F.size("entities") == 0) & F.col("_first.shown")
+    direct = F.concat(F.lit(T.ENTITIES + "\n"), cap(F.col("contents")))
+    again = call(rows.withColumn("_p", F.when(none, direct).otherwise(F.lit(""))), "_p", "_reply_again", "string", _only_asked(provider), fallback="")
     return again.withColumn("entities", F.when(none, _names(F.col("_reply_again"))).otherwise(F.col("entities"))).select(*chunks.columns)
 
 
+def _in_steps(provider: Provider) -> Provider:
+    """(shown, reply) for texts: examples, entities of the examples, then the text behind both if they are there.
+
+    One worker asks all three, so that a text passes through Python once and not once a step.
+    """
+
+    def ask(texts: list[str]) -> list[tuple[bool, str]]:
+        replies = lambda prompts: ["" if error or r is None else r for r, error in asked(provider, prompts)]
+        examples = replies([f"{T.EXAMPLES}\n{t}" for t in texts])
+        shown = replies([f"{T.ENTITIES_OF_EXAMPLES}\n{e}" for e in examples])
+        some = [bool(e.strip(" ")) and bool(s.strip(" ")) for e, s in zip(examples, shown)]
+        direct = [f"{T.ENTITIES}\n{t}" for t in texts]
+        last = replies([f"Examples:\n{e}\n{s}\n\n{d}" if x else d for e, s, d, x in zip(examples, shown, direct, some)])
+        return list(zip(some, last))
+
+    return ask
+
+
 def _only_asked(provider: Provider) -> Provider:
     """The provider for the prompts that aren't empty."""
 

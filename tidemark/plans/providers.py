@@ -15,7 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Takes a list of prompts and gives as many answers.
 Provider = Callable[[list[str]], list]
@@ -70,20 +71,22 @@ def call(df: DataFrame, prompt: str, out: str, kind: str, provider: Provider, fa
 
     A prompt that fails gets ``fallback``; see ``asked`` for how batches are tried. Each task has ``in_flight`` batches
     under way at once (a provider must allow for that), so that as many calls run as there are tasks times that number;
-    ``coalesce`` before to hold a rate. ``ledger.replies`` keeps what has been answered.
+    ``coalesce`` before to hold a rate. ``ledger.replies`` keeps what has been answered. Python gets the prompts alone.
     """
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {kind}").fields])
+    ask = lambda prompts: [fallback if error else r for r, error in asked(provider, prompts, tries, wait)]
+    wide = StructType.fromDDL(f"{out} {kind}").fields[0].dataType
+    wrapped = StructType([StructField("r", wide)])  # a struct's rows may be of any type
 
-    def answered(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.copy()
-        own[out] = [fallback if error else r for r, error in asked(provider, own[prompt].fillna("").tolist(), tries, wait)]
-        return own
+    def answered(own: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"r": pd.Series(ask(own.fillna("").tolist()), dtype=object)})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = (frame.iloc[lo : lo + batch] for frame in frames for lo in range(0, len(frame), batch))
+    @F.pandas_udf(wrapped)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        parts = (own.iloc[lo : lo + batch] for own in batches for lo in range(0, len(own), batch))
         yield from in_order(answered, parts, in_flight)
 
-    return df.mapInPandas(run, schema)
+    # not deterministic: no plan may ask twice for a row, or before others have chosen it
+    return df.withColumn(out, run.asNondeterministic()(F.col(prompt))["r"])
 
 
 def embed(df: DataFrame, text: str, out: str, provider: Provider, dims: int | None = None, wait: float = WAIT) -> DataFrame:
