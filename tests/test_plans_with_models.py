@@ -196,3 +196,23 @@ def test_entities_take_two_passes_of_prompts_alone(spark):
 
     found = call(rows, "contents", "o", "string", counted).where("o = 'b' and k > 1")
     assert [r["k"] for r in found.collect()] == [3] and calls.value == 3  # once a row, though a filter reads the reply
+
+
+def test_entities_of_whole_texts(spark):
+    from tidemark.plans.corpus import extract_entities
+
+    def model(prompts):
+        """No entities behind the examples of a text that begins with an a; else how the prompt begins and ends."""
+        return ["no" if p.startswith("Examples") and p.split("\n")[-1].startswith("a") else '{"entities": [{"text": "' + p[:8] + p.split()[-1] + '"}]}' for p in prompts]
+
+    rows = spark.createDataFrame([("a " + "x " * 30_000 + "Oslo", []), ("b " + "x " * 30_000 + "Rome", []), (None, [])], "contents string, entities array<string>")
+    got = {(r["contents"] or "none")[0]: r["entities"] for r in extract_entities(rows, model).collect()}
+    assert got["a"] == ["List theOslo"] and got["b"] == ["ExamplesRome"] and len(got["n"]) == 1
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(prompts):
+        seen.add(sum(len(p) > 60_000 for p in prompts))
+        return ["no"] * len(prompts)
+
+    extract_entities(rows.where("contents is not null"), counted).collect()
+    assert seen.value == 6  # examples, behind them, and by itself, for both

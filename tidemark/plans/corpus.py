@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import entity_list
 from tidemark.functions.html import clean
-from tidemark.functions.text import cap, chunks
+from tidemark.functions.text import chunks
 from tidemark.operators.entities import dedup_in_order, extract_capitalized
 from tidemark.operators.qa import drop_blank
 from tidemark.operators.temporal import assign_segments, with_time_metadata
@@ -40,7 +40,7 @@ def _names(reply: Column) -> Column:
 
 
 def extract_entities(chunks: DataFrame, provider: Provider) -> DataFrame:
-    """``chunks`` with entities from a model's replies about the capped contents.
+    """``chunks`` with entities from a model's replies about the whole contents.
 
     Three steps: the model first writes examples for a text like this one, then entities for the examples, and
     these stand before the text in the third prompt. Where the first two give nothing, or the third no
@@ -48,10 +48,11 @@ def extract_entities(chunks: DataFrame, provider: Provider) -> DataFrame:
     ladder of ``entity_list``; texts are distinct and in order of mention.
     """
     kind = "struct<shown:boolean,reply:string>"
-    rows = call(chunks.drop("entities").withColumn("_p", cap(F.col("contents"))), "_p", "_first", kind, _in_steps(provider), fallback=None, tries=1)
+    text = F.coalesce("contents", F.lit(""))
+    rows = call(chunks.drop("entities").withColumn("_p", text), "_p", "_first", kind, _in_steps(provider), fallback=None, tries=1)
     rows = rows.withColumn("entities", _names(F.col("_first.reply")))
     none = (F.size("entities") == 0) & F.col("_first.shown")
-    direct = F.concat(F.lit(T.ENTITIES + "\n"), cap(F.col("contents")))
+    direct = F.concat(F.lit(T.ENTITIES + "\n"), text)
     again = call(rows.withColumn("_p", F.when(none, direct).otherwise(F.lit(""))), "_p", "_reply_again", "string", _only_asked(provider), fallback="")
     return again.withColumn("entities", F.when(none, _names(F.col("_reply_again"))).otherwise(F.col("entities"))).select(*chunks.columns)
 
