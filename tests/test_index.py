@@ -101,3 +101,43 @@ def test_an_index_is_written_without_a_shuffle_of_its_postings(spark, tmp_path):
     index = I.update(spark.createDataFrame(rows, DOCS), str(tmp_path / "i"))
     written = spark.read.parquet(f"{index.log.root}/data/{index.parts[0]}/postings")
     assert written.where("(mark is null) <> (token <> '')").isEmpty()  # a text's hash stands beside its document alone
+
+
+def test_runs_of_documents_are_inverted(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(I, "RUN_TOKENS", 4)
+    docs = [("g", 1, 11, ["bb", "aa", "bb"]), ("h", 2, 12, []), ("g", 3, 13, ["aa"]), ("g", 4, 14, ["éé", "aa"]), ("g", 5, 15, [])]
+    names = ["scope", "doc_id", "mark", "tokens"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in docs], pa.schema([("scope", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("tokens", pa.list_(pa.string()))]))
+    rows = [r for b in I._runs(iter([batch.slice(0, 0), batch])) for r in b.to_pylist()]
+    assert len({r["run"] for r in rows}) == 3 and all(r["df"] == len(r["p"]) and r["max_tf"] == max(x["tf"] for x in r["p"]) and r["min_dl"] == min(x["dl"] for x in r["p"]) for r in rows)
+    got = sorted((r["scope"], x["doc_id"], x["dl"], r["token"], x["tf"]) for r in rows for x in r["p"] if r["token"])
+    assert got == [("g", 1, 3, "aa", 1), ("g", 1, 3, "bb", 2), ("g", 3, 1, "aa", 1), ("g", 4, 2, "aa", 1), ("g", 4, 2, "éé", 1)]
+    assert sorted((m, x["doc_id"], x["dl"]) for r in rows if not r["token"] for x, m in zip(r["p"], r["mark"])) == [(10 + d[1], d[1], len(d[3])) for d in docs]
+    assert all([x["place"] for x in r["p"]] == list(range(r["df"])) for r in rows if not r["token"])
+
+
+def test_postings_stay_where_they_are_whatever_is_superseded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "HOT", 40)
+    root, rows = str(tmp_path / "i"), corpus(300, 6)
+    I.update(spark.createDataFrame(rows, DOCS).repartition(3), root)
+    now = [(i, t if i % 3 else f"w1 {t}", g) for i, t, g in rows[20:]]
+    index = I.update(spark.createDataFrame(now, DOCS), root)
+    files = [r["f"] for r in spark.read.parquet(f"{root}/data/{index.parts[0]}/postings").selectExpr("input_file_name() f").distinct().collect()]
+    assert len(files) == 3  # a task writes one
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counting = index.each(index.lists())
+        assert "hashpartitioning" not in counting._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, counting.select("scope", "token", "doc_id", "dl", "tf").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = bm25.postings(bm25.tokenized(spark.createDataFrame(now, DOCS)))
+    assert got == sorted(map(tuple, want.select("scope", "token", "doc_id", "dl", "tf").collect()))
+    few = spark.createDataFrame([("all", "w1"), ("all", "f0")], "scope string, token string")
+    assert sorted(map(tuple, index.each(index.lists(few)).select("scope", "token", "doc_id", "dl", "tf").collect())) == [r for r in got if r[1] in ("w1", "f0")]
+    merged = I.merge(spark, root)
+    assert sorted(map(tuple, merged.each(merged.lists()).select("scope", "token", "doc_id", "dl", "tf").collect())) == got
+    places = {(r["run"], r["place"]) for r in merged.documents().collect()}
+    assert len(places) == 280
