@@ -106,11 +106,11 @@ def test_an_index_is_written_without_a_shuffle_of_its_postings(spark, tmp_path):
 def test_runs_of_documents_are_inverted(spark, monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(I, "RUN_TOKENS", 4)
+    monkeypatch.setattr(I, "RUN_TOKENS", 3)
     docs = [("g", 1, 11, ["bb", "aa", "bb"]), ("h", 2, 12, []), ("g", 3, 13, ["aa"]), ("g", 4, 14, ["éé", "aa"]), ("g", 5, 15, [])]
     names = ["scope", "doc_id", "mark", "tokens"]
     batch = pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in docs], pa.schema([("scope", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("tokens", pa.list_(pa.string()))]))
-    rows = [r for b in I._runs(iter([batch.slice(0, 0), batch])) for r in b.to_pylist()]
+    rows = [r for b in I._runs(batch.slice(*x) for x in ((0, 0), (0, 1), (1, 1), (2, 3))) for r in b.to_pylist()]
     assert len({r["run"] for r in rows}) == 3 and all(r["df"] == len(r["p"]) and r["max_tf"] == max(x["tf"] for x in r["p"]) and r["min_dl"] == min(x["dl"] for x in r["p"]) for r in rows)
     got = sorted((r["scope"], x["doc_id"], x["dl"], r["token"], x["tf"]) for r in rows for x in r["p"] if r["token"])
     assert got == [("g", 1, 3, "aa", 1), ("g", 1, 3, "bb", 2), ("g", 3, 1, "aa", 1), ("g", 4, 2, "aa", 1), ("g", 4, 2, "éé", 1)]
